@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.common import table
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.mixing import mix
+from tickloom.llm.secrets import scan
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op4_secret_scan": op4_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
