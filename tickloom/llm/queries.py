@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm import bpe
 from tickloom.llm.common import table
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.mixing import mix
 from tickloom.llm.secrets import scan
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
@@ -25,6 +36,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op4_secret_scan": op4_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
