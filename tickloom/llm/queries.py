@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe
-from tickloom.llm.common import table
+from tickloom.llm import bpe, topk, warc
+from tickloom.llm.common import cut, table
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.mixing import mix
 from tickloom.llm.secrets import scan
@@ -31,6 +31,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = cut(warc.write(table(spark, sf_dir, "pages")))
+    return warc.read(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -39,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op4_secret_scan": op4_secret_scan,
+    "op5_warc_zstd": op5_warc_zstd,
+    "op8_ball_tree_topk": op8_ball_tree_topk,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
@@ -70,6 +81,26 @@ WITH sized AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN before / target
   ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * (before / target)) - (1 - slope)) / (2 * slope) END, 9) + 0.0 END AS first_position
 FROM counted""",
+    "op5_warc_zstd": r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f""",
+    "op8_ball_tree_topk": r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS ints FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.ints) = 0 THEN 0 ELSE list_inner_product(q.ints, c.ints) END::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.ints) = len(c.ints)
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""",
     "op9_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
