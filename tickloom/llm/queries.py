@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, topk, warc
+from tickloom.llm import bpe, quality, topk, warc
 from tickloom.llm.common import cut, table
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.mixing import mix
@@ -36,6 +36,10 @@ def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_curriculum_mix": op2_curriculum_mix,
     "op4_secret_scan": op4_secret_scan,
     "op5_warc_zstd": op5_warc_zstd,
+    "op7_pu_quality": op7_pu_quality,
     "op8_ball_tree_topk": op8_ball_tree_topk,
     "op9_exact_dedup": op9_exact_dedup,
 }
