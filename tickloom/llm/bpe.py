@@ -19,13 +19,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bit_filter, cut, in_filter
+from tickloom.llm.common import bit_filter, cut, in_filter, slices
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 128, 8192, 10
 #: Bits of the filter of shared chunks, as a power of two (4 MB); fuller filters only share more than needed.
 FILTER_BITS = 25
 #: Words whose encodings a worker remembers in each of two generations.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 120_000
 #: The tokenizer file's word pattern on printable lower-case ASCII, where its normaliser changes nothing and
 #: its byte alphabet is the identity; other pieces go through the whole tokenizer.
 ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -192,7 +192,7 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
     """Filter of the digests of all chunks that occur more than once in the corpus."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [number(digest(c)) for t in batch.column("text").to_pylist() if t for c in pieces_of(t.encode())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["key"])
 
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
         encoder, packer = Encoder(tokenizer_path), zstandard.ZstdCompressor(3)
         sent_texts: set[bytes] = set()
         sent_chunks: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 raw = (text or "").encode()
@@ -240,13 +240,13 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             found = [encoder.encode(c) for c in batch.column("chunk").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "chunk_ids"])
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, unpacker = Encoder(tokenizer_path), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text_id, packed, got in zip(*(batch.column(c).to_pylist() for c in ("text_id", "packed", "got"))):
                 raw = unpacker.decompress(packed)
@@ -289,7 +289,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [encoder.decoded(ids or b"").decode() for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

@@ -60,3 +60,10 @@ def in_filter(words, keys, bits_log2: int):
 
     slot = keys & np.uint64((1 << bits_log2) - 1)
     return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in small slices, so that a worker holds the objects of few rows at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import slices
+
 FOLDS, THRESHOLD = 5, 0.3
 #: The model is fitted on at most so many positives and so many unlabelled documents, the first by digest.
 SAMPLE_ROWS = 6000
@@ -107,7 +109,7 @@ def feature_rows(docs: DataFrame) -> np.ndarray:
     """Features of a bounded number of documents, as a matrix on the driver; computed on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tolist() for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))], names=["row"])
 
     rows = docs.select("text").mapInArrow(run, "row array<double>").toArrow().column("row").to_pylist()
@@ -147,7 +149,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             found = np.full(len(texts), 0.5)
             if model and texts:
@@ -170,7 +172,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges, weights = model
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.array([features(t) for t in batch.column(names.index("text")).to_pylist()]).reshape(-1, len(FEATURES))
             good = 1 / (1 + np.exp(-np.clip(weights[binned(rows, edges)].sum(axis=1) + weights[-1], -30, 30))) >= THRESHOLD
             yield batch.filter(pa.array(good))

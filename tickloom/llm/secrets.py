@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tickloom.llm.common import slices
+
 #: Kinds in the order in which spans at one place are listed; the first three make the base result.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
 BASE = KINDS[:3]
@@ -120,7 +122,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keywords = automaton()
-        for batch in batches:
+        for batch in slices(batches):
             counts, bases, alls = {k: [] for k in BASE}, [], []
             for text in batch.column("text").to_pylist():
                 spans = find_spans(text or "", keywords)
