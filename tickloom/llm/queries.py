@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, quality, topk, warc
 from tickloom.llm.common import cut, table
 from tickloom.llm.exact_dedup import exact_dedup
+from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
 from tickloom.llm.secrets import scan
 
@@ -48,6 +50,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", kept)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_curriculum_mix": op2_curriculum_mix,
@@ -56,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pu_quality": op7_pu_quality,
     "op8_ball_tree_topk": op8_ball_tree_topk,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_winnowing": op10_line_winnowing,
 }
 
 ORACLE: dict[str, str] = {
@@ -114,4 +122,19 @@ WITH n AS (
          count(*) OVER (PARTITION BY norm) AS group_size FROM n
 )
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op10_line_winnowing": r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(0, len(lines) - 2)) AS start, lines FROM d
+), f AS (
+  SELECT doc_id, start, min(row(doc_id, start)) OVER (PARTITION BY lines[start + 1 : start + 3]) AS first FROM w
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list([start, start + 1, start + 2]))) AS places FROM f WHERE row(doc_id, start) > first GROUP BY doc_id
+), k AS (
+  SELECT d.doc_id, lines, list_filter(range(0, len(lines)), lambda i: NOT list_contains(coalesce(places, []), i)) AS stay FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(stay, lambda i: lines[i + 1]), chr(10))) AS kept_sha256
+FROM k""",
 }
