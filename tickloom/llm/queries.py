@@ -13,6 +13,7 @@ from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
 from tickloom.llm.secrets import scan
+from tickloom.llm.suffix_dedup import suffix_dedup
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,6 +30,10 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
+def op3_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op3_suffix_radix": op3_suffix_radix,
     "op4_secret_scan": op4_secret_scan,
     "op5_warc_zstd": op5_warc_zstd,
     "op7_pu_quality": op7_pu_quality,
