@@ -9,7 +9,9 @@ ends; what is kept on either side is then what encoding the whole text gives.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -74,6 +76,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -153,6 +156,12 @@ class Encoder:
         return b" ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: its memory of words serves all of the worker's tasks."""
+    return Encoder(path)
+
+
 def breaks_before(raw: bytes, at: int, words: int) -> int:
     """Start of the last ``words`` stretches before ``at`` that white space separates."""
     for _ in range(words):
@@ -211,7 +220,7 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(shared_filter(docs))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer_path), zstandard.ZstdCompressor(3)
+        encoder, packer = encoder_of(tokenizer_path), zstandard.ZstdCompressor(3)
         sent_texts: set[bytes] = set()
         sent_chunks: set[bytes] = set()
         for batch in slices(batches):
@@ -239,13 +248,13 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
             yield pa.RecordBatch.from_pylist(rows, schema=first_schema)
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in slices(batches):
             found = [encoder.encode(c) for c in batch.column("chunk").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "chunk_ids"])
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, unpacker = Encoder(tokenizer_path), zstandard.ZstdDecompressor()
+        encoder, unpacker = encoder_of(tokenizer_path), zstandard.ZstdDecompressor()
         for batch in slices(batches):
             rows = []
             for text_id, packed, got in zip(*(batch.column(c).to_pylist() for c in ("text_id", "packed", "got"))):
@@ -288,7 +297,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and text of encoded documents (doc_id, ids): the tokenizer's decode, special tokens kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in slices(batches):
             texts = [encoder.decoded(ids or b"").decode() for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
