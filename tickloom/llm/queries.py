@@ -12,6 +12,7 @@ from tickloom.llm.common import cut, table
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
+from tickloom.llm.ngram_join import ngram_join
 from tickloom.llm.secrets import scan
 from tickloom.llm.suffix_dedup import suffix_dedup
 
@@ -43,6 +44,10 @@ def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_ngram_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_radix": op3_suffix_radix,
     "op4_secret_scan": op4_secret_scan,
     "op5_warc_zstd": op5_warc_zstd,
+    "op6_ngram_group_join": op6_ngram_group_join,
     "op7_pu_quality": op7_pu_quality,
     "op8_ball_tree_topk": op8_ball_tree_topk,
     "op9_exact_dedup": op9_exact_dedup,
