@@ -30,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(rows: DataFrame, keys: list[str], repeated: bool) -> DataFrame:
+    """Rows without repeats by ``keys``; the shuffle is spared where the caller knows that there are none."""
+    return rows.dropDuplicates(keys) if repeated else rows
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

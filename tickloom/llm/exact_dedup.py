@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import SPACE_CLASS, cut, text_or_empty
+from tickloom.llm.common import SPACE_CLASS, cut, once, text_or_empty
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 #: Where a chunk may end: after three characters of these classes (about one place in a hundred).
@@ -75,7 +75,9 @@ def exact_dedup(docs: DataFrame, identify: Callable[[Column, int], Column] = chu
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that :func:`exact_dedup` keeps, with all their columns; a repeated row stays once."""
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    stay = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    stay = cut(stay.agg(F.count("*").alias("_rows")))
     marked = docs.withColumn("_key", F.sha2(normalised(text_or_empty()).cast("binary"), 256))
     on = marked["doc_id"].eqNullSafe(stay["_id"]) & (marked["_key"] == stay["_sha"])
-    return marked.join(stay, on, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    repeated = not stay.where("_rows > 1").isEmpty()
+    return once(marked.join(stay, on, "left_semi"), ["doc_id", "_key"], repeated).drop("_key")

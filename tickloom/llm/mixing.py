@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import WORD_CLASS, cut, text_or_empty
+from tickloom.llm.common import WORD_CLASS, cut, once, text_or_empty
 
 #: Weights of the sources by code point, repeating, and the change of their demand over the training.
 WEIGHTS = (3, 1, 2)
@@ -125,8 +125,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     )
     key = ["doc_id", "source", "text_key"]
     plan = plan.withColumn("_passes", passes).where(F.size("_passes") > 0)
-    plan = plan.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.flatten(F.collect_list("_passes")).alias("_passes"))
-    marked = docs.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_key"])
+    plan = plan.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.flatten(F.collect_list("_passes")).alias("_passes"), F.count("*").alias("_rows"))
+    plan = cut(plan)
+    marked = once(docs.withColumn("_key", F.xxhash64("text")), ["doc_id", "source", "_key"], not plan.where("_rows > 1").isEmpty())
     on = marked["doc_id"].eqNullSafe(plan["_doc_id"]) & marked["source"].eqNullSafe(plan["_source"]) & (marked["_key"] == plan["_text_key"])
     copies = marked.join(plan, on).withColumn("_at", F.explode("_passes"))
     return copies.orderBy("_at", "doc_id").select(*docs.columns)

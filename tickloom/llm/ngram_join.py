@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import bit_filter, cut, in_filter, slices
+from tickloom.llm.common import bit_filter, cut, in_filter, once, slices
 
 GRAM_WORDS, PERCENT = 5, 75
 #: At most so many frequent grams are broadcast (1 MB), those seen in at least so many documents.
@@ -287,5 +287,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all columns; a repeated row stays once."""
-    stay = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    stay = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id"))
+    stay = cut(stay.agg(F.count("*").alias("_rows")))
+    repeated = not stay.where("_rows > 1").isEmpty()
+    return once(docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi"), ["doc_id"], repeated)
