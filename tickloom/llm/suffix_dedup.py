@@ -139,10 +139,11 @@ RUN = "doc_id long, text_key long, start int, n int, place int, gram long, stret
 
 
 def shared_runs(docs: DataFrame) -> DataFrame:
-    """Runs whose anchor gram may stand elsewhere too, with the bytes they stretch over."""
+    """Runs whose anchor gram may stand elsewhere too; the first of each stretch in a task has the bytes it stretches over."""
     may_repeat = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # stretches whose bytes this task has given already
         for batch, data, bounds, rows, offsets in blocks(batches):
             hashes = Hashes(data)
             first, last, at = runs(data, bounds, hashes)
@@ -153,10 +154,11 @@ def shared_runs(docs: DataFrame) -> DataFrame:
             row = pa.array(rows[piece])
             stretch = mixed(hashes.of(first, last + DEPTH) + ((at - first) * 4096 + last - first).astype(np.uint64))
             raw = data.tobytes()
+            new = [s not in sent and not sent.add(s) for s in stretch.tolist()]
             columns = [
                 batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array((first - bounds[piece] + offsets[piece]).astype(np.int32)),
                 pa.array((last - first + 1).astype(np.int32)), pa.array((at - first).astype(np.int32)), pa.array(grams.view(np.int64)),
-                pa.array(stretch.view(np.int64)), pa.array([raw[a:b] for a, b in zip(first.tolist(), (last + DEPTH).tolist())], pa.binary()),
+                pa.array(stretch.view(np.int64)), pa.array([raw[a:b] if n else None for a, b, n in zip(first.tolist(), (last + DEPTH).tolist(), new)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "start", "n", "place", "gram", "stretch", "bytes"])
 
@@ -249,7 +251,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, start, end of stretches that are covered by repeated windows; they may overlap."""
     found = cut(shared_runs(docs))
     of = F.min(F.struct("doc_id", "text_key", "start")).alias("at")
-    per = found.groupBy("gram", "stretch").agg(F.count("*").alias("times"), of, *[F.first(c).alias(c) for c in ("n", "place", "bytes")])
+    per = found.groupBy("gram", "stretch").agg(F.count("*").alias("times"), of, *[F.first(c, ignorenulls=True).alias(c) for c in ("n", "place", "bytes")])
     per = cut(per)
     again = per.where("times > 1").select(F.col("gram").alias("g"), F.col("stretch").alias("s"))
     whole = found.drop("bytes").join(again, (F.col("gram") == F.col("g")) & (F.col("stretch") == F.col("s")), "left_semi")
