@@ -39,17 +39,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Places of a key's three slots in a filter: how far the key, itself a hash, is shifted.
+SLOT_SHIFTS = (0, 18, 37)
+
+
 def bit_filter(keys: DataFrame, bits_log2: int):
-    """A one-hash Bloom filter over the 64-bit column ``key`` as a numpy array of 2**(bits_log2 - 6) words.
+    """A Bloom filter over the 64-bit hashes ``key`` as a numpy array of 2**(bits_log2 - 6) words.
 
-    Its size is fixed by ``bits_log2``, so it may be broadcast whatever the input; as it fills up it only
-    lets more keys through, never fewer.
+    Its size is fixed by ``bits_log2`` (27 at most), so it may be broadcast whatever the input; as it fills up
+    it only lets more keys through, never fewer.
     """
     import numpy as np
 
-    slot = F.col("key").bitwiseAND(F.lit((1 << bits_log2) - 1))
+    slots = F.array(*[F.shiftrightunsigned("key", n).bitwiseAND(F.lit((1 << bits_log2) - 1)) for n in SLOT_SHIFTS])
     words = (
-        keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+        keys.select(F.explode(slots).alias("slot"))
+        .select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
     )
@@ -63,8 +68,11 @@ def in_filter(words, keys, bits_log2: int):
     """Boolean array: may ``keys`` (uint64) be in the filter?"""
     import numpy as np
 
-    slot = keys & np.uint64((1 << bits_log2) - 1)
-    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    found = np.ones(len(keys), bool)
+    for n in SLOT_SHIFTS:
+        slot = (keys >> np.uint64(n)) & np.uint64((1 << bits_log2) - 1)
+        found &= (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    return found
 
 
 def slices(batches, rows: int = 256):

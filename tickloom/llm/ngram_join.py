@@ -27,8 +27,9 @@ from tickloom.llm.common import bit_filter, cut, in_filter, once, slices
 GRAM_WORDS, PERCENT = 5, 75
 #: At most so many frequent grams are broadcast (1 MB), those seen in at least so many documents.
 FREQUENT_GRAMS, FREQUENT_FROM = 1 << 17, 16
-#: Bits of the filter of shared prefix grams as a power of two (8 MB).
-FILTER_BITS = 26
+#: Bits of the filter of shared prefix grams as a power of two (16 MB); it is selective up to some
+#: 20 million shared grams, beyond which the texts of more documents than needed are moved.
+FILTER_BITS = 27
 BLOCK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
