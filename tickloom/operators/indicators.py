@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tickloom.functions import kernels
 from tickloom.functions.windows import KEY, by_index, whole
@@ -36,5 +37,5 @@ def volume_scores(bars: DataFrame) -> DataFrame:
     signed = F.when(F.col("close") > before, F.col("vol")).when(F.col("close") < before, -F.col("vol")).otherwise(0.0)
     score = F.try_divide(F.when(F.col("close") > F.col("open"), F.col("vol")).otherwise(-F.col("vol")), F.avg("vol").over(whole()))
     steps = bars.select(*KEY, "idx", F.coalesce(score, F.lit(0.0)).alias("vp_score"), signed.alias("_step"))
-    running = by_index().rowsBetween(-(1 << 62), 0)
+    running = by_index().rowsBetween(Window.unboundedPreceding, 0)
     return steps.select(*KEY, "idx", "vp_score", F.sum("_step").over(running).alias("obv"))

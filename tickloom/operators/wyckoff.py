@@ -33,7 +33,7 @@ def last_of(flag: Column, n: int) -> Column:
 
 def event_flags(bars: DataFrame, baseline: str = "whole") -> DataFrame:
     """A flag column per event type and bar. ``baseline="trailing"`` takes means of the past only."""
-    span = whole() if baseline == "whole" else back(-(1 << 62), 0)
+    span = whole() if baseline == "whole" else back(Window.unboundedPreceding, 0)
     n = F.count("*").over(whole())
     spread, up = F.col("high") - F.col("low"), F.col("close") > F.col("open")
     body = F.abs(F.col("close") - F.col("open"))
@@ -118,7 +118,8 @@ def swings(bars: DataFrame, n: int = SWING, tolerance: float | None = None) -> D
     is_top = F.col("high") >= top if tolerance is None else F.abs(F.col("high") - top) < tolerance
     is_bottom = F.col("low") <= bottom if tolerance is None else F.abs(F.col("low") - bottom) < tolerance
     point = lambda test, kind, c: F.when(full & test, F.struct(F.lit(kind).alias("kind"), F.col(c).alias("price")))
-    return bars.select(*KEY, "idx", "ts", F.inline(F.array_compact(F.array(point(is_top, "high", "high"), point(is_bottom, "low", "low")))))
+    found = bars.select(*KEY, "idx", "ts", F.array(point(is_top, "high", "high"), point(is_bottom, "low", "low")).alias("found"))
+    return found.select(*KEY, "idx", "ts", F.inline(F.array_compact("found")))
 
 
 def ranges_from_events(bars: DataFrame, found: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def phases(bars: DataFrame, found: DataFrame, ranges: DataFrame) -> DataFrame:
     starts = starts.withColumn("fell", F.coalesce(F.col("c0") - F.col("c1"), F.lit(0.0)) < 0).select(*KEY, "no", F.col("start_idx").alias("s"), F.col("end_idx").alias("e"), "upper", "lower", "fell")
     # ranges of a series don't overlap, so the range at or before a bar is the last one that has begun
     begun = starts.select(*KEY, F.col("s").alias("idx"), F.struct("s", "e", "upper", "lower", "fell").alias("r"))
-    spread = rows.join(begun, [*KEY, "idx"], "left").withColumn("range", F.last("r", ignorenulls=True).over(back(-(1 << 62), 0)))
+    spread = rows.join(begun, [*KEY, "idx"], "left").withColumn("range", F.last("r", ignorenulls=True).over(back(Window.unboundedPreceding, 0)))
     any_range = F.max(F.col("r").isNotNull()).over(whole())
     flags = found.groupBy(*KEY, "idx").agg(*[F.max(F.col("event_type").isin(*names)).alias(f"_{k}") for k, names in (("d", ("LPS", "LPSY", "SOS", "SOW")), ("c", ("Spring", "UTAD")), ("b", ("ST",)), ("a", ("AR", "SC", "BC")))])
     spread = spread.withColumn("any", any_range).join(flags, [*KEY, "idx"], "left")

@@ -37,15 +37,16 @@ def from_keyed_rows(payloads: DataFrame) -> DataFrame:
 def from_lines(payloads: DataFrame) -> DataFrame:
     """data.klines: texts "date,open,close,high,low,volume,...".."""
     lines = F.from_json("payload", "data struct<klines: array<string>>")["data"]["klines"]
-    rows = payloads.select("symbol", "tf", F.split(F.explode(lines), ",").alias("r")).where(F.size("r") >= 6)
+    rows = payloads.select("symbol", "tf", F.explode(F.transform(lines, lambda x: F.split(x, ","))).alias("r")).where(F.size("r") >= 6)
     at = lambda k: F.element_at("r", k)
     return bars_of(rows, at(1), open=at(2), close=at(3), high=at(4), low=at(5), vol=at(6))
 
 
 def from_table(payloads: DataFrame) -> DataFrame:
     """data.fields names the columns of data.items; dates are yyyyMMdd; rows with open and close 0 are skipped."""
-    data = F.from_json("payload", "data struct<fields: array<string>, items: array<array<string>>>")["data"]
-    rows = payloads.select("symbol", "tf", data["fields"].alias("f"), F.explode(data["items"]).alias("r"))
+    parsed = payloads.select("symbol", "tf", F.from_json("payload", "data struct<fields: array<string>, items: array<array<string>>>")["data"].alias("data"))
+    # the fields go into the generator with each item, else the text would be parsed anew for every row
+    rows = parsed.select("symbol", "tf", F.inline(F.transform("data.items", lambda x: F.struct(F.col("data.fields").alias("f"), x.alias("r")))))
     at = lambda name: F.try_element_at("r", F.array_position("f", name).cast("int"))
     day = F.regexp_replace(at("trade_date"), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     found = bars_of(rows, day, open=at("open"), high=at("high"), low=at("low"), close=at("close"), vol=at("vol"))
