@@ -3,7 +3,8 @@
 Grams are ordered globally, the frequent ones last, and a set's prefix is so long that two sets over the
 threshold share a gram of both prefixes. Documents with identical prefixes and sizes make one group, and only
 groups meet: a gram's groups are compared with the gram's purest group, its hub, under the size and position
-filters, and the pairs that are left are expanded to their members and verified on the whole sets. Links
+filters, and the pairs that are left are expanded to their members and verified on the whole sets, after a test of parities
+that rules most unlike pairs out. Links
 give components. A gram whose documents are one component by then needs no more pairs; in the others the
 documents outside the gram's largest component are compared with all that the filters leave, so no link
 between components is missed.
@@ -104,6 +105,27 @@ def ordered(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([grams[~often], grams[often]])
 
 
+def parity_bits(grams: np.ndarray) -> bytes:
+    """Parities of the grams in as many slots as the set has grams, up to a power of two.
+
+    Two sets differ in at least as many grams as their parities differ in slots.
+    """
+    slots = max(64, 1 << int(len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, n_a: int, b: bytes, n_b: int) -> bool:
+    """No if the parities alone show more different grams than the threshold leaves."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    long, short = 8 * max(len(a), len(b)), 8 * min(len(a), len(b))
+    while long > short:  # the upper half falls onto the lower one
+        long //= 2
+        x, y = (x ^ x >> long) & (1 << long) - 1 if 8 * len(a) > long else x, (y ^ y >> long) & (1 << long) - 1 if 8 * len(b) > long else y
+    need = -(-PERCENT * (n_a + n_b) // (100 + PERCENT))
+    return (x ^ y).bit_count() <= n_a + n_b - 2 * need
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -153,7 +175,7 @@ def shared_grams(docs: DataFrame, frequent) -> np.ndarray:
     return bit_filter(counts.where("count > 1").select("key"), FILTER_BITS)
 
 
-DOCUMENT = "doc_id long, n long, sid binary, gid binary, packed binary, prefix array<struct<gram long, at int>>"
+DOCUMENT = "doc_id long, n long, sid binary, gid binary, packed binary, bits binary, prefix array<struct<gram long, at int>>"
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -167,7 +189,7 @@ def described(docs: DataFrame) -> DataFrame:
         for ids, texts, sets in blocks(batches):
             rows = []
             for doc_id, text, grams in zip(ids, texts, sets):
-                row = {"doc_id": doc_id, "n": len(grams), "sid": None, "gid": None, "packed": None, "prefix": None}
+                row = {"doc_id": doc_id, "n": len(grams), "sid": None, "gid": None, "packed": None, "bits": None, "prefix": None}
                 if len(grams):
                     key = set_key(grams)
                     row["sid"] = np.array(key, np.int64).tobytes()
@@ -176,12 +198,12 @@ def described(docs: DataFrame) -> DataFrame:
                     if len(at) and key not in seen:
                         seen.add(key)
                         row["gid"] = np.array(set_key(prefix), np.int64).tobytes() + len(grams).to_bytes(8, "little")
-                        row["packed"] = packer.compress(text)
+                        row["packed"], row["bits"] = packer.compress(text), parity_bits(grams)
                         row["prefix"] = [{"gram": g, "at": k} for g, k in zip(prefix[at].view(np.int64).tolist(), at.tolist())]
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("gid", pa.binary()), ("packed", pa.binary()), ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())])))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("gid", pa.binary()), ("packed", pa.binary()), ("bits", pa.binary()), ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())])))])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, DOCUMENT)
 
 
@@ -192,7 +214,20 @@ def may_link(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
     return sizes & (F.least(n1 - at1, n2 - at2) >= need)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the parities of their sets do not rule out."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            columns = [batch.column(c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b")]
+            yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*row) for row in zip(*columns)], pa.bool_()))
+
+    side = lambda k: kept.select(F.col("sid").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "bits_a", "n_a", "bits_b", "n_b")
+    return joined.mapInArrow(check, "a binary, b binary")
+
+
+def verified(pairs: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are over the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +253,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("sid").alias("a"), F.col("packed").alias("packed_a"))
     right = texts.select(F.col("sid").alias("b"), F.col("packed").alias("packed_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(check, "a binary, b binary")
+    near = plausible(pairs, kept)
+    return near.join(right, "b").join(left, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(check, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,10 +280,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     nothing and are their own component. Repeated rows link with each other; an empty table gives an empty result.
     """
     found = cut(described(docs))
-    kept = cut(
-        found.where("packed is not null").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "gid", "packed", "prefix")])
-    )
-    texts = kept.select("sid", "packed")
+    given = found.where("packed is not null").groupBy("sid")
+    kept = cut(given.agg(*[F.first(c).alias(c) for c in ("n", "gid", "bits", "prefix")]))
+    texts = given.agg(F.first("packed").alias("packed"))
     groups = kept.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = groups.select("gid", "n", F.inline("prefix"))
     # the members of one group share all of their prefix: the group is a gram of its own, in first place
@@ -263,7 +298,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     first = members.groupBy("gid").agg(F.min("sid").alias("a"), F.count("*").alias("k")).where("k > 1").select("gid", "a")
     within = members.join(first, "gid").where("sid <> a").select("a", F.col("sid").alias("b"))
     tried = across.union(within)
-    links = cut(verified(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts))
+    links = cut(verified(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), kept, texts))
 
     # what the hubs have not settled: per gram, the documents outside its largest component against the others
     roots = components(links)
@@ -277,7 +312,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     rest = minor.join(open_rows.drop("gid", "most"), "gram").where("root <> root_x")
     rest = rest.where(may_link(F.col("n"), F.col("at"), F.col("n_x"), F.col("at_x")))
     more = rest.select(F.least("sid", "x").alias("a"), F.greatest("sid", "x").alias("b")).distinct()
-    more = verified(more, texts)
+    more = verified(more, kept, texts)
 
     roots = components(links.union(more))
     with_root = found.select("doc_id", "n", "sid").join(roots, "sid", "left").withColumn("class", F.coalesce("root", "sid"))
