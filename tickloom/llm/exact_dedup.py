@@ -77,7 +77,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that :func:`exact_dedup` keeps, with all their columns; a repeated row stays once."""
     stay = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     stay = cut(stay.agg(F.count("*").alias("_rows")))
-    marked = docs.withColumn("_key", F.sha2(normalised(text_or_empty()).cast("binary"), 256))
-    on = marked["doc_id"].eqNullSafe(stay["_id"]) & (marked["_key"] == stay["_sha"])
+    # the rows travel as one struct, so that no name of theirs meets one of ours
+    marked = docs.select(F.struct("*").alias("row"), F.sha2(normalised(text_or_empty()).cast("binary"), 256).alias("_key"), F.col("doc_id").alias("_doc"))
+    on = marked["_doc"].eqNullSafe(stay["_id"]) & (marked["_key"] == stay["_sha"])
     repeated = not stay.where("_rows > 1").isEmpty()
-    return once(marked.join(stay, on, "left_semi"), ["doc_id", "_key"], repeated).drop("_key")
+    return once(marked.join(stay, on, "left_semi"), ["_doc", "_key"], repeated).select("row.*")

@@ -127,7 +127,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     plan = plan.withColumn("_passes", passes).where(F.size("_passes") > 0)
     plan = plan.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.flatten(F.collect_list("_passes")).alias("_passes"), F.count("*").alias("_rows"))
     plan = cut(plan)
-    marked = once(docs.withColumn("_key", F.xxhash64("text")), ["doc_id", "source", "_key"], not plan.where("_rows > 1").isEmpty())
-    on = marked["doc_id"].eqNullSafe(plan["_doc_id"]) & marked["source"].eqNullSafe(plan["_source"]) & (marked["_key"] == plan["_text_key"])
-    copies = marked.join(plan, on).withColumn("_at", F.explode("_passes"))
-    return copies.orderBy("_at", "doc_id").select(*docs.columns)
+    # the rows travel as one struct, so that no name of theirs meets one of ours
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.col("source").alias("from"), F.xxhash64("text").alias("key"))
+    rows = once(rows, ["doc", "from", "key"], not plan.where("_rows > 1").isEmpty())
+    on = rows["doc"].eqNullSafe(plan["_doc_id"]) & rows["from"].eqNullSafe(plan["_source"]) & (rows["key"] == plan["_text_key"])
+    copies = rows.join(plan, on).withColumn("at", F.explode("_passes"))
+    return copies.orderBy("at", "doc").select("row.*")
