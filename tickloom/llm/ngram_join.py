@@ -115,6 +115,15 @@ def parity_bits(grams: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+#: Words of the parities of fixed size, over which pairs are tested inside the join.
+PARITY_WORDS = 8
+
+
+def parity_words(grams: np.ndarray) -> list[int]:
+    odd = np.bincount((grams & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def may_be_similar(a: bytes, n_a: int, b: bytes, n_b: int) -> bool:
     """No if the parities alone show more different grams than the threshold leaves."""
     x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
@@ -175,7 +184,7 @@ def shared_grams(docs: DataFrame, frequent) -> np.ndarray:
     return bit_filter(counts.where("count > 1").select("key"), FILTER_BITS)
 
 
-DOCUMENT = "doc_id long, n long, sid binary, gid binary, packed binary, bits binary, prefix array<struct<gram long, at int>>"
+DOCUMENT = "doc_id long, n long, sid binary, gid binary, packed binary, bits binary, words array<long>, prefix array<struct<gram long, at int>>"
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -189,7 +198,7 @@ def described(docs: DataFrame) -> DataFrame:
         for ids, texts, sets in blocks(batches):
             rows = []
             for doc_id, text, grams in zip(ids, texts, sets):
-                row = {"doc_id": doc_id, "n": len(grams), "sid": None, "gid": None, "packed": None, "bits": None, "prefix": None}
+                row = {"doc_id": doc_id, "n": len(grams), "sid": None, "gid": None, "packed": None, "bits": None, "words": None, "prefix": None}
                 if len(grams):
                     key = set_key(grams)
                     row["sid"] = np.array(key, np.int64).tobytes()
@@ -198,18 +207,29 @@ def described(docs: DataFrame) -> DataFrame:
                     if len(at) and key not in seen:
                         seen.add(key)
                         row["gid"] = np.array(set_key(prefix), np.int64).tobytes() + len(grams).to_bytes(8, "little")
-                        row["packed"], row["bits"] = packer.compress(text), parity_bits(grams)
+                        row["packed"], row["bits"], row["words"] = packer.compress(text), parity_bits(grams), parity_words(grams)
                         row["prefix"] = [{"gram": g, "at": k} for g, k in zip(prefix[at].view(np.int64).tolist(), at.tolist())]
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("gid", pa.binary()), ("packed", pa.binary()), ("bits", pa.binary()), ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())])))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("gid", pa.binary()), ("packed", pa.binary()), ("bits", pa.binary()), ("words", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())])))])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, DOCUMENT)
 
 
+def needed(n1: Column, n2: Column) -> Column:
+    """Grams that two sets of these sizes share at least if they link."""
+    return F.ceil(F.lit(PERCENT) * (n1 + n2) / F.lit(100 + PERCENT) - F.lit(1e-9))
+
+
+def few_odd(words1: str, n1: Column, words2: str, n2: Column) -> Column:
+    """Do the parities leave it open that the sets link?"""
+    apart = sum(F.bit_count(F.get(words1, F.lit(k)).bitwiseXOR(F.get(words2, F.lit(k)))) for k in range(PARITY_WORDS))
+    return apart <= n1 + n2 - 2 * needed(n1, n2)
+
+
 def may_link(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
     """Size and position filters for two sets whose first common gram stands at these places of their orders."""
-    need = F.ceil(F.lit(PERCENT) * (n1 + n2) / F.lit(100 + PERCENT) - F.lit(1e-9))
+    need = needed(n1, n2)
     sizes = (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1)
     return sizes & (F.least(n1 - at1, n2 - at2) >= need)
 
@@ -281,12 +301,12 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     """
     found = cut(described(docs))
     given = found.where("packed is not null").groupBy("sid")
-    kept = cut(given.agg(*[F.first(c).alias(c) for c in ("n", "gid", "bits", "prefix")]))
+    kept = cut(given.agg(*[F.first(c).alias(c) for c in ("n", "gid", "bits", "words", "prefix")]))
     texts = given.agg(F.first("packed").alias("packed"))
     groups = kept.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = groups.select("gid", "n", F.inline("prefix"))
     # the members of one group share all of their prefix: the group is a gram of its own, in first place
-    members = kept.select("sid", "gid", "n")
+    members = kept.select("sid", "gid", "n", "words")
 
     purest = F.min(F.struct("at", "n", "gid"))
     hubs = rows.groupBy("gram").agg(F.count("*").alias("groups"), purest.alias("hub")).where("groups > 1")
@@ -302,15 +322,15 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     # what the hubs have not settled: per gram, the documents outside its largest component against the others
     roots = components(links)
-    placed = members.join(roots, "sid", "left").select("sid", "gid", "n", F.coalesce("root", "sid").alias("root"))
+    placed = members.join(roots, "sid", "left").select("sid", "gid", "n", "words", F.coalesce("root", "sid").alias("root"))
     by_gram = rows.select("gram", "gid", "at").union(members.select(F.xxhash64("gid"), "gid", F.lit(0)).distinct())
     single = by_gram.join(placed, "gid")
     sizes = single.groupBy("gram", "root").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("gram").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root"))["root"].alias("most")).where("roots > 1").select("gram", "most")
     open_rows = cut(single.join(largest, "gram"))
-    minor = open_rows.where("root <> most").select("gram", F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("root").alias("root_x"))
+    minor = open_rows.where("root <> most").select("gram", F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("root").alias("root_x"), F.col("words").alias("words_x"))
     rest = minor.join(open_rows.drop("gid", "most"), "gram").where("root <> root_x")
-    rest = rest.where(may_link(F.col("n"), F.col("at"), F.col("n_x"), F.col("at_x")))
+    rest = rest.where(may_link(F.col("n"), F.col("at"), F.col("n_x"), F.col("at_x")) & few_odd("words", F.col("n"), "words_x", F.col("n_x")))
     more = rest.select(F.least("sid", "x").alias("a"), F.greatest("sid", "x").alias("b")).distinct()
     more = verified(more, kept, texts)
 
