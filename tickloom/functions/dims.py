@@ -34,6 +34,24 @@ LOWER = {tf: lower for tf, _, _, _, lower in TIMEFRAMES}
 HIGHER = {tf: higher for tf, _, _, higher, _ in TIMEFRAMES}
 # Index codes that the code mapping takes for Shanghai.
 SHANGHAI_INDEXES = ("000001", "000016", "000300", "000688", "000852", "000905")
+# Main indexes by code, name and abbreviation.
+INDEXES = (
+    ("000001", "上证指数", "szzs"),
+    ("000016", "上证50", "sz50"),
+    ("000300", "沪深300", "hs300"),
+    ("000688", "科创50", "kc50"),
+    ("000905", "中证500", "zz500"),
+    ("000852", "中证1000", "zz1000"),
+    ("399001", "深证成指", "szcz"),
+    ("399006", "创业板指", "cybz"),
+    ("399005", "中小100", "zx100"),
+    ("399330", "深证100", "sz100"),
+)
+
+
+def index_dimension(spark: SparkSession) -> DataFrame:
+    """The main indexes; some codes are also those of stocks, and the vendor codes take the index."""
+    return spark.createDataFrame(list(INDEXES), "symbol string, name string, abbreviation string")
 
 
 def mapping(values: dict) -> Column:

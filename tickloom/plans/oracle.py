@@ -56,6 +56,24 @@ e AS (WITH RECURSIVE r AS (
         sa + CASE WHEN c.idx <= 11 THEN close ELSE 0 END AS sa, sb + CASE WHEN c.idx <= 25 THEN close ELSE 0 END AS sb, r.dea AS dea0, r.sd AS sd0
       FROM r JOIN c ON r.symbol = c.symbol AND r.tf = c.tf AND c.idx = r.idx + 1)))
   SELECT * FROM r)"""
+MERGED = """
+r AS (WITH RECURSIVE x AS (
+  SELECT symbol, tf, 0 AS step, 0 AS pos, NULL::DOUBLE AS before, high AS h, low AS l, 0 AS idx, 0 AS extreme, 1 AS members, vol, amount FROM bars WHERE idx = 0
+  UNION ALL
+  SELECT symbol, tf, step + 1, CASE WHEN inc THEN pos ELSE pos + 1 END, CASE WHEN inc THEN before ELSE h END,
+    CASE WHEN NOT inc THEN high WHEN up THEN greatest(h, high) ELSE least(h, high) END, CASE WHEN NOT inc THEN low WHEN up THEN greatest(l, low) ELSE least(l, low) END,
+    CASE WHEN inc THEN idx ELSE step + 1 END, CASE WHEN inc AND CASE WHEN up THEN h > high ELSE l < low END THEN extreme ELSE step + 1 END, CASE WHEN inc THEN members + 1 ELSE 1 END,
+    CASE WHEN inc THEN vol + bvol ELSE bvol END, CASE WHEN inc THEN amount + bamount ELSE bamount END
+  FROM (SELECT x.*, b.high, b.low, b.vol AS bvol, b.amount AS bamount, x.before < x.h AS up,
+      x.pos >= 1 AND x.before <> x.h AND ((x.h <= b.high AND x.l >= b.low) OR (x.h >= b.high AND x.l <= b.low)) AS inc
+    FROM x JOIN bars b ON b.symbol = x.symbol AND b.tf = x.tf AND b.idx = x.step + 1))
+  SELECT * FROM x),
+merged AS (SELECT symbol, tf, pos, max(idx) AS idx, arg_max(extreme, step) AS extreme, arg_max(h, step) AS high, arg_max(l, step) AS low, max(members) AS members, arg_max(vol, step) AS vol, arg_max(amount, step) AS amount FROM r GROUP BY symbol, tf, pos),
+merged_ts AS (SELECT m.symbol, m.tf, pos, m.idx, b.ts, m.high, m.low, members, m.vol, round(m.amount, 6) AS amount FROM merged m JOIN bars b ON m.symbol = b.symbol AND m.tf = b.tf AND m.extreme = b.idx)"""
+FRACTALS = """
+f0 AS (SELECT *, CASE WHEN high > lag(high) OVER w AND high > lead(high) OVER w AND low > lag(low) OVER w AND low > lead(low) OVER w THEN 'top'
+    WHEN high < lag(high) OVER w AND high < lead(high) OVER w AND low < lag(low) OVER w AND low < lead(low) OVER w THEN 'bottom' END AS fx_type FROM merged_ts WINDOW w AS (PARTITION BY symbol, tf ORDER BY pos)),
+f1 AS (SELECT *, CASE WHEN fx_type = 'top' THEN high ELSE low END AS price, row_number() OVER (PARTITION BY symbol, tf ORDER BY pos) - row_number() OVER (PARTITION BY symbol, tf, fx_type ORDER BY pos) AS island FROM f0 WHERE fx_type IS NOT NULL)"""
 WYCKOFF = """
 w0 AS (SELECT *, avg(vol) OVER s AS mv, avg(high - low) OVER s AS ms, count(*) OVER s AS n, lag(close, CASE WHEN idx < 10 THEN idx ELSE 10 END) OVER w AS far, lag(abs(close - open)) OVER w AS body0,
     max(high) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS top5, max(high) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS top10, min(low) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS low10
@@ -154,6 +172,9 @@ ORACLE: dict[str, str] = {
       FROM e JOIN c USING (symbol, tf, idx)""", RECURSION),
     "volume_scores": bars("""SELECT symbol, tf, idx, round(coalesce(CASE WHEN close > open THEN vol ELSE -vol END / mv, 0), 6) AS vp_score, sum(CASE WHEN close > p THEN vol WHEN close < p THEN -vol ELSE 0 END) OVER (PARTITION BY symbol, tf ORDER BY idx) AS obv
       FROM (SELECT *, nullif(avg(vol) OVER (PARTITION BY symbol, tf), 0) AS mv, lag(close) OVER (PARTITION BY symbol, tf ORDER BY idx) AS p FROM bars)"""),
+    "merged_bars": bars("SELECT * FROM merged_ts", MERGED),
+    "fractals": bars("""SELECT symbol, tf, pos, idx, ts, fx_type, price FROM f1
+      QUALIFY row_number() OVER (PARTITION BY symbol, tf, fx_type, island ORDER BY CASE WHEN fx_type = 'top' THEN -price ELSE price END, pos) = 1""", MERGED, FRACTALS),
     "wyckoff_events": bars("SELECT * FROM found", WYCKOFF),
     "event_feed": bars("SELECT symbol, tf, idx, event_type, price, CASE WHEN event_type IN ('PS', 'SC', 'AR', 'ST', 'Spring', 'SOS', 'LPS', 'JOC') THEN 'bullish' ELSE 'bearish' END AS bias FROM found", WYCKOFF),
     "effort_result": bars("""SELECT symbol, tf, idx, round(effort, 6) AS effort, round(result, 6) AS result, up, CASE WHEN effort > 1.3 AND result > 0.015 THEN 'harmonious' WHEN effort > 1.3 OR result > 0.015 THEN 'divergent' ELSE 'neutral' END AS harmony,

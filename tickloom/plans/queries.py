@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import dims
-from tickloom.functions.windows import KEY
+from tickloom.functions.windows import KEY, with_index
 from tickloom.operators import bars as B
 from tickloom.operators import fusion, indicators, quality, signals, structure, wyckoff
 from tickloom.plans.oracle import ORACLE
@@ -145,8 +145,6 @@ def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = low.join(spans, "symbol").where("ts >= start_ts and ts <= end_ts")
     # one series per leg: the leg becomes part of the key
     rows = inside.withColumn("tf", F.concat("tf", F.lit("/"), F.col("leg").cast("string"))).drop("leg", "start_ts", "end_ts", "idx")
-    from tickloom.functions.windows import with_index
-
     return structure.structures(with_index(rows, "ts")).groupBy(*KEY, "level", "kind").agg(F.count("*").alias("n"))
 
 
