@@ -111,6 +111,12 @@ def swing_sql(high: str, low: str) -> str:
         WINDOW w AS (PARTITION BY symbol, tf ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE idx >= 5 AND idx < n - 5)""")
 
 
+TREND_LINES = """
+  SELECT symbol, tf, CASE kind WHEN 'high' THEN 'resistance' ELSE 'support' END AS line_type, min(idx) AS start_idx, max(idx) AS end_idx, arg_min(price, idx) AS start_price, arg_max(price, idx) AS end_price,
+    round((arg_max(price, idx) - arg_min(price, idx)) / (max(idx) - min(idx)), 6) AS slope
+  FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY symbol, tf, kind ORDER BY idx DESC) <= 2) GROUP BY symbol, tf, kind HAVING count(*) = 2"""
+
+
 def calendar_sql(unit: str, tf: str) -> str:
     return daily(f"SELECT symbol, '{tf}' AS tf, date_trunc('{unit}', ts)::TIMESTAMP AS period, max(ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(vol) AS vol FROM daily GROUP BY symbol, date_trunc('{unit}', ts)")
 
@@ -184,6 +190,7 @@ ORACLE: dict[str, str] = {
       FROM (SELECT *, count(*) OVER (PARTITION BY symbol, tf) AS n FROM bars) GROUP BY symbol, tf"""),
     "appearances": bars("""SELECT symbol, tf, idx, heavy AND (close >= open OR move > -0.01) AS demand, heavy AND (close <= open OR move < 0.01) AS supply FROM (SELECT *, coalesce((close - open) / nullif(open, 0), 0) AS move,
       idx >= 5 AND vol > 1.5 * avg(vol) OVER (PARTITION BY symbol, tf ORDER BY idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS heavy FROM bars)"""),
+    "trend_lines": f"WITH p AS ({swing_sql('abs(high - top) < 0.01 AND n >= 20', 'abs(low - bottom) < 0.01 AND n >= 20')}) {TREND_LINES}",
     "swings": swing_sql("high >= top", "low <= bottom"),
     "significant_points": swing_sql("abs(high - top) < 0.01", "abs(low - bottom) < 0.01"),
 }
