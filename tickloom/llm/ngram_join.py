@@ -9,7 +9,7 @@ give components. A gram whose documents are one component by then needs no more
 documents outside the gram's largest component are compared with all that the filters leave, so no link
 between components is missed.
 
-Grams are 64-bit hashes. Which grams count as frequent only decides the order, so any choice is right.
+Grams and groups go by 64-bit hashes, sets by 128 bits. Which grams count as frequent only decides the order, so any choice is right.
 """
 
 from __future__ import annotations
@@ -184,7 +184,7 @@ def shared_grams(docs: DataFrame, frequent) -> np.ndarray:
     return bit_filter(counts.where("count > 1").select("key"), FILTER_BITS)
 
 
-DOCUMENT = "doc_id long, n long, sid binary, gid binary, packed binary, bits binary, words array<long>, prefix array<struct<gram long, at int>>"
+DOCUMENT = "doc_id long, n long, sid binary, gid long, packed binary, bits binary, words array<long>, prefix array<struct<gram long, at int>>"
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -206,13 +206,13 @@ def described(docs: DataFrame) -> DataFrame:
                     at = np.flatnonzero(in_filter(shared.value, prefix, FILTER_BITS))
                     if len(at) and key not in seen:
                         seen.add(key)
-                        row["gid"] = np.array(set_key(prefix), np.int64).tobytes() + len(grams).to_bytes(8, "little")
+                        row["gid"] = int(mixed(np.array([set_key(prefix)[0]]).view(np.uint64) + np.uint64(len(grams))).view(np.int64)[0])
                         row["packed"], row["bits"], row["words"] = packer.compress(text), parity_bits(grams), parity_words(grams)
                         row["prefix"] = [{"gram": g, "at": k} for g, k in zip(prefix[at].view(np.int64).tolist(), at.tolist())]
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("gid", pa.binary()), ("packed", pa.binary()), ("bits", pa.binary()), ("words", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())])))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("gid", pa.int64()), ("packed", pa.binary()), ("bits", pa.binary()), ("words", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())])))])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, DOCUMENT)
 
 
@@ -322,12 +322,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     # what the hubs have not settled: per gram, the documents outside its largest component against the others
     roots = components(links)
-    placed = members.join(roots, "sid", "left").select("sid", "gid", "n", "words", F.coalesce("root", "sid").alias("root"))
+    # (a gram's rows carry 64-bit ids only; what a pair is tested on joins the rows of open grams alone)
+    placed = members.join(roots, "sid", "left").select("sid", "gid", "n", "words", F.xxhash64(F.coalesce("root", "sid")).alias("root"))
     by_gram = rows.select("gram", "gid", "at").union(members.select(F.xxhash64("gid"), "gid", F.lit(0)).distinct())
-    single = by_gram.join(placed, "gid")
+    single = by_gram.join(placed.select("gid", "root").distinct(), "gid")
     sizes = single.groupBy("gram", "root").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("gram").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root"))["root"].alias("most")).where("roots > 1").select("gram", "most")
-    open_rows = cut(single.join(largest, "gram"))
+    open_rows = cut(single.join(largest, "gram")).join(placed, ["gid", "root"])
     minor = open_rows.where("root <> most").select("gram", F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("root").alias("root_x"), F.col("words").alias("words_x"))
     rest = minor.join(open_rows.drop("gid", "most"), "gram").where("root <> root_x")
     rest = rest.where(may_link(F.col("n"), F.col("at"), F.col("n_x"), F.col("at_x")) & few_odd("words", F.col("n"), "words_x", F.col("n_x")))
