@@ -31,6 +31,8 @@ FREQUENT_GRAMS, FREQUENT_FROM = 1 << 17, 16
 #: Bits of the filter of shared prefix grams as a power of two (16 MB); it is selective up to some
 #: 20 million shared grams, beyond which the texts of more documents than needed are moved.
 FILTER_BITS = 27
+#: The same for the sets whose texts are compared (2 MB).
+WANTED_BITS = 24
 BLOCK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -247,7 +249,21 @@ def plausible(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
+def texts_of(pairs: DataFrame, given: DataFrame) -> DataFrame:
+    """sid and packed text of the sets that stand in the pairs, and few others: a filter keeps the rest from moving."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("sid")).select(F.xxhash64("sid").alias("key"))
+    wanted = pairs.sparkSession.sparkContext.broadcast(bit_filter(keys, WANTED_BITS))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = in_filter(wanted.value, batch.column("key").to_numpy().view(np.uint64), WANTED_BITS)
+            yield batch.select(["sid", "packed"]).filter(pa.array(keep))
+
+    chosen = given.select("sid", "packed", F.xxhash64("sid").alias("key")).mapInArrow(choose, "sid binary, packed binary")
+    return chosen.groupBy("sid").agg(F.first("packed").alias("packed"))
+
+
+def verified(pairs: DataFrame, kept: DataFrame, given: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are over the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +287,10 @@ def verified(pairs: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
                 linked.append(100 * common >= PERCENT * (len(sets[x]) + len(sets[y]) - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
+    near = cut(plausible(pairs, kept))
+    texts = texts_of(near, given)
     left = texts.select(F.col("sid").alias("a"), F.col("packed").alias("packed_a"))
     right = texts.select(F.col("sid").alias("b"), F.col("packed").alias("packed_b"))
-    near = plausible(pairs, kept)
     return near.join(right, "b").join(left, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(check, "a binary, b binary")
 
 
@@ -300,9 +317,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     nothing and are their own component. Repeated rows link with each other; an empty table gives an empty result.
     """
     found = cut(described(docs))
-    given = found.where("packed is not null").groupBy("sid")
-    kept = cut(given.agg(*[F.first(c).alias(c) for c in ("n", "gid", "bits", "words", "prefix")]))
-    texts = given.agg(F.first("packed").alias("packed"))
+    given = found.where("packed is not null")
+    kept = cut(given.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "gid", "bits", "words", "prefix")]))
     groups = kept.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = groups.select("gid", "n", F.inline("prefix"))
     # the members of one group share all of their prefix: the group is a gram of its own, in first place
@@ -318,7 +334,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     first = members.groupBy("gid").agg(F.min("sid").alias("a"), F.count("*").alias("k")).where("k > 1").select("gid", "a")
     within = members.join(first, "gid").where("sid <> a").select("a", F.col("sid").alias("b"))
     tried = across.union(within)
-    links = cut(verified(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), kept, texts))
+    links = cut(verified(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), kept, given))
 
     # what the hubs have not settled: per gram, the documents outside its largest component against the others
     roots = components(links)
@@ -333,7 +349,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     rest = minor.join(open_rows.drop("gid", "most"), "gram").where("root <> root_x")
     rest = rest.where(may_link(F.col("n"), F.col("at"), F.col("n_x"), F.col("at_x")) & few_odd("words", F.col("n"), "words_x", F.col("n_x")))
     more = rest.select(F.least("sid", "x").alias("a"), F.greatest("sid", "x").alias("b")).distinct()
-    more = verified(more, kept, texts)
+    more = verified(more, kept, given)
 
     roots = components(links.union(more))
     with_root = found.select("doc_id", "n", "sid").join(roots, "sid", "left").withColumn("class", F.coalesce("root", "sid"))
