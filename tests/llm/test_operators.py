@@ -173,6 +173,20 @@ def test_ngram_join(spark, corpus):
     assert sorted(map(tuple, ngram_join.ngram_join(table(spark, corpus)).collect()), key=str) == want
 
 
+def test_keep_one_goes_by_doc_id_and_text(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    near = lambda k: text(k) + " end"
+    stay = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (5, text("e")), (6, text("f")), (None, ""), (8, None)]
+    go = [(6, near("e")), (None, near("e")), (1, text("a")), (None, text("c")), (None, "")]
+    either = [(None, text("g")), (None, near("g"))]
+    docs = table(spark, stay + go + either)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    rest = sorted([(r.doc_id, r.text) for r in kept.collect()], key=str)
+    assert [r for r in rest if r not in either] == sorted(stay, key=str)
+    assert len(rest) == len(stay) + 1
+
+
 def test_suffix_dedup(spark):
     rnd = random.Random(3)
     base = ["".join(rnd.choice("abcdé \n") for _ in range(700)) for _ in range(4)]

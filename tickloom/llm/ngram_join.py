@@ -14,6 +14,7 @@ Grams and groups go by 64-bit hashes, sets by 128 bits. Which grams count as fre
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import bit_filter, cut, in_filter, once, slices
+from tickloom.llm.common import bit_filter, cut, in_filter, once, slices, text_or_empty
 
 GRAM_WORDS, PERCENT = 5, 75
 #: At most so many frequent grams are broadcast (1 MB), those seen in at least so many documents.
@@ -186,11 +187,11 @@ def shared_grams(docs: DataFrame, frequent) -> np.ndarray:
     return bit_filter(counts.where("count > 1").select("key"), FILTER_BITS)
 
 
-DOCUMENT = "doc_id long, n long, sid binary, gid long, packed binary, bits binary, words array<long>, prefix array<struct<gram long, at int>>"
+DOCUMENT = "doc_id long, digest binary, n long, sid binary, gid long, packed binary, bits binary, words array<long>, prefix array<struct<gram long, at int>>"
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """Every document's set size and set id; for the first of each set in a task its group, shared prefix grams and text."""
+def described(docs: DataFrame, with_digest: bool) -> DataFrame:
+    """Every document's set size and set id, and the text's digest if asked for; for the first of each set in a task its group, shared prefix grams and text."""
     context = docs.sparkSession.sparkContext
     frequent = context.broadcast(frequent_grams(docs))
     shared = context.broadcast(shared_grams(docs, frequent))
@@ -200,7 +201,8 @@ def described(docs: DataFrame) -> DataFrame:
         for ids, texts, sets in blocks(batches):
             rows = []
             for doc_id, text, grams in zip(ids, texts, sets):
-                row = {"doc_id": doc_id, "n": len(grams), "sid": None, "gid": None, "packed": None, "bits": None, "words": None, "prefix": None}
+                digest = hashlib.sha256(text).digest() if with_digest else None
+                row = {"doc_id": doc_id, "digest": digest, "n": len(grams), "sid": None, "gid": None, "packed": None, "bits": None, "words": None, "prefix": None}
                 if len(grams):
                     key = set_key(grams)
                     row["sid"] = np.array(key, np.int64).tobytes()
@@ -214,7 +216,7 @@ def described(docs: DataFrame) -> DataFrame:
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("gid", pa.int64()), ("packed", pa.binary()), ("bits", pa.binary()), ("words", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())])))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sid", pa.binary()), ("gid", pa.int64()), ("packed", pa.binary()), ("bits", pa.binary()), ("words", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())])))])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, DOCUMENT)
 
 
@@ -308,15 +310,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; one row per input row.
-
-    Two documents link when the Jaccard similarity of their sets of 5-word grams is 0.75 or more; the
-    component is the smallest doc_id reachable by links, a null doc_id counting as the largest. With fewer
-    than five words the whole sequence is the only gram; null, empty and white-space texts have none, link with
-    nothing and are their own component. Repeated rows link with each other; an empty table gives an empty result.
-    """
-    found = cut(described(docs))
+def classes(docs: DataFrame, with_digest: bool = False) -> DataFrame:
+    """doc_id, digest, n, class of every document: ``class`` names its component and is null where the set is empty."""
+    found = cut(described(docs, with_digest))
     given = found.where("packed is not null")
     kept = cut(given.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "gid", "bits", "words", "prefix")]))
     groups = kept.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -352,15 +348,36 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     more = verified(more, kept, given)
 
     roots = components(links.union(more))
-    with_root = found.select("doc_id", "n", "sid").join(roots, "sid", "left").withColumn("class", F.coalesce("root", "sid"))
-    with_root = cut(with_root.select("doc_id", "n", "class"))
+    with_root = found.select("doc_id", "digest", "n", "sid").join(roots, "sid", "left").withColumn("class", F.coalesce("root", "sid"))
+    return cut(with_root.select("doc_id", "digest", "n", "class"))
+
+
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; one row per input row.
+
+    Two documents link when the Jaccard similarity of their sets of 5-word grams is 0.75 or more; the
+    component is the smallest doc_id reachable by links, a null doc_id counting as the largest. With fewer
+    than five words the whole sequence is the only gram; null, empty and white-space texts have none, link with
+    nothing and are their own component. Repeated rows link with each other; an empty table gives an empty result.
+    """
+    with_root = classes(docs)
     smallest = cut(with_root.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")))
     return with_root.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all columns; a repeated row stays once."""
-    stay = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id"))
-    stay = cut(stay.agg(F.count("*").alias("_rows")))
+    """One document of each component, with all columns: the one with the smallest doc_id (null last), then text digest.
+
+    Documents go by doc_id and text, null counting as the empty text, so unlike texts under one doc_id or without
+    one all stay; a repeated row stays once.
+    """
+    each = classes(docs, with_digest=True).groupBy("class", "doc_id", "digest").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "rows")).alias("first")
+    linked = each.where("class is not null").groupBy("class").agg(first).select("first.doc_id", "first.digest", "first.rows")
+    stay = linked.union(each.where("class is null").select("doc_id", "digest", "rows"))
+    stay = cut(stay.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha"), F.col("rows").alias("_rows")))
+    # the rows travel as one struct, so that no name of theirs meets one of ours
+    marked = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("_key"), F.col("doc_id").alias("_doc"))
+    on = marked["_doc"].eqNullSafe(stay["_id"]) & (marked["_key"] == stay["_sha"])
     repeated = not stay.where("_rows > 1").isEmpty()
-    return once(docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi"), ["doc_id"], repeated)
+    return once(marked.join(stay, on, "left_semi"), ["_doc", "_key"], repeated).select("row.*")
