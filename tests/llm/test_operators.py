@@ -247,6 +247,14 @@ def test_line_dedup(spark):
     assert got == [("1", 0, "a\nb\nc\nd"), ("2", 3, "x\ny"), ("2", 3, "x\ny"), ("3", 0, "b\nc"), ("4", 3, "q"), ("5", 0, ""), ("None", 3, "")]
 
 
+def test_line_dedup_by_words(spark):
+    line = lambda k, n: " ".join([k] * n)
+    long, half, rest, short = line("l", 50), line("h", 30), line("r", 20), line("s", 49)
+    rows = [(1, f"{long}\na\n{half}\n{rest}\nb\n{short}"), (2, long), (3, f"x\n{half}\n{rest}\ny"), (4, f"{half}\nz"), (5, short), (6, long), (7, f"{long}\na"), (None, f"{half}\n{rest}")]
+    got = sorted((str(r.doc_id), r.n_removed, r.kept_text) for r in line_dedup.line_dedup(table(spark, rows)).collect())
+    assert got == [("1", 0, rows[0][1]), ("2", 1, ""), ("3", 2, "x\ny"), ("4", 0, f"{half}\nz"), ("5", 0, short), ("6", 1, ""), ("7", 2, ""), ("None", 2, "")]
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.score(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", "quality", "score").toPandas()

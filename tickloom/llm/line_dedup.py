@@ -1,69 +1,76 @@
 """Line dedup by winnowing over line hashes.
 
-In every window of ``MIN_LINES`` lines the smallest line hash is the fingerprint, so two places that share a
-run of that many lines are sure to share a fingerprint at the same place of the run. Only the windows around
+In every window of ``MIN_LINES`` lines, and in every shorter one of ``MIN_WORDS`` words, the smallest line hash
+is the fingerprint, so two places that share a run of that size are sure to share a fingerprint at the same place of the run. Only the windows around
 fingerprints that stand at two places are compared further: equal windows around the same fingerprint extend
 the match to both sides, and overlapping windows make up the whole run. All but the first occurrence go.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import text_or_empty
+from tickloom.llm.common import WORD_CLASS, text_or_empty
 
-MIN_LINES = 3
+MIN_LINES, MIN_WORDS = 3, 50
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
     lines = F.split(text_or_empty(), "\n")
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"))
+    words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD_CLASS)))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), words.alias("words"))
 
 
-def windows(hashed: DataFrame, min_lines: int) -> DataFrame:
-    """key, place, fingerprint, around of every window of ``min_lines`` lines.
+def windows(hashed: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """key, place, n, fingerprint, around of every window of ``min_lines`` lines, or of fewer with ``min_words`` words.
 
-    ``place`` orders windows over the corpus: by doc_id (null last), text, first line.
+    ``place`` orders windows over the corpus: by doc_id (null last), text, first line. ``n`` counts a window's lines.
     """
-    of = F.transform(
-        F.sequence(F.lit(0), F.size("hashes") - min_lines),
-        lambda i: F.struct(i.alias("start"), F.slice("hashes", i + 1, min_lines).alias("lines")),
-    )
-    rows = hashed.where(F.size("hashes") >= min_lines).select("doc_id", "text_key", F.inline(of))
+
+    def of(n: int) -> Column:
+        words = lambda i: sum(F.get("words", i + k) for k in range(n))
+        starts = F.sequence(F.lit(0), F.size("hashes") - 1)
+        starts = F.filter(starts, lambda i: (i + n <= F.size("hashes")) & (F.lit(True) if n == min_lines else words(i) >= min_words))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.slice("hashes", i + 1, n).alias("lines")))
+
+    lengths = range(min_lines if min_words is None else 1, min_lines + 1)
+    rows = hashed.select("doc_id", "text_key", F.inline(F.flatten(F.array(*[of(n) for n in lengths]))))
     found = F.array_min("lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "start")
     anchor = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", (F.col("start") + F.array_position("lines", found)).alias("at"))
-    return rows.select(place.alias("place"), anchor.alias("anchor"), found.alias("fingerprint"), F.xxhash64("lines").alias("around"))
+    return rows.select(place.alias("place"), "n", anchor.alias("anchor"), found.alias("fingerprint"), F.xxhash64("lines").alias("around"))
 
 
-def later_windows(docs: DataFrame, min_lines: int) -> DataFrame:
-    """Places of windows that stand at an earlier place too."""
-    rows = windows(line_hashes(docs), min_lines)
+def later_windows(docs: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """Places and lengths of windows that stand at an earlier place too."""
+    rows = windows(line_hashes(docs), min_lines, min_words)
     shared = rows.groupBy("fingerprint").agg(F.min("anchor").alias("low"), F.max("anchor").alias("high")).where("low <> high").select(F.col("fingerprint").alias("f"))
     near = rows.join(shared, rows["fingerprint"] == shared["f"], "left_semi")
     first = near.groupBy("fingerprint", "around").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
     first = first.select(F.col("fingerprint").alias("f"), F.col("around").alias("a"), "first")
     joined = near.join(first, (near["fingerprint"] == first["f"]) & (near["around"] == first["a"]))
-    return joined.where("place > first").select("place.*")
+    return joined.where("place > first").select("place.*", "n")
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text of every document; one row per input row.
 
-    Lines are what newlines separate. A line goes if it lies in a run of at least ``min_lines`` whole lines
-    that also stands earlier, in the same document or one with a smaller doc_id (null last). Null counts as
+    Lines are what newlines separate. A line goes if it lies in a run of whole lines, ``min_lines`` at least
+    or ``min_words`` words at least, that also stands earlier, in the same document or one with a smaller doc_id
+    (null last); with ``min_words`` None only lines count. Words are what ASCII white space separates. Null counts as
     the empty text, which has one line. Rows that repeat a doc_id and its text are one document and do not
     count as earlier; an empty table gives an empty result.
     """
-    gone = later_windows(docs, min_lines).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("start").alias("starts"))
+    gone = later_windows(docs, min_lines, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    gone = gone.agg(F.collect_set(F.struct("start", "n")).alias("found"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_or_empty().alias("text"))
     on = rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["text_key"] == gone["_key"])
     joined = rows.join(gone, on, "left").withColumn("lines", F.split("text", "\n"))
-    covered = F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.sequence(s, s + min_lines - 1)))
+    covered = F.flatten(F.transform(F.coalesce("found", F.array().cast("array<struct<start: int, n: int>>")), lambda w: F.sequence(w["start"], w["start"] + w["n"] - 1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
     kept = F.transform(stay, lambda i: F.element_at("lines", i + 1))
     return joined.select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(stay)).cast("long").alias("n_removed"),
-        F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.when(F.col("found").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )

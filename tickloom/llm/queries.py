@@ -61,6 +61,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By lines alone, as its SQL has it."""
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return line_dedup(table(spark, sf_dir, "documents"), min_words=None).select("doc_id", "n_lines", "n_removed", kept)
+
+
+def op10_line_winnowing_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By lines and by words: one or two long lines go too."""
     kept = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", kept)
 
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ball_tree_topk": op8_ball_tree_topk,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_winnowing": op10_line_winnowing,
+    "op10_line_winnowing_sized": op10_line_winnowing_sized,
 }
 
 ORACLE: dict[str, str] = {
@@ -146,6 +154,24 @@ WITH d AS (
 ), k AS (
   SELECT d.doc_id, lines, list_filter(range(0, len(lines)), lambda i: NOT list_contains(coalesce(places, []), i)) AS stay FROM d LEFT JOIN gone USING (doc_id)
 )
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(stay, lambda i: lines[i + 1]), chr(10))) AS kept_sha256
+FROM k""",
+    "op10_line_winnowing_sized": r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(0, len(lines))) AS start, lines FROM d
+), w AS (
+  SELECT doc_id, start, n, lines[start + 1 : start + n] AS run FROM p, (VALUES (1), (2), (3)) AS s(n) WHERE start + n <= len(lines)
+), f AS (
+  SELECT doc_id, start, n, min(row(doc_id, start)) OVER (PARTITION BY run) AS first FROM w
+  WHERE n = 3 OR len(regexp_extract_all(array_to_string(run, ' '), '[^\x20\x09-\x0D]+')) >= 50
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list(range(start, start + n)))) AS places FROM f WHERE row(doc_id, start) > first GROUP BY doc_id
+), k AS (
+  SELECT d.doc_id, lines, list_filter(range(0, len(lines)), lambda i: NOT list_contains(coalesce(places, []), i)) AS stay FROM d LEFT JOIN gone USING (doc_id)
+)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_removed,
   sha256(array_to_string(list_transform(stay, lambda i: lines[i + 1]), chr(10))) AS kept_sha256
 FROM k""",
