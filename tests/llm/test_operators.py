@@ -266,3 +266,21 @@ def test_quality_of_odd_texts(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality.score(table(spark, [(1, None), (None, "x"), (2, "")]), labels).collect()
     assert all(r.score == 0.5 and r.predicted == 1 for r in rows)
+
+
+def test_quality_counts_all_documents(spark, monkeypatch):
+    """Edges and the cut are those of all documents however small the sample; a repeated doc_id is one row of it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 150)
+    found = quality.described(docs.union(docs.where("doc_id % 5 = 1")))
+    edges, weights = quality.train(found, labels)
+    rows = np.array([r.row for r in found.where("not held_out").collect()])
+    exact = np.quantile(rows, np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0, method="inverted_cdf").T
+    assert (edges <= exact).all() and (edges >= exact * (1 - 1 / 1000)).all()
+    trusted = [r.quality for r in labels.where(quality.fold() != 0).where("quality is not null").collect()]
+    sums = weights[quality.binned(rows, edges)].sum(axis=1) + weights[-1]
+    part = quality.REJECTED_PART * (1 - np.mean(trusted))
+    low = np.log(quality.THRESHOLD / (1 - quality.THRESHOLD))
+    assert (sums < low - 0.002).mean() <= part <= (sums < low + 0.002).mean()
+    assert len(quality.sampled(found, docs.where("doc_id < 50").select("doc_id"))) == docs.where("doc_id < 50").count()

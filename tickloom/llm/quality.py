@@ -6,7 +6,8 @@ prior * E_P[loss(f)] + max(0, E_U[loss(-f)] - prior * E_P[loss(-f)]) for the log
 through the logistic function is the probability of label 1. Where the estimated risk of negatives turns
 negative its weights stop growing, which leaves scores too high; the intercept is therefore set so that the
 share of unlabelled documents below the threshold is nearly the share of negatives that the prior leaves.
-Features look at the text only.
+The fit is on a bounded sample; bin edges and the threshold's place come from counts over all documents
+outside the held-out fold. Features look at the text only.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import slices
+from tickloom.llm.common import cut, slices
 
 FOLDS, THRESHOLD = 5, 0.3
 #: The model is fitted on at most so many positives and so many unlabelled documents, the first by digest.
@@ -27,6 +28,9 @@ SAMPLE_ROWS = 6000
 #: Part of the negatives' expected share at which the threshold is put; below 1 it rather keeps a document.
 REJECTED_PART = 0.95
 BINS, STEPS, RATE, SHRINK = 12, 400, 0.1, 1e-4
+#: Bits of a feature's mantissa that its histogram drops (1,024 cells an octave are left), and cells of the
+#: histogram of sums of weights, in which one is the unit and 30 the end. Both are of bounded size.
+DROPPED_BITS, SUM_CELLS, SUM_END = 42, 1024, 30
 FEATURES = (
     "log_words", "word_length", "long_words", "upper", "digits", "marks", "pipes", "bangs", "signs", "other_marks",
     "upper_words", "distinct_words", "top_word", "repeats", "lines", "distinct_lines", "line_words", "non_ascii",
@@ -64,9 +68,43 @@ def features(text: str | None) -> np.ndarray:
     ])
 
 
-def edges_of(rows: np.ndarray) -> np.ndarray:
-    """Bin edges of every feature: quantiles of the sample."""
-    return np.quantile(rows, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
+def quantiles(cells: np.ndarray, counts: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The cells in which these parts of the counted rows are reached."""
+    order = np.argsort(cells)
+    reached = np.cumsum(counts[order])
+    return cells[order][np.minimum(np.searchsorted(reached, parts * reached[-1]), len(order) - 1)]
+
+
+def tallied(found: DataFrame, cells_of) -> tuple[np.ndarray, ...]:
+    """Number of rows by column and cell, over all of ``found``; ``cells_of`` makes a matrix of cells from one of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = cells_of(matrix(batch.column("row")))
+            for k in range(cells.shape[1]):
+                cell, n = np.unique(cells[:, k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), pa.array(cell), pa.array(n)], names=["k", "cell", "n"])
+
+    counts = found.select("row").mapInArrow(run, "k int, cell long, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
+    return tuple(counts.column(c).to_numpy() for c in ("k", "cell", "n"))
+
+
+def edges_of(found: DataFrame) -> np.ndarray:
+    """Bin edges of every feature: quantiles over all of ``found``, to a thousandth."""
+    k, cell, n = tallied(found, lambda rows: (rows + 0.0).view(np.int64) >> DROPPED_BITS)  # features are not negative
+    parts = np.linspace(0, 1, BINS + 1)[1:-1]
+    return np.stack([(quantiles(cell[k == j], n[k == j], parts) << DROPPED_BITS).view(np.float64) for j in range(len(FEATURES))])
+
+
+def sum_cut(found: DataFrame, edges: np.ndarray, weights: np.ndarray, part: float) -> float:
+    """The sum of weights below which this part of all of ``found`` stays, to a thousandth."""
+
+    def cells(rows: np.ndarray) -> np.ndarray:
+        sums = weights[binned(rows, edges)].sum(axis=1, keepdims=True) + weights[-1]
+        return np.floor(np.clip(sums, -SUM_END, SUM_END) * SUM_CELLS).astype(np.int64)
+
+    _, cell, n = tallied(found, cells)
+    return float(quantiles(cell, n, np.array([part]))[0] / SUM_CELLS)
 
 
 def binned(rows: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -95,9 +133,6 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarra
         slope = slope + SHRINK * np.append(weights[:-1], 0)
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         weights = weights - RATE * (1 - step / (STEPS + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    if prior < 1:
-        at_u = weights[unlabelled].sum(axis=1) + weights[-1]
-        weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(at_u, REJECTED_PART * (1 - prior))
     return weights
 
 
@@ -105,20 +140,31 @@ def fold():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def feature_rows(docs: DataFrame) -> np.ndarray:
-    """Features of a bounded number of documents, as a matrix on the driver; computed on the executors."""
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES))
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out and the features ``row`` of every document, in the checkpoint folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([features(t).tolist() for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))], names=["row"])
+            rows = pa.array([features(t).tolist() for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), rows], names=["doc_id", "held_out", "row"])
+
+    rows = docs.select("doc_id", (fold() == 0).alias("held_out"), "text")
+    return cut(rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, row array<double>"))
 
-    rows = docs.select("text").mapInArrow(run, "row array<double>").toArrow().column("row").to_pylist()
-    ordered = sorted(rows)  # the fit doesn't depend on the order in which tasks end
-    return np.array(ordered).reshape(len(ordered), len(FEATURES))
 
+def sampled(found: DataFrame, ids: DataFrame) -> np.ndarray:
+    """Features of the documents with these ids, at most SAMPLE_ROWS, as a matrix on the driver; one row an id."""
+    chosen = found.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row").alias("row"))
+    rows = sorted(chosen.toArrow().column("row").to_pylist())  # the fit doesn't depend on the order in which tasks end
+    return np.array(rows).reshape(len(rows), len(FEATURES))
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Bin edges and weights; None where there is no trusted positive or no document to learn from.
+
+def train(found: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Bin edges and weights from described documents; None where there is no trusted positive or no document to learn from.
 
     Only labels outside fold 0 are read. Ids whose labels disagree are left out.
     """
@@ -129,14 +175,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] |
         return None
     by_digest = F.xxhash64("doc_id")
     chosen = trusted.where("quality = 1").select("doc_id").orderBy(by_digest, "doc_id").limit(SAMPLE_ROWS)
-    at_large = docs.where("doc_id is not null").where(fold() != 0).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(SAMPLE_ROWS)
-    texts = docs.select("doc_id", "text")
-    positive = feature_rows(texts.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi"))  # at most SAMPLE_ROWS ids
-    unlabelled = feature_rows(texts.join(F.broadcast(at_large.distinct()), "doc_id", "left_semi"))
+    known = found.where("doc_id is not null and not held_out")
+    at_large = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(SAMPLE_ROWS)
+    positive, unlabelled = sampled(found, chosen), sampled(found, at_large)
     if not len(positive) or not len(unlabelled):
         return None
-    edges = edges_of(unlabelled)
-    return edges, fit(binned(positive, edges), binned(unlabelled, edges), min(max(prior, 0.01), 0.99))
+    edges, prior = edges_of(known), min(max(prior, 0.01), 0.99)
+    weights = fit(binned(positive, edges), binned(unlabelled, edges), prior)
+    weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - sum_cut(known, edges, weights, REJECTED_PART * (1 - prior))
+    return edges, weights
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -146,26 +193,26 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty texts are scored by their (zero) features. Repeated rows get equal scores; an empty table gives an
     empty result. Without any trusted positive every score is 0.5.
     """
-    model = train(docs, labels)
+    rows = described(docs)
+    model = train(rows, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            found = np.full(len(texts), 0.5)
-            if model and texts:
+        for batch in batches:
+            found = np.full(batch.num_rows, 0.5)
+            if model and batch.num_rows:
                 edges, weights = model
-                bins = binned(np.array([features(t) for t in texts]), edges)
+                bins = binned(matrix(batch.column("row")), edges)
                 found = 1 / (1 + np.exp(-np.clip(weights[bins].sum(axis=1) + weights[-1], -30, 30)))
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), "text")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    model = train(docs, labels)
+    model = train(described(docs.where(fold() != 0)), labels)
     if model is None:
         return docs
     names = docs.columns
