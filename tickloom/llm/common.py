@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one job in the shared folder: they cut the lineage as checkpoints do, but are compressed, read by column and can be freed."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder = spark, f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written as a table and read back."""
+        path = f"{self.folder}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path
+        self.held = [*getattr(self, "held", []), table]  # an id stands for one table as long as that lives
+        return table
+
+    def free(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(table)])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def once(rows: DataFrame, keys: list[str], repeated: bool) -> DataFrame:
     """Rows without repeats by ``keys``; the shuffle is spared where the caller knows that there are none."""
     return rows.dropDuplicates(keys) if repeated else rows

@@ -2,14 +2,14 @@
 
 Grams are ordered globally, the frequent ones last, and a set's prefix is so long that two sets over the
 threshold share a gram of both prefixes. Documents with identical prefixes and sizes make one group, and only
-groups meet: a gram's groups are compared with the gram's purest group, its hub, under the size and position
-filters, and the pairs that are left are expanded to their members and verified on the whole sets, after a test of parities
-that rules most unlike pairs out. Links
-give components. A gram whose documents are one component by then needs no more pairs; in the others the
-documents outside the gram's largest component are compared with all that the filters leave, so no link
-between components is missed.
-
-Grams and groups go by 64-bit hashes, sets by 128 bits. Which grams count as frequent only decides the order, so any choice is right.
+groups are listed under their grams. Groups are compared with hubs under the size and position filters, first
+with one hub each, then with the others that lie in another component yet; the pairs that are left are
+expanded to members and verified on the whole sets, after a test of parities that rules most unlike pairs out.
+A list whose documents are one component by then needs no more pairs; in the others the documents outside the
+list's largest component are compared with all that the filters leave, so no link between components is missed.
+
+Grams and groups go by 64-bit hashes, sets by 128 bits; groups that share a hash are only compared once more
+than needed. Which grams count as frequent only decides the order, so any choice is right.
 """
 
 from __future__ import annotations
@@ -24,16 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import bit_filter, cut, in_filter, once, slices, text_or_empty
+from tickloom.llm.common import Scratch, cut, once, slices, text_or_empty
 
 GRAM_WORDS, PERCENT = 5, 75
 #: At most so many frequent grams are broadcast (1 MB), those seen in at least so many documents.
 FREQUENT_GRAMS, FREQUENT_FROM = 1 << 17, 16
-#: Bits of the filter of shared prefix grams as a power of two (16 MB); it is selective up to some
-#: 20 million shared grams, beyond which the texts of more documents than needed are moved.
-FILTER_BITS = 27
-#: The same for the sets whose texts are compared (2 MB).
-WANTED_BITS = 24
+#: Lists over which a frequent gram's groups are dealt.
+SALTS = 64
 BLOCK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,42 +97,34 @@ def set_key(grams: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(a).view(np.int64)), int(np.uint64(b).view(np.int64))
 
 
-def ordered(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A set in the global order: by hash, frequent grams last."""
+def ordered(grams: np.ndarray, frequent: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """The first n grams of a set in the global order, by hash and frequent grams last; and how many of them are not frequent."""
     if not len(frequent):
-        return grams
+        return grams[:n], n
     often = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
-    return np.concatenate([grams[~often], grams[often]])
-
-
-def parity_bits(grams: np.ndarray) -> bytes:
-    """Parities of the grams in as many slots as the set has grams, up to a power of two.
-
-    Two sets differ in at least as many grams as their parities differ in slots.
-    """
-    slots = max(64, 1 << int(len(grams) - 1).bit_length())
-    odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    rare = grams[~often]
+    return np.concatenate([rare, grams[often]])[:n], min(n, len(rare))
 
 
 #: Words of the parities of fixed size, over which pairs are tested inside the join.
 PARITY_WORDS = 8
 
 
-def parity_words(grams: np.ndarray) -> list[int]:
-    odd = np.bincount((grams & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+def parities(grams: np.ndarray, words: int | None = None) -> np.ndarray:
+    """Parities of the grams in 64 slots a word: as many slots as the set has grams, up to a power of two, or of ``words`` words.
+
+    Two sets differ in at least as many grams as their parities differ in slots.
+    """
+    slots = 64 * words if words else max(64 * PARITY_WORDS, 1 << int(len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def may_be_similar(a: bytes, n_a: int, b: bytes, n_b: int) -> bool:
-    """No if the parities alone show more different grams than the threshold leaves."""
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    long, short = 8 * max(len(a), len(b)), 8 * min(len(a), len(b))
-    while long > short:  # the upper half falls onto the lower one
-        long //= 2
-        x, y = (x ^ x >> long) & (1 << long) - 1 if 8 * len(a) > long else x, (y ^ y >> long) & (1 << long) - 1 if 8 * len(b) > long else y
-    need = -(-PERCENT * (n_a + n_b) // (100 + PERCENT))
-    return (x ^ y).bit_count() <= n_a + n_b - 2 * need
+def long_lists(rows: list[np.ndarray | None]) -> pa.Array:
+    """An Arrow column of lists from arrays."""
+    offsets = np.cumsum([0, *(0 if r is None else len(r) for r in rows)]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int64), *(r for r in rows if r is not None)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([r is None for r in rows]))
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -170,53 +159,40 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
     return np.sort(top.select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
 
 
-def shared_grams(docs: DataFrame, frequent) -> np.ndarray:
-    """Filter of the grams that stand in more than one prefix."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for _, _, sets in blocks(batches):
-            found = [np.zeros(0, np.uint64)]
-            for grams in sets:
-                if len(grams) and (key := set_key(grams)) not in seen:
-                    seen.add(key)
-                    found.append(ordered(grams, frequent.value)[: prefix_length(len(grams))])
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate(found))], names=["key"])
-
-    counts = docs.select("text").mapInArrow(keys, "key long").groupBy("key").count()
-    return bit_filter(counts.where("count > 1").select("key"), FILTER_BITS)
-
-
-DOCUMENT = "doc_id long, digest binary, n long, sid binary, gid long, packed binary, bits binary, words array<long>, prefix array<struct<gram long, at int>>"
+DOCUMENT = "doc_id long, digest binary, n long, sid binary, gid long, packed binary, bits array<long>, words array<long>, prefix array<long>, rare int"
 
 
 def described(docs: DataFrame, with_digest: bool) -> DataFrame:
-    """Every document's set size and set id, and the text's digest if asked for; for the first of each set in a task its group, shared prefix grams and text."""
-    context = docs.sparkSession.sparkContext
-    frequent = context.broadcast(frequent_grams(docs))
-    shared = context.broadcast(shared_grams(docs, frequent))
+    """Every document's set size and set id, and the text's digest if asked for; for the first of each set in a task its group, prefix and text.
+
+    ``rare`` counts the grams of the prefix that are not frequent; the frequent ones follow them.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, packer = set(), zstandard.ZstdCompressor(3)
         for ids, texts, sets in blocks(batches):
-            rows = []
-            for doc_id, text, grams in zip(ids, texts, sets):
-                digest = hashlib.sha256(text).digest() if with_digest else None
-                row = {"doc_id": doc_id, "digest": digest, "n": len(grams), "sid": None, "gid": None, "packed": None, "bits": None, "words": None, "prefix": None}
-                if len(grams):
-                    key = set_key(grams)
-                    row["sid"] = np.array(key, np.int64).tobytes()
-                    prefix = ordered(grams, frequent.value)[: prefix_length(len(grams))]
-                    at = np.flatnonzero(in_filter(shared.value, prefix, FILTER_BITS))
-                    if len(at) and key not in seen:
-                        seen.add(key)
-                        row["gid"] = int(mixed(np.array([set_key(prefix)[0]]).view(np.uint64) + np.uint64(len(grams))).view(np.int64)[0])
-                        row["packed"], row["bits"], row["words"] = packer.compress(text), parity_bits(grams), parity_words(grams)
-                        row["prefix"] = [{"gram": g, "at": k} for g, k in zip(prefix[at].view(np.int64).tolist(), at.tolist())]
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    arrow = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sid", pa.binary()), ("gid", pa.int64()), ("packed", pa.binary()), ("bits", pa.binary()), ("words", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())])))])
+            sids, gids, packed, rare, held = [], [], [], [], {"bits": [], "words": [], "prefix": []}
+            for text, grams in zip(texts, sets):
+                key = set_key(grams) if len(grams) else None
+                sids.append(np.array(key, np.int64).tobytes() if key else None)
+                if not key or key in seen:
+                    for column in (gids, packed, rare, *held.values()):
+                        column.append(None)
+                    continue
+                seen.add(key)
+                prefix, n_rare = ordered(grams, frequent.value, prefix_length(len(grams)))
+                gids.append(int(mixed(np.array([set_key(prefix)[0]]).view(np.uint64) + np.uint64(len(grams))).view(np.int64)[0]))
+                packed.append(packer.compress(text))
+                rare.append(n_rare)
+                for name, values in (("bits", parities(grams)), ("words", parities(grams, PARITY_WORDS)), ("prefix", prefix.view(np.int64))):
+                    held[name].append(values)
+            digests = [hashlib.sha256(t).digest() if with_digest else None for t in texts]
+            columns = [ids, digests, [*map(len, sets)], sids, gids, packed, held["bits"], held["words"], held["prefix"], rare]
+            yield pa.RecordBatch.from_arrays([long_lists(c) if f.type == longs else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    longs = pa.list_(pa.int64())
+    arrow = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sid", pa.binary()), ("gid", pa.int64()), ("packed", pa.binary()), ("bits", longs), ("words", longs), ("prefix", longs), ("rare", pa.int32())])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, DOCUMENT)
 
 
@@ -226,47 +202,55 @@ def needed(n1: Column, n2: Column) -> Column:
 
 
 def few_odd(words1: str, n1: Column, words2: str, n2: Column) -> Column:
-    """Do the parities leave it open that the sets link?"""
+    """Do the parities of fixed size leave it open that the sets link?"""
     apart = sum(F.bit_count(F.get(words1, F.lit(k)).bitwiseXOR(F.get(words2, F.lit(k)))) for k in range(PARITY_WORDS))
     return apart <= n1 + n2 - 2 * needed(n1, n2)
 
 
-def may_link(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
-    """Size and position filters for two sets whose first common gram stands at these places of their orders."""
-    need = needed(n1, n2)
-    sizes = (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1)
-    return sizes & (F.least(n1 - at1, n2 - at2) >= need)
+def few_odd_of_any(bits1: str, n1: Column, bits2: str, n2: Column) -> Column:
+    """The same for parities by size, of sets whose sizes are near enough to link: the longer ones are folded once at most."""
+    k = F.least(F.size(bits1), F.size(bits2))
+    word = lambda bits, j: F.get(bits, j).bitwiseXOR(F.coalesce(F.when(F.size(bits) > k, F.get(bits, j + k)), F.lit(0).cast("long")))
+    apart = F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0), lambda total, j: total + F.bit_count(word(bits1, j).bitwiseXOR(word(bits2, j))))
+    return apart <= n1 + n2 - 2 * needed(n1, n2)
 
 
-def plausible(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the parities of their sets do not rule out."""
+def near_sizes(n1: Column, n2: Column) -> Column:
+    return (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            columns = [batch.column(c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b")]
-            yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*row) for row in zip(*columns)], pa.bool_()))
 
-    side = lambda k: kept.select(F.col("sid").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "bits_a", "n_a", "bits_b", "n_b")
-    return joined.mapInArrow(check, "a binary, b binary")
+def may_link(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
+    """Size and position filters for two sets whose first common gram stands at these places of their orders."""
+    return near_sizes(n1, n2) & (F.least(n1 - at1, n2 - at2) >= needed(n1, n2))
+
 
+def listed(found: DataFrame) -> DataFrame:
+    """gram, gid, n, at, rare, hub of the groups' prefixes, without the places whose gram no group of a near size shares.
 
-def texts_of(pairs: DataFrame, given: DataFrame) -> DataFrame:
-    """sid and packed text of the sets that stand in the pairs, and few others: a filter keeps the rest from moving."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("sid")).select(F.xxhash64("sid").alias("key"))
-    wanted = pairs.sparkSession.sparkContext.broadcast(bit_filter(keys, WANTED_BITS))
+    ``hub`` (at, n, gid) is the gram's purest group, the one with the fewest grams before it. The list of a
+    frequent gram is dealt over ``SALTS`` lists, each with a hub of its own.
+    """
+    rows = found.where("prefix is not null").select("gid", "n", F.col("rare").alias("_rare"), F.posexplode("prefix").alias("at", "gram"))
+    rows = rows.withColumn("rare", F.col("at") < F.col("_rare")).drop("_rare").withColumn("salt", F.when(F.col("rare"), 0).otherwise(F.pmod("gid", F.lit(SALTS))).cast("int"))
+    by_size = Window.partitionBy("gram", "salt").orderBy("n")
+    beside = F.coalesce(100 * F.col("n") >= PERCENT * F.lead("n").over(by_size), F.lit(False)) | F.coalesce(100 * F.lag("n").over(by_size) >= PERCENT * F.col("n"), F.lit(False))
+    purest = Window.partitionBy("gram", "salt").orderBy("at", "n", "gid").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("_beside", beside).where(F.col("_beside") | ~F.col("rare"))
+    return near.select("gram", "gid", "n", "at", "rare", F.first(F.struct("at", "n", "gid")).over(purest).alias("hub"))
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keep = in_filter(wanted.value, batch.column("key").to_numpy().view(np.uint64), WANTED_BITS)
-            yield batch.select(["sid", "packed"]).filter(pa.array(keep))
 
-    chosen = given.select("sid", "packed", F.xxhash64("sid").alias("key")).mapInArrow(choose, "sid binary, packed binary")
-    return chosen.groupBy("sid").agg(F.first("packed").alias("packed"))
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """gid, hub, times: groups with the hubs of their grams that size and position let them link with, and the hubs of dealt lists with each other's purest."""
+    purest = Window.partitionBy("gram").orderBy("at", "n", "gid").rowsBetween(Window.unboundedPreceding, 0)
+    hubs = lists.where("not rare and gid = hub.gid").select("gram", "gid", "n", "at").distinct()
+    hubs = hubs.withColumn("hub", F.first(F.struct("at", "n", "gid")).over(purest))
+    rows = lists.select("gid", "n", "at", "hub").unionByName(hubs.drop("gram")).where("gid <> hub.gid")
+    rows = rows.where(may_link(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
+    return rows.groupBy("gid", F.col("hub.gid").alias("hub")).agg(F.count("*").alias("times"))
 
 
-def verified(pairs: DataFrame, kept: DataFrame, given: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are over the threshold."""
+def verified(pairs: DataFrame, members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets are over the threshold, as a table."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -289,67 +273,96 @@ def verified(pairs: DataFrame, kept: DataFrame, given: DataFrame) -> DataFrame:
                 linked.append(100 * common >= PERCENT * (len(sets[x]) + len(sets[y]) - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    near = cut(plausible(pairs, kept))
-    texts = texts_of(near, given)
-    left = texts.select(F.col("sid").alias("a"), F.col("packed").alias("packed_a"))
-    right = texts.select(F.col("sid").alias("b"), F.col("packed").alias("packed_b"))
-    return near.join(right, "b").join(left, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(check, "a binary, b binary")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """sid and root (the smallest reachable) of every node of the links: label spreading with pointer jumping."""
-    both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("sid")).agg(F.min("v").alias("low")).select("sid", F.least("sid", "low").alias("root")))
+    side = lambda k: members.select(F.col("sid").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
+    open_pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("b"), "b").join(side("a"), "a")
+    left_open = near_sizes(F.col("n_a"), F.col("n_b")) & few_odd_of_any("bits_a", F.col("n_a"), "bits_b", F.col("n_b"))
+    near = scratch.keep(open_pairs.where(left_open).select("a", "b"))
+    # only the texts of sets in these pairs move
+    wanted = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    texts = scratch.keep(found.where("packed is not null").select("sid", "packed").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("packed").alias("packed")))
+    of = lambda k: texts.select(F.col("sid").alias(k), F.col("packed").alias(f"packed_{k}"))
+    joined = near.join(of("b"), "b").join(of("a"), "a").select("a", "b", "packed_a", "packed_b")
+    links = scratch.keep(joined.mapInArrow(check, "a binary, b binary"))
+    scratch.free(near, texts)
+    return links
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """sid and root (the smallest reachable) of every node of the links, as a table: label spreading with pointer jumping."""
+    both = scratch.keep(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
+    labels = scratch.keep(both.groupBy(F.col("u").alias("sid")).agg(F.min("v").alias("low")).select("sid", F.col("sid").alias("was"), F.least("sid", "low").alias("root")))
     while True:
         near = both.join(labels.select(F.col("sid").alias("v"), F.col("root").alias("other")), "v").groupBy(F.col("u").alias("sid")).agg(F.min("other").alias("other"))
-        spread = labels.join(near, "sid").select("sid", F.col("root").alias("was"), F.least("root", "other").alias("root"))
+        spread = labels.select("sid", "root").join(near, "sid").select("sid", F.col("root").alias("was"), F.least("root", "other").alias("root"))
         jumped = spread.join(labels.select(F.col("sid").alias("root"), F.col("root").alias("next")), "root")
-        new = cut(jumped.select("sid", "was", F.least("root", "next").alias("root")))
-        labels = new.select("sid", "root")
+        new = scratch.keep(jumped.select("sid", "was", F.least("root", "next").alias("root")))
+        scratch.free(labels)
+        labels = new
         if new.where("was <> root").isEmpty():
+            scratch.free(both)
             return labels
 
 
+def rooted(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (sid, root) after further links, which join the components that stand already."""
+    of = lambda k: labels.select(F.col("sid").alias(k), F.col("root").alias(f"root_{k}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b")
+    higher = components(between, scratch)
+    out = scratch.keep(labels.join(higher.select(F.col("sid").alias("root"), F.col("root").alias("higher")), "root", "left").select("sid", F.coalesce("higher", "root").alias("root")))
+    scratch.free(higher)
+    return out
+
+
+def unsettled(lists: DataFrame, members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets of one list that lie in different components and that the filters leave: one of them outside the list's largest component.
+
+    The members of one group share all of their prefix: the group is a list of its own.
+    """
+    placed = scratch.keep(members.drop("bits").join(labels, "sid").withColumn("root", F.xxhash64("root")))
+    ends = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rows = lists.select("gram", "gid", "at").join(ends, "gid").union(ends.where("low <> high").select(F.xxhash64("gid"), "gid", F.lit(0), "low", "high"))
+    rows = scratch.keep(rows)
+    undecided = rows.groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("gram")
+    open_lists = scratch.keep(rows.select("gram", "gid", "at").join(undecided, "gram", "left_semi").distinct())
+    scratch.free(rows)
+    roots = open_lists.join(placed.select("gid", "root").distinct(), "gid")
+    sizes = roots.groupBy("gram", "root").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("gram").agg(F.max(F.struct("k", "root"))["root"].alias("most"))
+    sets = scratch.keep(open_lists.join(placed, "gid").join(largest, "gram"))
+    scratch.free(open_lists, placed)
+    minor = sets.where("root <> most").select("gram", F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("root").alias("root_x"), F.col("words").alias("words_x"))
+    rest = sets.join(minor, "gram").where("root <> root_x").where((F.col("root") == F.col("most")) | (F.col("sid") < F.col("x")))
+    rest = rest.where(may_link(F.col("n"), F.col("at"), F.col("n_x"), F.col("at_x")) & few_odd("words", F.col("n"), "words_x", F.col("n_x")))
+    return rest.select(F.col("sid").alias("a"), F.col("x").alias("b"))
+
+
 def classes(docs: DataFrame, with_digest: bool = False) -> DataFrame:
     """doc_id, digest, n, class of every document: ``class`` names its component and is null where the set is empty."""
-    found = cut(described(docs, with_digest))
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(described(docs, with_digest))
     given = found.where("packed is not null")
-    kept = cut(given.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "gid", "bits", "words", "prefix")]))
-    groups = kept.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = groups.select("gid", "n", F.inline("prefix"))
-    # the members of one group share all of their prefix: the group is a gram of its own, in first place
-    members = kept.select("sid", "gid", "n", "words")
-
-    purest = F.min(F.struct("at", "n", "gid"))
-    hubs = rows.groupBy("gram").agg(F.count("*").alias("groups"), purest.alias("hub")).where("groups > 1")
-    hubs = hubs.select("gram", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"))
-    with_hub = rows.join(hubs, "gram").where(F.col("gid") != F.col("hub"))
-    group_pairs = with_hub.where(may_link(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at"))).select("gid", "hub").distinct()
-    one, two = members.select("gid", F.col("sid").alias("a")), members.select(F.col("gid").alias("hub"), F.col("sid").alias("b"))
-    across = group_pairs.join(one, "gid").join(two, "hub").select("a", "b")
-    first = members.groupBy("gid").agg(F.min("sid").alias("a"), F.count("*").alias("k")).where("k > 1").select("gid", "a")
-    within = members.join(first, "gid").where("sid <> a").select("a", F.col("sid").alias("b"))
-    tried = across.union(within)
-    links = cut(verified(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), kept, given))
-
-    # what the hubs have not settled: per gram, the documents outside its largest component against the others
-    roots = components(links)
-    # (a gram's rows carry 64-bit ids only; what a pair is tested on joins the rows of open grams alone)
-    placed = members.join(roots, "sid", "left").select("sid", "gid", "n", "words", F.xxhash64(F.coalesce("root", "sid")).alias("root"))
-    by_gram = rows.select("gram", "gid", "at").union(members.select(F.xxhash64("gid"), "gid", F.lit(0)).distinct())
-    single = by_gram.join(placed.select("gid", "root").distinct(), "gid")
-    sizes = single.groupBy("gram", "root").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("gram").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root"))["root"].alias("most")).where("roots > 1").select("gram", "most")
-    open_rows = cut(single.join(largest, "gram")).join(placed, ["gid", "root"])
-    minor = open_rows.where("root <> most").select("gram", F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("root").alias("root_x"), F.col("words").alias("words_x"))
-    rest = minor.join(open_rows.drop("gid", "most"), "gram").where("root <> root_x")
-    rest = rest.where(may_link(F.col("n"), F.col("at"), F.col("n_x"), F.col("at_x")) & few_odd("words", F.col("n"), "words_x", F.col("n_x")))
-    more = rest.select(F.least("sid", "x").alias("a"), F.greatest("sid", "x").alias("b")).distinct()
-    more = verified(more, kept, given)
-
-    roots = components(links.union(more))
-    with_root = found.select("doc_id", "digest", "n", "sid").join(roots, "sid", "left").withColumn("class", F.coalesce("root", "sid"))
-    return cut(with_root.select("doc_id", "digest", "n", "class"))
+    members = scratch.keep(given.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("gid", "n", "bits", "words")]))
+    lists = scratch.keep(listed(found))
+    pairs = scratch.keep(hub_pairs(lists))
+
+    # one hub a group first, and the members of a group with the first of them
+    first = members.groupBy("gid").agg(F.min("sid").alias("rep"))
+    of = lambda pairs: pairs.join(first.select("gid", F.col("rep").alias("a")), "gid").join(first.select(F.col("gid").alias("hub"), F.col("rep").alias("b")), "hub").select("a", "b")
+    within = members.join(first, "gid").where("sid <> rep").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
+    best = pairs.groupBy("gid").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+    links = verified(of(best).union(within), members, found, scratch)
+    labels = rooted(members.select("sid", F.col("sid").alias("root")), links, scratch)
+    # then the other hubs, where they lie in another component
+    label = lambda k: labels.select(F.col("sid").alias(k), F.col("root").alias(f"root_{k}"))
+    others = of(pairs.join(best, ["gid", "hub"], "left_anti")).join(label("a"), "a").join(label("b"), "b").where("root_a <> root_b").select("a", "b")
+    links = verified(others, members, found, scratch)
+    labels = rooted(labels, links, scratch)
+    # last what the hubs have not settled
+    links = verified(unsettled(lists, members, labels, scratch), members, found, scratch)
+    labels = rooted(labels, links, scratch)
+    out = scratch.keep(found.select("doc_id", "digest", "n", "sid").join(labels.withColumnRenamed("root", "class"), "sid", "left").drop("sid"))
+    scratch.free(found, members, lists, pairs)
+    return out
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -361,7 +374,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     nothing and are their own component. Repeated rows link with each other; an empty table gives an empty result.
     """
     with_root = classes(docs)
-    smallest = cut(with_root.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")))
+    smallest = with_root.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return with_root.join(smallest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
