@@ -90,11 +90,15 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
 
-def set_key(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for the set."""
-    a = mixed(grams + np.uint64(1)).sum(dtype=np.uint64)
-    b = mixed(grams * np.uint64(BASE)).sum(dtype=np.uint64) + np.uint64(len(grams))
-    return int(np.uint64(a).view(np.int64)), int(np.uint64(b).view(np.int64))
+def set_keys(sets: list[np.ndarray]) -> list[bytes]:
+    """128 bits that stand for each set."""
+    grams, bounds = np.concatenate([np.zeros(0, np.uint64), *sets]), np.cumsum([0, *map(len, sets)])
+    sums = np.zeros((2, len(grams) + 1), np.uint64)
+    np.cumsum(mixed(grams + np.uint64(1)), out=sums[0, 1:])
+    np.cumsum(mixed(grams * np.uint64(BASE)), out=sums[1, 1:])
+    keys = (sums[:, bounds[1:]] - sums[:, bounds[:-1]]).T
+    keys[:, 1] += np.diff(bounds).astype(np.uint64)
+    return [k.tobytes() for k in keys]
 
 
 def ordered(grams: np.ndarray, frequent: np.ndarray, n: int) -> tuple[np.ndarray, int]:
@@ -140,8 +144,8 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys = [], set()
         for _, _, sets in blocks(batches):
-            for grams in sets:
-                if len(grams) and (key := set_key(grams)) not in keys:
+            for grams, key in zip(sets, set_keys(sets)):
+                if len(grams) and key not in keys:
                     keys.add(key)
                     held.append(grams[: 2 * prefix_length(len(grams))])
             if sum(map(len, held[-256:])) and len(held) >= 20_000:
@@ -173,16 +177,15 @@ def described(docs: DataFrame, with_digest: bool) -> DataFrame:
         seen, packer = set(), zstandard.ZstdCompressor(3)
         for ids, texts, sets in blocks(batches):
             sids, gids, packed, rare, held = [], [], [], [], {"bits": [], "words": [], "prefix": []}
-            for text, grams in zip(texts, sets):
-                key = set_key(grams) if len(grams) else None
-                sids.append(np.array(key, np.int64).tobytes() if key else None)
-                if not key or key in seen:
+            for text, grams, key in zip(texts, sets, set_keys(sets)):
+                sids.append(key if len(grams) else None)
+                if not len(grams) or key in seen:
                     for column in (gids, packed, rare, *held.values()):
                         column.append(None)
                     continue
                 seen.add(key)
                 prefix, n_rare = ordered(grams, frequent.value, prefix_length(len(grams)))
-                gids.append(int(mixed(np.array([set_key(prefix)[0]]).view(np.uint64) + np.uint64(len(grams))).view(np.int64)[0]))
+                gids.append(int(mixed(mixed(prefix).sum(keepdims=True) + np.uint64(len(grams))).view(np.int64)[0]))
                 packed.append(packer.compress(text))
                 rare.append(n_rare)
                 for name, values in (("bits", parities(grams)), ("words", parities(grams, PARITY_WORDS)), ("prefix", prefix.view(np.int64))):
