@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Texts are cut at places that a rolling hash of the last 16 bytes selects, so a passage that many documents
-share gives them the same chunks. A chunk that occurs more than once in the corpus is encoded once, under
+share gives them the same chunks. A chunk that different texts share is encoded once, under
 its 128-bit digest; its ids are joined to the documents that hold it. Where two chunks meet, the words at
 the join are encoded again in a window that grows until the new ids agree with the recorded ones at both
 ends; what is kept on either side is then what encoding the whole text gives.
@@ -21,13 +21,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bit_filter, cut, in_filter, slices
+from tickloom.llm.common import Scratch, bit_filter, in_filter, slices
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 128, 8192, 10
 #: Bits of the filter of shared chunks, as a power of two (4 MB); fuller filters only share more than needed.
 FILTER_BITS = 25
-#: Words whose encodings a worker remembers in each of two generations.
-MEMO_WORDS = 120_000
+#: Words whose encodings a worker remembers in each of two generations, and the bytes of the longest such word.
+MEMO_WORDS, MEMO_BYTES = 120_000, 64
+#: A stretch without white space of more bytes is not cut: it goes whole into one chunk.
+LONG_STRETCH = 1024
 #: The tokenizer file's word pattern on printable lower-case ASCII, where its normaliser changes nothing and
 #: its byte alphabet is the identity; other pieces go through the whole tokenizer.
 ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -49,13 +51,21 @@ def cuts(raw: bytes) -> list[int]:
         wider ^= wider >> np.uint64(29)
         rolled = wider
     ends = np.flatnonzero((rolled >> np.uint64(64 - CUT_BITS)) == 0) + 1
+    spaces = np.flatnonzero(SPACES[data])
+
+    def settled(at: int) -> int:
+        """The first place from ``at`` on that lies neither inside a character nor inside a long stretch."""
+        k = int(np.searchsorted(spaces, at))
+        low, high = int(spaces[k - 1]) + 1 if k else 0, int(spaces[k]) if k < len(spaces) else n
+        return high if high - low > LONG_STRETCH and at > low else whole_character(raw, at)
+
     out, start = [], 0
     for end in [*ends.tolist(), n]:
         while end - start > MAX_CHUNK:
-            start = whole_character(raw, start + MAX_CHUNK)
+            start = settled(start + MAX_CHUNK)
             out.append(start)
         if end - start >= MIN_CHUNK or end == n:
-            end = whole_character(raw, end)
+            end = settled(end)
             if end > start:
                 out.append(end)
                 start = end
@@ -91,7 +101,12 @@ class Encoder:
 
     def encode(self, raw: bytes) -> bytes:
         """Ids of the text as little-endian 32-bit integers."""
-        pieces = (raw if self.special in raw else raw.lower()).split()  # the file's normaliser lower-cases too
+        if self.special in raw:
+            pieces = raw.split()
+        elif raw.isascii():
+            pieces = raw.lower().split()  # the file's normaliser lower-cases too
+        else:  # it composes characters before that, so pieces with others than ASCII are left to it
+            pieces = [p.lower() if p.isascii() else p for p in raw.split()]
         out = [*map(self.young.get, pieces)]
         if None in out:
             return self.encode_new(pieces, out)
@@ -108,10 +123,14 @@ class Encoder:
                 if ids is None:
                     unseen.setdefault(piece, []).append(k)
                 else:
-                    young[piece] = out[k] = ids
+                    out[k] = ids
+                    if len(piece) <= MEMO_BYTES:
+                        young[piece] = ids
         if unseen:
             for piece, got in zip(unseen, self.tokenizer.encode_batch_fast([p.decode() for p in unseen], add_special_tokens=False)):
-                ids = young[piece] = np.array(got.ids, "<u4").tobytes()
+                ids = np.array(got.ids, "<u4").tobytes()
+                if len(piece) <= MEMO_BYTES:
+                    young[piece] = ids
                 for k in unseen[piece]:
                     out[k] = ids
         if len(young) > MEMO_WORDS:
@@ -121,7 +140,9 @@ class Encoder:
     def encode_word(self, word: bytes) -> bytes:
         if len(self.words) > MEMO_WORDS:
             self.words.clear()
-        ids = self.words[word] = np.array([t.id for t in self.model.tokenize(word.decode())], "<u4").tobytes()
+        ids = np.array([t.id for t in self.model.tokenize(word.decode())], "<u4").tobytes()
+        if len(word) <= MEMO_BYTES:
+            self.words[word] = ids
         return ids
 
     def assemble(self, raw: bytes, ends: list[int], known: dict[int, bytes]) -> bytes:
@@ -135,6 +156,9 @@ class Encoder:
 
     def join(self, left: bytearray, raw: bytes, at: int, end: int, right: bytes) -> bytearray:
         """Appends the ids of raw[at:end] to those of raw[:at], encoding the words at the join anew."""
+        if SPACES[raw[at - 1]] or SPACES[raw[at]]:  # no token crosses white space
+            left += right
+            return left
         words = 1
         while True:
             low, outer_low = breaks_before(raw, at, words), breaks_before(raw, at, words + 1)
@@ -165,16 +189,18 @@ def encoder_of(path: str) -> Encoder:
 def breaks_before(raw: bytes, at: int, words: int) -> int:
     """Start of the last ``words`` stretches before ``at`` that white space separates."""
     for _ in range(words):
-        at = max(raw.rfind(b" ", 0, at), raw.rfind(b"\n", 0, at), 0)
+        at -= 1
+        while at > 0 and not SPACES[raw[at]]:
+            at -= 1
+        at = max(at, 0)
     return at
 
 
 def breaks_after(raw: bytes, at: int, end: int, words: int) -> int:
     for _ in range(words):
-        found = [x for x in (raw.find(b" ", at, end), raw.find(b"\n", at, end)) if x >= 0]
-        if not found:
-            return end
-        at = min(found) + 1
+        while at < end and not SPACES[raw[at]]:
+            at += 1
+        at = min(at + 1, end)
     return at
 
 
@@ -198,15 +224,19 @@ def results(ids: bytes, encoder: Encoder) -> tuple[int, str, str]:
 
 
 def shared_filter(docs: DataFrame) -> np.ndarray:
-    """Filter of the digests of all chunks that occur more than once in the corpus."""
+    """Filter of the digests of all chunks that different texts of the corpus share."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [number(digest(c)) for t in batch.column("text").to_pylist() if t for c in pieces_of(t.encode())]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["key"])
+            found, of = [], []
+            for raw in (t.encode() for t in batch.column("text").to_pylist() if t):
+                chunks = [number(digest(c)) for c in pieces_of(raw)]
+                found += chunks
+                of += [number(digest(raw))] * len(chunks)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(of, pa.int64())], names=["key", "of"])
 
-    counted = docs.select("text").mapInArrow(keys, "key long").groupBy("key").count()
-    return bit_filter(counted.where("count > 1").select("key"), FILTER_BITS)
+    texts = docs.select("text").mapInArrow(keys, "key long, of long").groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"))
+    return bit_filter(texts.where("low <> high").select("key"), FILTER_BITS)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
@@ -214,7 +244,9 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
 
     The ids are those of the tokenizer file for the whole text, without added special tokens, truncation or
     padding; ``decoded_sha256`` is the digest of what decoding them, special tokens included, gives. A null
-    text counts as empty: no tokens. Repeated rows get equal results; an empty table gives an empty result.
+    text counts as empty: no tokens. Repeated rows get equal results; an empty table gives an empty result;
+    further columns are not read. A text may be as long as a row can be: it is encoded chunk by chunk, only a
+    stretch without white space of more than ``LONG_STRETCH`` bytes is one chunk, however long.
     ``tokenizer_path`` must be readable on every executor.
     """
     shared = docs.sparkSession.sparkContext.broadcast(shared_filter(docs))
@@ -274,7 +306,7 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
         "doc_id long, text_id binary, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, packed binary, "
         "refs array<struct<no int, id binary>>, fresh array<struct<id binary, chunk binary>>"
     )
-    first = cut(docs.select("doc_id", "text").mapInArrow(first_pass, first_ddl))
+    first = Scratch(docs.sparkSession).keep(docs.select("doc_id", "text").mapInArrow(first_pass, first_ddl))
     chunks = first.select(F.inline("fresh")).groupBy("id").agg(F.first("chunk").alias("chunk"))
     encoded = chunks.mapInArrow(encode_chunks, "id binary, chunk_ids binary")
     texts = first.where("packed is not null").groupBy("text_id").agg(F.first("packed").alias("packed"), F.first("refs").alias("refs"))
@@ -285,12 +317,10 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
         .agg(F.collect_list(F.struct("no", "chunk_ids")).alias("got"))
     )
     whole = texts.select("text_id", "packed").join(got, "text_id").mapInArrow(last_pass, "tid binary, n2 long, ids2 string, decoded2 string, raw2 binary")
-    out = first.drop("packed", "refs", "fresh").join(whole, F.col("text_id") == F.col("tid"), "left")
-    kept = ["ids"] if with_ids else []
-    return out.select(
-        "doc_id", F.coalesce("n_tokens", "n2").alias("n_tokens"), F.coalesce("ids_sha256", "ids2").alias("ids_sha256"),
-        F.coalesce("decoded_sha256", "decoded2").alias("decoded_sha256"), *[F.coalesce("ids", "raw2").alias(c) for c in kept],
-    )
+    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    late = first.where("n_tokens is null").select("doc_id", "text_id").join(whole, F.col("text_id") == F.col("tid"))
+    late = late.select("doc_id", "n2", "ids2", "decoded2", *(["raw2"] if with_ids else []))
+    return first.where("n_tokens is not null").select(*columns).union(late)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
