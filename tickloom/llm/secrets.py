@@ -38,6 +38,7 @@ PATTERNS = {
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "pem": re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
 }
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 HEX_RUN = 32
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_BYTE = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
@@ -63,7 +64,7 @@ def sound(kind: str, match: re.Match) -> bool:
     if kind == "jwt":
         try:
             head = json.loads(base64.urlsafe_b64decode(match[1] + "=" * (-len(match[1]) % 4)))
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested deeper than any header
             return False
         return isinstance(head, dict) and "alg" in head
     return True
@@ -83,7 +84,7 @@ def hex_runs(raw: bytes, as_text: bool) -> Iterator[tuple[int, int]]:
     Every such run covers a multiple of 32, so only these places are looked at, and each hit is widened.
     """
     is_hex = HEX_BYTE[np.frombuffer(raw, np.uint8)[HEX_RUN - 1 :: HEX_RUN]]
-    last = -1
+    last, passed, points = -1, 0, 0  # bytes that are passed, and the code points in them
     for at in (np.flatnonzero(is_hex) * HEX_RUN + HEX_RUN - 1).tolist():
         if at < last:
             continue
@@ -94,7 +95,9 @@ def hex_runs(raw: bytes, as_text: bool) -> Iterator[tuple[int, int]]:
             high += 1
         last = high
         if high - low >= HEX_RUN:
-            start = len(raw[:low].decode()) if as_text else low
+            if as_text:
+                points, passed = points + len(raw[passed:low].decode()), low
+            start = points if as_text else low
             yield start, start + high - low
 
 
@@ -105,10 +108,14 @@ def find_spans(text: str, keywords: ahocorasick.Automaton) -> list[tuple[int, in
     hits = sorted((end - length + 1, kind) for end, (length, kind) in keywords.iter(lowered))
     done, spans = dict.fromkeys(KINDS, 0), [(a, KINDS.index("hex"), b) for a, b in hex_runs(raw, len(raw) != len(text))]
     for start, kind in hits:
-        if start >= done[kind] and (match := PATTERNS[kind].match(text, start)):
+        if start < done[kind]:
+            continue
+        if match := PATTERNS[kind].match(text, start):
             done[kind] = match.end()
             if sound(kind, match):
                 spans.append((start, KINDS.index(kind), match.end()))
+        elif kind == "jwt" and (run := JWT_RUN.match(text, start)):
+            done[kind] = run.end()  # what follows the run is missing for every later place in it too
     return sorted(spans)
 
 
@@ -117,7 +124,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``spans`` is "kind:start:end" in code points, end exclusive, by start and then kind, comma-joined. The
     base kinds are always there; the further kinds carry a checksum or structure that is validated. A null
-    or empty text has no spans; a repeated row is scanned again; an empty table gives an empty result.
+    or empty text has no spans; a repeated row is scanned again; an empty table gives an empty result; further
+    columns are not read. A very long text is scanned whole, in time proportional to its length. A token whose
+    header is no JSON object, or nested too deeply to be read, is no span.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
