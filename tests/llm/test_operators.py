@@ -1,8 +1,10 @@
 """Corpus operators against brute force on small fixtures with nulls, ties, repeats and clashing columns."""
 
+import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, topk, warc
-from tickloom.llm.exact_dedup import chunk_id, exact_dedup, keep_first
+from tickloom.llm.exact_dedup import chunk_id, chunks, exact_dedup, keep_first
 from tickloom.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, id long"
@@ -48,14 +50,26 @@ def test_empty_tables(spark):
 
 def test_exact_dedup(spark, corpus):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    rows = corpus + [(7001, "a b"), (7001, "ab"), (7001, "a\tb"), (7002, "ab"), (7002, "ab"), (7003, "漢字" * 9000), (7004, " " + "漢字" * 9000), (7005, "Привет, мир 12345 " * 3000)]
     groups = defaultdict(list)
-    for d, t, _ in corpus:
-        groups[norm(t)].append((-len(t or ""), d is None, d or 0, d))
-    want = sorted(((d, min(groups[norm(t)])[3], len(groups[norm(t)]), d == min(groups[norm(t)])[3], hashlib.sha256(norm(t).encode()).hexdigest()) for d, t, _ in corpus), key=str)
-    assert sorted(map(tuple, exact_dedup(table(spark, corpus)).collect()), key=str) == want
-    kept = keep_first(table(spark, corpus))
-    assert kept.columns == table(spark, corpus).columns
-    assert kept.count() == len(groups)
+    for k, (d, t, *_) in enumerate(rows):
+        groups[norm(t)].append((-len(t or ""), d is None, d or 0, hashlib.sha256((t or "").encode()).digest(), k))
+    first = {n: min(g)[4] for n, g in groups.items()}
+    want = sorted(((d, rows[first[norm(t)]][0], len(groups[norm(t)]), k == first[norm(t)], hashlib.sha256(norm(t).encode()).hexdigest()) for k, (d, t, *_) in enumerate(rows)), key=str)
+    assert sorted(map(tuple, exact_dedup(table(spark, rows)).collect()), key=str) == want
+    kept = keep_first(table(spark, rows))
+    assert kept.columns == table(spark, rows).columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([rows[k][:2] for k in first.values()], key=str)
+
+
+def test_chunks_follow_the_content(spark):
+    """An inserted character leaves most chunks of a long text as they are, whatever its script."""
+    rnd = random.Random(9)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "0123456789", "的一是不了在人有我他这中大来上"]
+    texts = ["".join(rnd.choice(s) for _ in range(60_000)) for s in scripts]
+    rows = spark.createDataFrame([(k, t, t[:100] + "+" + t[100:]) for k, t in enumerate(texts)], "k int, a string, b string")
+    for r in rows.select(chunks(F.col("a")).alias("a"), chunks(F.col("b")).alias("b")).collect():
+        assert len(r.a) > 20 and len(set(r.a) & set(r.b)) > 0.8 * len(set(r.a))
 
 
 def test_colliding_chunk_ids_take_the_next_seed(spark):
@@ -112,6 +126,22 @@ def test_secrets_with_checksums(spark):
     assert [r.spans for r in rows] == ["github:2:42", "", ""]
 
 
+def test_secrets_of_hostile_texts(spark):
+    """Deep JSON, runs without an end and long texts beyond ASCII: whole results in linear time."""
+    head = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+    deep, fine = head(b"{\"a\":" + b"[" * 200_000), head(b'{"alg":"x"}')
+    rows = [(1, f"{deep}.a.b {fine}.a.b"), (2, "eyJ" * 400_000), (3, ("é" + "0123456789abcdef" * 2 + " ") * 30_000), (4, "password=" + "x" * 1_000_000), (None, "Token: abcdefgh"), (5, None)]
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan(table(spark, rows + rows[4:5])).collect()}
+    assert time.time() - began < 60
+    start = len(deep) + 5
+    assert got[1].spans == f"jwt:{start}:{start + len(fine) + 4}" and got[2].spans == "" and got[5].spans == ""
+    assert (got[3].n_hex, got[3].n_assign) == (30_000, 0)
+    assert got[3].base_sha256 == hashlib.sha256(",".join(f"hex:{34 * k + 1}:{34 * k + 33}" for k in range(30_000)).encode()).hexdigest()
+    assert (got[4].n_assign, got[4].spans) == (1, "assign:0:1000009")
+    assert (got[None].n_assign, got[None].base_sha256) == (1, hashlib.sha256(b"assign:0:15").hexdigest())
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(k, f"http://x/{k} \r\n", "<p>" + "long text " * 20 + str(k // 4)) for k in range(400)] + [(900, None, "short"), (901, "u", "short"), (902, "u", None), (None, "u", "y" * 200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -218,13 +248,14 @@ def test_bpe_equals_the_library(spark, corpus):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path())
-    rows = corpus + [(300, "Hello<|endoftext|> İstanbul's don't 12,5 \x0b\x1c x " * 40), (301, "x" * 20_000)]
+    rows = corpus + [(300, "Hello<|endoftext|> İstanbul's don't 12,5 \x0b\x1c x " * 40), (301, "x" * 20_000), (302, "漢字かな交じり文、" * 120_000), (303, "a1-" * 5000 + "\t" + "Y̊H̱ " * 400 + "T̈" * 900)]
     encoded = bpe.encode(table(spark, rows), tokenizer_path(), with_ids=True)
     got = {r.doc_id: r for r in encoded.collect()}
     decoded = {r.doc_id: r.text for r in bpe.decode(encoded, tokenizer_path()).collect()}
     for d, t, *_ in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert np.frombuffer(got[d].ids, "<u4").tolist() == ids and got[d].n_tokens == len(ids)
+        assert got[d].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert decoded[d] == library.decode(ids, skip_special_tokens=False)
         assert got[d].decoded_sha256 == hashlib.sha256(decoded[d].encode()).hexdigest()
 
@@ -234,8 +265,9 @@ def test_bpe_joins_cut_inside_words(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_CHUNK", 9)
     monkeypatch.setattr(bpe, "CUT_BITS", 2)
     encoder, rnd = bpe.Encoder(tokenizer_path()), random.Random(2)
-    parts = ["Hello", "wörld", "é", " ", "\n", "\x1c", "'s", "<|endoftext|>", "12", "!!", "Σ", "İ", "日本語", "\U0001f600", "|>"]
-    for _ in range(1500):
+    parts = ["Hello", "wörld", "é", " ", "\n", "\x1c", "'s", "<|endoftext|>", "12", "!!", "Σ", "İ", "日本語", "\U0001f600", "|>", "\t", *"HTJYW", *map(chr, range(0x300, 0x370, 5)), "H\u0331", "T\u0308", "J\u030c", "Y\u030a"]
+    monkeypatch.setattr(bpe, "LONG_STRETCH", 25)
+    for _ in range(2500):
         t = "".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 40)))
         ids = encoder.assemble(t.encode(), bpe.cuts(t.encode()), {})
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
@@ -247,6 +279,28 @@ def test_line_dedup(spark):
     assert got == [("1", 0, "a\nb\nc\nd"), ("2", 3, "x\ny"), ("2", 3, "x\ny"), ("3", 0, "b\nc"), ("4", 3, "q"), ("5", 0, ""), ("None", 3, "")]
 
 
+def test_line_dedup_is_that_of_all_windows(spark):
+    rnd = random.Random(6)
+    rows = [(k if k % 7 else None, "\n".join(rnd.choice("abcd") * rnd.choice([1, 1, 30]) for _ in range(rnd.randrange(1, 30)))) for k in range(60)]
+    rows += [(100, "\n".join("xy"[k % 2] for k in range(5000))), (101, ""), (102, None)] + rows[:4]
+    spark.sparkContext.setLogLevel("ERROR")
+    for min_words in (None, 2):
+        docs = table(spark, [(d, None if t is None else t.replace("a" * 30, "a b")) for d, t in rows])
+        key = {t: r for t, r in docs.select("text", F.xxhash64("text")).collect()}
+        each = sorted({(d is None, d or 0, key[t], t or "") for d, t, *_ in docs.collect()})
+        first, gone = {}, {}
+        for none, d, _, t in each:
+            lines = t.split("\n")
+            for n in (1, 2, 3):
+                for k in range(len(lines) - n + 1):
+                    run = tuple(lines[k : k + n])
+                    if n == 3 or min_words and sum(len(x.split()) for x in run) >= min_words:
+                        if first.setdefault(run, (none, d, t, k)) != (none, d, t, k):
+                            gone.setdefault((none, d, t), set()).update(range(k, k + n))
+        want = sorted((str(d), len((t or "").split("\n")), "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone.get((d is None, d or 0, t or ""), ()))) for d, t, *_ in docs.collect())
+        assert sorted((str(r.doc_id), r.n_lines, r.kept_text) for r in line_dedup.line_dedup(docs, min_words=min_words).collect()) == want
+
+
 def test_line_dedup_by_words(spark):
     line = lambda k, n: " ".join([k] * n)
     long, half, rest, short = line("l", 50), line("h", 30), line("r", 20), line("s", 49)
