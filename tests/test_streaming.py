@@ -33,7 +33,7 @@ def test_live_bars_equal_batch_bars(spark, sf):
 
 
 def test_running_indicators_equal_batch(spark, sf):
-    bars = fixtures.bars_walk(spark, sf).where("symbol in ('600000', '000001')")
+    bars = fixtures.bars_walk(spark, sf).where("symbol in ('600005', '000001')")
     path = tempfile.mkdtemp() + "/bars"
     for low in (0, 40, 90):
         part = bars.where((F.col("idx") >= low) & (F.col("idx") < {0: 40, 40: 90, 90: 1 << 30}[low])).coalesce(1)
@@ -50,5 +50,5 @@ def test_running_indicators_equal_batch(spark, sf):
 def test_upsert_merges_touched_series(spark, sf):
     bars = fixtures.bars_daily(spark, sf).withColumn("has_time", F.lit(False))
     written = []
-    S.upsert(lambda: bars, written.append)(bars.where("symbol = '600000'").withColumn("close", F.lit(1.0)), 0)
+    S.upsert(lambda: bars, written.append)(bars.where("symbol = '600005'").withColumn("close", F.lit(1.0)), 0)
     assert written[0].select("symbol", "close").distinct().count() == 1

@@ -117,16 +117,18 @@ def first_points(legs: DataFrame, zones: DataFrame, found: DataFrame) -> DataFra
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         z = rows[rows["kind"] == 0].sort_values("no", kind="stable")
+        top, bottom, start = z["zg"].to_numpy(), z["zd"].to_numpy(), z["start_idx"].to_numpy()
+        groups = kernels.point_groups(top, bottom)  # those of the zones up to a divergence are the same, cut off there
+        spans = [(g, groups.index(g), len(groups) - 1 - groups[::-1].index(g)) for g in sorted(set(groups))]
         out = []
-        for d in rows[rows["kind"] == 1].sort_values("idx", kind="stable").itertuples():
-            seen = z[z["start_idx"] <= d.idx]
-            top, bottom = seen["zg"].to_numpy(), seen["zd"].to_numpy()
-            groups = kernels.point_groups(top, bottom)
-            for g in sorted(set(groups)):
-                own = [k for k, x in enumerate(groups) if x == g]
-                way = "up" if bottom[own[-1]] > top[own[0]] else "down" if top[own[-1]] < bottom[own[0]] else None
-                if len(own) >= 2 and way == d.direction:
-                    out.append((d.symbol, d.tf, d.level, d.idx, d.direction))
+        for d in rows[rows["kind"] == 1].itertuples():
+            seen = int((start <= d.idx).sum())
+            for _, first, last in spans:
+                last = min(last, seen - 1)
+                if last > first:
+                    way = "up" if bottom[last] > top[first] else "down" if top[last] < bottom[first] else None
+                    if way == d.direction:
+                        out.append((d.symbol, d.tf, d.level, d.idx, d.direction))
         return pd.DataFrame(out, columns=["symbol", "tf", "level", "idx", "direction"])
 
     keys = [*KEY, "level"]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from tickloom.sources.fixtures import BARS_SQL, DAILY_SQL, DAMAGED_SQL, EVENTS_SQL
+from tickloom.plans import oracle_chain as C
+from tickloom.sources.fixtures import BARS_SQL, DAILY_SQL, DAMAGED_SQL, EVENTS_SQL, events_sql, trades_sql
 
 BOARD = """CASE WHEN left(symbol, 3) IN ('688', '689') THEN 'star' WHEN left(symbol, 3) IN ('300', '301') THEN 'gem' WHEN left(symbol, 2) = '60' THEN 'sh_main'
   WHEN left(symbol, 3) IN ('000', '001', '002', '003') THEN 'sz_main' WHEN left(symbol, 1) IN ('4', '8', '9') THEN 'bse' WHEN left(symbol, 1) = '6' THEN 'sh_main' ELSE 'other' END"""
 EXCHANGE = """CASE WHEN left(symbol, 2) IN ('92', '93', '83', '43') THEN 'bj' WHEN symbol IN ('000001', '000016', '000300', '000688', '000852', '000905') OR left(symbol, 1) IN ('6', '9') THEN 'sh'
   WHEN left(symbol, 1) IN ('0', '3') THEN 'sz' WHEN left(symbol, 1) IN ('4', '8') THEN 'bj' ELSE 'sz' END"""
-NAMES = """names AS (SELECT ['600', '000', '300', '688', '830'][s_suppkey % 25 % 5 + 1] || lpad((s_suppkey % 25)::VARCHAR, 3, '0') AS symbol, arg_min(s_name, s_suppkey) AS name,
-  regexp_replace(lower(arg_min(s_name, s_suppkey)), '[^a-z0-9]', '', 'g') AS abbreviation FROM supplier GROUP BY s_suppkey % 25)"""
+NAMES = """names AS (SELECT ['600', '000', '300', '688', '830'][s_suppkey % 5 + 1] || lpad(s_suppkey::VARCHAR, greatest(3, length(s_suppkey::VARCHAR))::INTEGER, '0') AS symbol, arg_min(s_name, s_suppkey) AS name,
+  regexp_replace(lower(arg_min(s_name, s_suppkey)), '[^a-z0-9]', '', 'g') AS abbreviation FROM supplier GROUP BY s_suppkey)"""
 LISTED = "(SELECT symbol FROM names WHERE symbol LIKE '600%' OR symbol LIKE '%1')"
 DAY = "symbol, tf, ts, open, high, low, close, vol"
 
@@ -171,7 +172,7 @@ ORACLE: dict[str, str] = {
     "dq_symbol_scores": damaged("SELECT symbol, round(avg(score), 6) AS score FROM scores GROUP BY symbol", ISSUES, SCORES),
     "cross_source": daily("""SELECT symbol, tf, count(ca) AS rows_a, count(cb) AS rows_b, count(*) FILTER (WHERE both_in) AS common, count(*) FILTER (WHERE bad) AS mismatches, count(*) FILTER (WHERE NOT both_in) AS one_sided,
       round(CASE WHEN count(ca) = 0 OR count(cb) = 0 THEN 0.5 ELSE 1 - least(1, 0.5::DOUBLE * count(*) FILTER (WHERE bad) / greatest(count(ca), count(cb))) END, 6) AS score FROM j GROUP BY symbol, tf""",
-      "x AS (SELECT * REPLACE (CASE WHEN idx % 50 = 0 THEN close * 1.01::DOUBLE ELSE close END AS close) FROM daily WHERE idx % 97 <> 0 AND symbol <> '600000')",
+      "x AS (SELECT * REPLACE (CASE WHEN idx % 50 = 0 THEN close * 1.01::DOUBLE ELSE close END AS close) FROM daily WHERE idx % 97 <> 0 AND symbol <> '600005')",
       """j AS (SELECT symbol, tf, ts, a.close AS ca, x.close AS cb, a.close IS NOT NULL AND x.close IS NOT NULL AS both_in,
         coalesce(greatest(abs(a.close - x.close), abs(a.high - x.high), abs(a.low - x.low)) > 0.005::DOUBLE * abs(a.close), false) AND a.close IS NOT NULL AND x.close IS NOT NULL AS bad FROM daily a FULL JOIN x USING (symbol, tf, ts))"""),
     "macd": bars("""SELECT symbol, tf, idx, CASE WHEN n >= 26 THEN round(dif, 6) END AS dif, CASE WHEN n >= 26 THEN round(dea, 6) END AS dea, CASE WHEN n >= 26 THEN round(2 * (dif - dea), 6) END AS macd_hist
@@ -194,3 +195,47 @@ ORACLE: dict[str, str] = {
     "swings": swing_sql("high >= top", "low <= bottom"),
     "significant_points": swing_sql("abs(high - top) < 0.01", "abs(low - bottom) < 0.01"),
 }
+
+
+STRUCTURE = (MERGED, FRACTALS, C.STROKES, C.SEGMENTS, C.ZONES)
+POINTS = (*STRUCTURE, RECURSION, C.POWER, C.DIVERGENCES, C.POINTS)
+PHASED = (WYCKOFF, C.RANGES, C.PHASES)
+BAR = "symbol, tf, idx, ts, open, high, low, close, vol, amount"
+#: Daily bars and, as hourly bars, the single trades of the same walk.
+BOTH = BARS_SQL.strip().replace("bars AS (", "two_a_bar AS (") + f""", one_a_bar AS (
+  SELECT symbol, 'f60' AS tf, n::INTEGER AS idx, ts, price - move AS open, greatest(price, price - move) AS high, least(price, price - move) AS low, price AS close, vol, amount FROM trades),
+bars AS MATERIALIZED (SELECT {BAR} FROM two_a_bar UNION ALL SELECT {BAR} FROM one_a_bar)"""
+#: A bar a trade of eight suppliers: series long enough for walks.
+FINE = trades_sql(8).strip() + f""", bars AS MATERIALIZED (SELECT symbol, tf, n::INTEGER AS idx, ts, price - move AS open, greatest(price, price - move) AS high, least(price, price - move) AS low, price AS close, vol, round(amount, 2) AS amount FROM trades)"""
+#: The half-hour bars inside each stroke of hourly bars.
+SLICES = f"""spans AS MATERIALIZED (WITH {events_sql(60, "bars").strip()}, {", ".join(STRUCTURE)}
+  SELECT b.symbol, b.no AS leg, s.ts AS start_ts, e.ts AS end_ts FROM bi b JOIN bars s ON s.symbol = b.symbol AND s.idx = b.start_idx JOIN bars e ON e.symbol = b.symbol AND e.idx = b.end_idx), {EVENTS_SQL.strip()},
+bars AS MATERIALIZED (SELECT * FROM (SELECT symbol, tf || '/' || leg AS tf, (row_number() OVER (PARTITION BY symbol, leg ORDER BY ts) - 1)::INTEGER AS idx, ts, open, high, low, close, vol, amount
+  FROM events_bars JOIN spans USING (symbol) WHERE ts >= start_ts AND ts <= end_ts) QUALIFY count(*) OVER (PARTITION BY symbol, tf) >= 5)"""
+MACD_ROWS = """SELECT symbol, tf, idx, CASE WHEN n >= 26 THEN round(dif, 6) END AS dif, CASE WHEN n >= 26 THEN round(dea, 6) END AS dea, CASE WHEN n >= 26 THEN round(2 * (dif - dea), 6) END AS macd_hist
+      FROM e JOIN c USING (symbol, tf, idx)"""
+
+ORACLE |= {
+    "structures": bars("SELECT * FROM structures", *STRUCTURE),
+    "walks": f"WITH {', '.join([FINE, *STRUCTURE, C.WALKS])} SELECT * REPLACE (walk::BIGINT AS walk, zones::INTEGER AS zones) FROM walks",
+    "leg_power": bars("SELECT * REPLACE (round(area, 6) AS area, round(peak, 6) AS peak, round(dif_peak, 6) AS dif_peak) FROM powered", *STRUCTURE, RECURSION, C.POWER),
+    "divergences": bars("SELECT * EXCLUDE (scope) FROM d_divergences", *STRUCTURE, RECURSION, C.POWER, C.DIVERGENCES),
+    "walk_divergences": f"""WITH {', '.join([FINE, *STRUCTURE, RECURSION, C.POWER, C.WALKS, C.WALK_DIVERGENCES])}
+      SELECT * EXCLUDE (grp) FROM w_divergences QUALIFY row_number() OVER (PARTITION BY symbol, tf, idx ORDER BY scope, zone) = 1""",
+    "points": bars("SELECT * FROM points", *POINTS),
+    "nested_signals": f"WITH {', '.join([BOTH, *POINTS, C.NESTED])} SELECT * FROM nested",
+    "drill_down": f"WITH {', '.join([SLICES, *POINTS, C.MARKS])} SELECT * FROM marks",
+    "drill_down_macd": f"WITH {', '.join([SLICES, RECURSION])} {MACD_ROWS}",
+    "trading_ranges": bars("SELECT * REPLACE (no::BIGINT AS no, round(upper, 6) AS upper, round(lower, 6) AS lower, round(ice, 6) AS ice) FROM ranges", WYCKOFF, C.RANGES),
+    "phases": bars("SELECT * FROM phases", *PHASED),
+    "current_phase": bars(C.CURRENT, *PHASED),
+    "supply_demand_lines": bars("SELECT * REPLACE (round(start_price, 6) AS start_price, round(end_price, 6) AS end_price, round(slope, 6) AS slope) FROM lines", WYCKOFF, C.RANGES, C.LINES),
+    "line_breaks": bars("SELECT * FROM breaks", WYCKOFF, C.RANGES, C.LINES),
+    "fusion_signals": bars("SELECT *, repeat('★', strength) AS stars FROM fused", *POINTS, *PHASED, C.FUSION),
+    "structure_feed": bars("SELECT * FROM feed", *POINTS, C.FEED),
+    "analysis_report": bars(C.REPORT, *POINTS),
+    "analysis_listing": bars("SELECT * FROM listing", *POINTS, C.LISTING),
+    "chart": bars("""SELECT b.*, round(m.dif, 6) AS dif, round(m.dea, 6) AS dea, round(m.macd_hist, 6) AS macd_hist, phase, sub_phase FROM bars b JOIN m USING (symbol, tf, idx) LEFT JOIN phases USING (symbol, tf, idx)""", *POINTS, *PHASED),
+    "chart_marks": bars("SELECT * FROM marks UNION ALL SELECT symbol, tf, 'signal', level, bs_type, idx, idx, price, price, strength FROM fused", *POINTS, *PHASED, C.FUSION, C.MARKS),
+    "screener": bars("SELECT * FROM screened", *POINTS, *PHASED, C.FUSION),
+}

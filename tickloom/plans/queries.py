@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,27 +22,42 @@ AS_OF = "1998-12-01"
 walk, daily = fixtures.bars_walk, fixtures.bars_daily
 
 
-def chain(bars: DataFrame) -> dict[str, DataFrame]:
-    """The whole analysis of a bar table; what several steps read is kept."""
-    found = structure.structures(bars).persist()
-    macd = indicators.macd(bars).persist()
-    legs, zones = structure.legs(found), structure.zones(found)
-    powered = signals.leg_power(legs, macd).persist()
-    diverging = signals.divergences(powered, zones, macd).persist()
-    points = signals.points(legs, zones, diverging).persist()
-    events = wyckoff.events(bars).persist()
-    ranges = wyckoff.trading_ranges(bars, events).persist()
-    return {
-        "structures": found, "macd": macd, "legs": legs, "zones": zones, "powered": powered, "divergences": diverging, "points": points, "events": events,
-        "ranges": ranges, "walks": structure.walks(found), "phases": wyckoff.phases(bars, events, ranges), "fusion": fusion.fused(points, events),
-    }
+class Chain:
+    """The whole analysis of a bar table, step by step: a step is built when it is first asked for.
 
+    What several steps read is kept until ``release``.
+    """
 
-def of_chain(name: str, *round_to: str) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(chain(walk(spark, sf_dir))[name], *round_to)
+    def __init__(self, bars: DataFrame) -> None:
+        self.kept: list[DataFrame] = []
+        self.bars = self.keep(bars)
 
-    return query
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+
+    structures = cached_property(lambda self: self.keep(structure.structures(self.bars)))
+    macd = cached_property(lambda self: self.keep(indicators.macd(self.bars)))
+    legs = cached_property(lambda self: structure.legs(self.structures))
+    zones = cached_property(lambda self: structure.zones(self.structures))
+    powered = cached_property(lambda self: self.keep(signals.leg_power(self.legs, self.macd)))
+    divergences = cached_property(lambda self: self.keep(signals.divergences(self.powered, self.zones, self.macd)))
+    points = cached_property(lambda self: self.keep(signals.points(self.legs, self.zones, self.divergences)))
+    walks = cached_property(lambda self: structure.walks(self.structures))
+    walk_divergences = cached_property(lambda self: signals.walk_divergences(self.walks, self.powered, self.macd))
+    events = cached_property(lambda self: self.keep(wyckoff.events(self.bars)))
+    ranges = cached_property(lambda self: self.keep(wyckoff.trading_ranges(self.bars, self.events)))
+    phases = cached_property(lambda self: wyckoff.phases(self.bars, self.events, self.ranges))
+    lines = cached_property(lambda self: wyckoff.supply_demand_lines(self.bars, self.ranges))
+    fusion = cached_property(lambda self: fusion.fused(self.points, self.events))
+
+
+def of_chain(step: Callable[[Chain], DataFrame], *round_to: str, source: Query = walk) -> Query:
+    return lambda spark, sf_dir: rounded(step(Chain(source(spark, sf_dir))), *round_to)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -61,10 +78,10 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name dimension of the traded symbols: the supplier with the smallest key of each series."""
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") % fixtures.SERIES).alias("k"), "s_suppkey", "s_name")
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"), "s_suppkey", "s_name")
     first = suppliers.groupBy("k").agg(F.min_by("s_name", "s_suppkey").alias("name"))
     prefix = F.element_at(F.array(*[F.lit(p) for p in fixtures.PREFIXES]), (F.col("k") % len(fixtures.PREFIXES) + 1).cast("int"))
-    rows = first.select(F.concat(prefix, F.lpad(F.col("k").cast("string"), 3, "0")).alias("symbol"), "name")
+    rows = first.select(F.concat(prefix, F.lpad(F.col("k").cast("string"), F.greatest(F.lit(3), F.length(F.col("k").cast("string"))), F.lit("0"))).alias("symbol"), "name")
     return rows.withColumn("abbreviation", dims.abbreviation(F.col("name"), {}))
 
 
@@ -77,7 +94,7 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def second_source(bars: DataFrame) -> DataFrame:
     """A copy that differs in every 50th close, lacks every 97th row and one whole series."""
-    rows = bars.where((F.col("idx") % 97 != 0) & (F.col("symbol") != "600000"))
+    rows = bars.where((F.col("idx") % 97 != 0) & (F.col("symbol") != "600005"))
     return rows.withColumn("close", F.when(F.col("idx") % 50 == 0, F.col("close") * 1.01).otherwise(F.col("close")))
 
 
@@ -137,72 +154,50 @@ def patch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.patched_today(lacking, bars, day).drop("has_time")
 
 
-def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strokes of hourly bars, and the structure of the half-hour bars inside each."""
+def slices_of_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The half-hour bars inside each stroke of hourly bars; one series per stroke, which becomes part of the key."""
     high, low = fixtures.bars_events(spark, sf_dir, 60), fixtures.bars_events(spark, sf_dir, 30)
     legs = structure.with_times(structure.legs(structure.structures(high)).where("level = 'bi'"), high, "start_idx", "end_idx")
     spans = legs.select("symbol", F.col("no").alias("leg"), "start_ts", "end_ts")
     inside = low.join(spans, "symbol").where("ts >= start_ts and ts <= end_ts")
-    # one series per leg: the leg becomes part of the key
     rows = inside.withColumn("tf", F.concat("tf", F.lit("/"), F.col("leg").cast("string"))).drop("leg", "start_ts", "end_ts", "idx")
-    return structure.structures(with_index(rows, "ts")).groupBy(*KEY, "level", "kind").agg(F.count("*").alias("n"))
-
-
-def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of daily bars confirmed by points of the same walk cut into single trades as hourly bars."""
-    fine = fixtures.rolled(fixtures.trades(spark, sf_dir).withColumn("idx", F.floor(F.col("n") / 2).cast("int")).withColumn("tf", F.lit("f60")), "idx").withColumnRenamed("last_ts", "ts")
-    both = walk(spark, sf_dir).unionByName(fine.select("symbol", "tf", "idx", "ts", "open", "high", "low", "close", "vol", "amount"))
-    return signals.nested_signals(chain(both)["points"])
+    return structure.long_enough(with_index(rows, "ts"))
 
 
-def walk_divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chain(walk(spark, sf_dir))
-    return signals.walk_divergences(c["walks"], c["powered"], c["macd"])
-
-
-def walks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = structure.walks(structure.structures(walk(spark, sf_dir)))
-    return found.withColumn("zones", F.size("zs_list")).drop("zs_list")
-
-
-def screener(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: every series' latest fused signal with its phase."""
-    c = chain(walk(spark, sf_dir))
-    return fusion.screened(c["fusion"], c["phases"]).withColumn("events", F.array_join("events", "/"))
+def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure, divergences and points of the half-hour bars inside each stroke of hourly bars."""
+    c = Chain(slices_of_strokes(spark, sf_dir))
+    return fusion.marks(c.structures, c.points, c.divergences)
 
 
-def fusion_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.fusion_feed(chain(walk(spark, sf_dir))["fusion"]).withColumn("events", F.array_join("events", "/"))
+def drill_down_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(indicators.macd(slices_of_strokes(spark, sf_dir)), "dif", "dea", "macd_hist")
 
 
-def structure_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = walk(spark, sf_dir)
-    c = chain(bars)
-    return fusion.structure_feed(c["points"], c["divergences"], bars)
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of daily bars confirmed by points of the same walk cut into single trades as hourly bars."""
+    both = walk(spark, sf_dir).unionByName(fixtures.bars_fine(spark, sf_dir).withColumn("tf", F.lit("f60")))
+    return signals.nested_signals(Chain(both).points)
 
 
-def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chain(walk(spark, sf_dir))
-    return fusion.report(c["structures"], c["points"], c["divergences"])
+def chart(c: Chain) -> DataFrame:
+    """Bars with indicators and phase: the series of a chart; what is drawn over them is :func:`chart_marks`."""
+    return c.bars.join(c.macd, [*KEY, "idx"]).join(c.phases, [*KEY, "idx"], "left")
 
 
-def chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with indicators and phase: what a chart shows, for all series."""
-    bars = walk(spark, sf_dir)
-    c = chain(bars)
-    joined = bars.join(c["macd"], [*KEY, "idx"]).join(c["phases"], [*KEY, "idx"], "left")
-    return rounded(joined, "dif", "dea", "macd_hist")
+def chart_marks(c: Chain) -> DataFrame:
+    """Strokes, segments, zones, points, divergences and fused signals over a chart's bars."""
+    return fusion.marks(c.structures, c.points, c.divergences, c.fusion)
 
 
-def lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = walk(spark, sf_dir)
-    found = wyckoff.supply_demand_lines(bars, wyckoff.trading_ranges(bars, wyckoff.events(bars)))
-    return rounded(found, "start_price", "end_price", "slope")
+def joined_events(df: DataFrame) -> DataFrame:
+    return df.withColumn("events", F.array_join("events", "/"))
 
 
-def breaks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = walk(spark, sf_dir)
-    return wyckoff.line_breaks(bars, wyckoff.supply_demand_lines(bars, wyckoff.trading_ranges(bars, wyckoff.events(bars))))
+def screener(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: every series' latest fused signal with its phase."""
+    c = Chain(walk(spark, sf_dir))
+    return joined_events(fusion.screened(c.fusion, c.phases))
 
 
 def of(operator: Callable[..., DataFrame], source: Query = walk, *args, round_to: tuple = ()) -> Query:
@@ -262,30 +257,33 @@ QUERIES: dict[str, Query] = {
     "merged_bars": of(structure.merged_bars, walk, round_to=("amount",)),
     "fractals": of(lambda b: structure.fractals(structure.merged_bars(b))),
     "structures": of(structure.structures),
-    "walks": walks_query,
-    "leg_power": of_chain("powered", "area", "peak", "dif_peak"),
-    "divergences": of_chain("divergences"),
-    "walk_divergences": walk_divergence_query,
-    "points": of_chain("points"),
+    "walks": of_chain(lambda c: c.walks.withColumn("zones", F.size("zs_list")).drop("zs_list"), source=fixtures.bars_long),
+    "leg_power": of_chain(lambda c: c.powered, "area", "peak", "dif_peak"),
+    "divergences": of_chain(lambda c: c.divergences),
+    "walk_divergences": of_chain(lambda c: c.walk_divergences, source=fixtures.bars_long),
+    "points": of_chain(lambda c: c.points),
     "nested_signals": nested,
     "drill_down": drill_down,
+    "drill_down_macd": drill_down_macd,
     "wyckoff_events": of(wyckoff.events),
     "effort_result": of(wyckoff.effort_result, walk, round_to=("effort", "result")),
     "volume_trend": of(wyckoff.volume_trend, walk, round_to=("volume_trend",)),
     "appearances": of(wyckoff.appearances),
     "swings": of(wyckoff.swings),
     "significant_points": of(wyckoff.swings, walk, 5, 0.01),
-    "trading_ranges": of_chain("ranges", "upper", "lower", "ice"),
-    "phases": of_chain("phases"),
-    "current_phase": lambda s, d: fusion.current_phase(chain(walk(s, d))["phases"]),
-    "supply_demand_lines": lines_query,
-    "line_breaks": breaks_query,
+    "trading_ranges": of_chain(lambda c: c.ranges, "upper", "lower", "ice"),
+    "phases": of_chain(lambda c: c.phases),
+    "current_phase": of_chain(lambda c: fusion.current_phase(c.phases)),
+    "supply_demand_lines": of_chain(lambda c: c.lines, "start_price", "end_price", "slope"),
+    "line_breaks": of_chain(lambda c: wyckoff.line_breaks(c.bars, c.lines)),
     "trend_lines": of(wyckoff.trend_lines, walk, round_to=("slope",)),
-    "fusion_signals": fusion_query,
-    "structure_feed": structure_feed,
+    "fusion_signals": of_chain(lambda c: joined_events(fusion.fusion_feed(c.fusion))),
+    "structure_feed": of_chain(lambda c: fusion.structure_feed(c.points, c.divergences, c.bars)),
     "event_feed": of(lambda b: fusion.event_feed(wyckoff.events(b))),
-    "analysis_report": report,
-    "chart": chart,
+    "analysis_report": of_chain(lambda c: fusion.report(c.structures, c.points, c.divergences)),
+    "analysis_listing": of_chain(lambda c: fusion.listing(c.structures, c.points)),
+    "chart": of_chain(chart, "dif", "dea", "macd_hist"),
+    "chart_marks": of_chain(chart_marks),
 }
 
 __all__ = ["ORACLE", "QUERIES"]
