@@ -247,3 +247,22 @@ def line_breaks(bars: DataFrame, found: DataFrame) -> DataFrame:
     heavy = F.col("vol") > 1.3 * F.col("mv")
     kind = F.when((F.col("line_type") == "supply") & (gap > 0.03) & heavy, "breakout").when((F.col("line_type") == "demand") & (gap < -0.03) & heavy, "breakdown")
     return pairs.withColumn("break_type", kind).where("break_type is not null").select(*KEY, "idx", "line_type", "start_idx", "end_idx", F.round("level", 6).alias("level"), "break_type")
+
+
+def bundle(bars: DataFrame, found: DataFrame, ranges: DataFrame, phase_rows: DataFrame, line_rows: DataFrame) -> DataFrame:
+    """Everything of the analysis in one table, for series of 20 bars and more: part, idx, end_idx, label, value."""
+    enough = bars.groupBy(*KEY).agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_BARS).select(*KEY)
+    shape = lambda df, part, label, start, end, value: df.select(*KEY, F.lit(part).alias("part"), F.col(start).alias("idx"), F.col(end).alias("end_idx"), label.alias("label"), value.cast("double").alias("value"))
+    effort = effort_result(bars).where("reading <> 'neutral'")
+    rows = shape(found, "event", F.col("event_type"), "idx", "idx", F.col("price"))
+    rows = rows.unionByName(shape(ranges, "range", F.lit("range"), "start_idx", "end_idx", F.col("ice")))
+    rows = rows.unionByName(shape(line_rows, "line", F.col("line_type"), "start_idx", "end_idx", F.col("slope")))
+    rows = rows.unionByName(shape(phase_rows, "phase", F.concat_ws(" ", "phase", "sub_phase"), "idx", "idx", F.lit(None)))
+    rows = rows.unionByName(shape(effort, "effort", F.col("reading"), "idx", "idx", F.col("effort")))
+    return rows.join(enough, KEY, "left_semi")
+
+
+def creeks(bars: DataFrame, found: DataFrame) -> DataFrame:
+    """Every jump over the creek with the creek's width: the highest high less the lowest low of the ten bars before."""
+    rows = bars.select(*KEY, "idx", (F.max("high").over(back(-LOOKBACK, -1)) - F.min("low").over(back(-LOOKBACK, -1))).alias("creek_width"))
+    return found.where("event_type = 'JOC'").select(*KEY, "idx", "price").join(rows, [*KEY, "idx"])

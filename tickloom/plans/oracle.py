@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tickloom.functions import dims
 from tickloom.plans import oracle_chain as C
 from tickloom.sources.fixtures import BARS_SQL, DAILY_SQL, DAMAGED_SQL, EVENTS_SQL, events_sql, trades_sql
 
@@ -171,6 +172,7 @@ ORACLE: dict[str, str] = {
     "dq_issues": damaged("SELECT * FROM issues", ISSUES), "dq_series_scores": damaged("SELECT * FROM scores", ISSUES, SCORES),
     "dq_symbol_scores": damaged("SELECT symbol, round(avg(score), 6) AS score FROM scores GROUP BY symbol", ISSUES, SCORES),
     "cross_source": daily("""SELECT symbol, tf, count(ca) AS rows_a, count(cb) AS rows_b, count(*) FILTER (WHERE both_in) AS common, count(*) FILTER (WHERE bad) AS mismatches, count(*) FILTER (WHERE NOT both_in) AS one_sided,
+      coalesce(array_to_string(list(ts::VARCHAR ORDER BY ts) FILTER (WHERE bad)[1:10], '/'), '') AS first_mismatches,
       round(CASE WHEN count(ca) = 0 OR count(cb) = 0 THEN 0.5 ELSE 1 - least(1, 0.5::DOUBLE * count(*) FILTER (WHERE bad) / greatest(count(ca), count(cb))) END, 6) AS score FROM j GROUP BY symbol, tf""",
       "x AS (SELECT * REPLACE (CASE WHEN idx % 50 = 0 THEN close * 1.01::DOUBLE ELSE close END AS close) FROM daily WHERE idx % 97 <> 0 AND symbol <> '600005')",
       """j AS (SELECT symbol, tf, ts, a.close AS ca, x.close AS cb, a.close IS NOT NULL AND x.close IS NOT NULL AS both_in,
@@ -214,6 +216,9 @@ bars AS MATERIALIZED (SELECT * FROM (SELECT symbol, tf || '/' || leg AS tf, (row
   FROM events_bars JOIN spans USING (symbol) WHERE ts >= start_ts AND ts <= end_ts) QUALIFY count(*) OVER (PARTITION BY symbol, tf) >= 5)"""
 MACD_ROWS = """SELECT symbol, tf, idx, CASE WHEN n >= 26 THEN round(dif, 6) END AS dif, CASE WHEN n >= 26 THEN round(dea, 6) END AS dea, CASE WHEN n >= 26 THEN round(2 * (dif - dea), 6) END AS macd_hist
       FROM e JOIN c USING (symbol, tf, idx)"""
+TIMEFRAME_ASKED = [n for found in dims.TIMEFRAME_NAMES.values() for n in found] + ["F30", "Day", "f7", ""]
+TIMEFRAME_CASES = " ".join(f"WHEN lower(name) IN {found} THEN '{tf}'" for tf, found in dims.TIMEFRAME_NAMES.items())
+STORAGE_CASES = " ".join(f"WHEN tf = '{tf}' THEN '{name}'" for tf, _, name, _, _ in dims.TIMEFRAMES)
 
 ORACLE |= {
     "structures": bars("SELECT * FROM structures", *STRUCTURE),
@@ -237,5 +242,20 @@ ORACLE |= {
     "analysis_listing": bars("SELECT * FROM listing", *POINTS, C.LISTING),
     "chart": bars("""SELECT b.*, round(m.dif, 6) AS dif, round(m.dea, 6) AS dea, round(m.macd_hist, 6) AS macd_hist, phase, sub_phase FROM bars b JOIN m USING (symbol, tf, idx) LEFT JOIN phases USING (symbol, tf, idx)""", *POINTS, *PHASED),
     "chart_marks": bars("SELECT * FROM marks UNION ALL SELECT symbol, tf, 'signal', level, bs_type, idx, idx, price, price, strength FROM fused", *POINTS, *PHASED, C.FUSION, C.MARKS),
+    "volume_bundle": bars("""SELECT symbol, tf, part, idx, end_idx, label, round(value, 6) AS value FROM (
+        SELECT symbol, tf, 'event' AS part, idx, idx AS end_idx, event_type AS label, price AS value FROM found UNION ALL SELECT symbol, tf, 'range', start_idx, end_idx, 'range', ice FROM ranges
+        UNION ALL SELECT symbol, tf, 'line', start_idx, end_idx, line_type, slope FROM lines UNION ALL SELECT symbol, tf, 'phase', idx, idx, phase || ' ' || sub_phase, NULL FROM phases
+        UNION ALL SELECT symbol, tf, 'effort', idx, idx, reading, effort FROM effort WHERE reading <> 'neutral') WHERE (symbol, tf) IN (SELECT symbol, tf FROM bars GROUP BY ALL HAVING count(*) >= 20)""",
+      *PHASED, C.LINES, f"effort AS ({ORACLE['effort_result'].split(BARS_SQL.strip(), 1)[1].strip().replace('round(effort, 6) AS effort', 'effort')})"),
+    "creeks": bars("""SELECT f.symbol, f.tf, f.idx, f.price, w.creek_width FROM found f JOIN (SELECT symbol, tf, idx, max(high) OVER v - min(low) OVER v AS creek_width FROM bars
+      WINDOW v AS (PARTITION BY symbol, tf ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) w USING (symbol, tf, idx) WHERE f.event_type = 'JOC'""", WYCKOFF),
+    "asked_timeframes": f"""WITH a AS (SELECT {TIMEFRAME_ASKED}[l_orderkey % {len(TIMEFRAME_ASKED)} + 1] AS name FROM lineitem), p AS (SELECT name, CASE {TIMEFRAME_CASES} END AS tf FROM a)
+      SELECT name, tf, CASE {STORAGE_CASES} END AS dir_name, count(*) AS n FROM p GROUP BY ALL""",
+    "index_series": bars(f"SELECT symbol, tf, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, name, abbreviation FROM bars JOIN (VALUES {', '.join(map(str, dims.INDEXES))}) x(symbol, name, abbreviation) USING (symbol) GROUP BY ALL"),
+    "parsed_dates": """SELECT DISTINCT CASE l_orderkey % 4 WHEN 0 THEN strftime(l_shipdate::DATE, '%Y-%m-%d') WHEN 1 THEN strftime(l_shipdate::DATE, '%Y/%m/%d') WHEN 2 THEN strftime(l_shipdate::DATE, '%Y-%m-%d') || ' 09:30:00'
+      ELSE strftime(l_shipdate::DATE, '%d.%m.%Y') END AS text, CASE WHEN l_orderkey % 4 < 3 THEN l_shipdate::DATE::VARCHAR END AS day FROM lineitem""",
+    "abbreviations": """WITH n AS (SELECT s_suppkey, translate(s_name, '0123456789', '零一二三四五六七八九') AS name FROM supplier)
+      SELECT s_suppkey, name, regexp_replace(translate(lower(name), '一二三四五六七八九', 'yesswlqbj'), '[^a-z0-9]', '', 'g') AS initials, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS ascii_only FROM n""",
+    "stored_bars": daily("SELECT symbol, tf, ts, true AS has_time, open, high, low, close, vol, 0.0::DOUBLE AS amount FROM daily"),
     "screener": bars("SELECT * FROM screened", *POINTS, *PHASED, C.FUSION),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -200,6 +202,47 @@ def screener(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_events(fusion.screened(c.fusion, c.phases))
 
 
+def asked_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items that ask for a timeframe by one of its names, in any case, counted by the name's storage."""
+    names = [n for found in dims.TIMEFRAME_NAMES.values() for n in found] + ["F30", "Day", "f7", ""]
+    asked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("l_orderkey") % len(names) + 1).cast("int")).alias("name"))
+    tf = dims.parse_timeframe(F.col("name"))
+    return asked.groupBy("name", tf.alias("tf"), dims.storage_name(tf).alias("dir_name")).agg(F.count("*").alias("n"))
+
+
+def index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The traded series whose symbols are main indexes, with name and abbreviation."""
+    return B.series_ranges(walk(spark, sf_dir)).join(F.broadcast(dims.index_dimension(spark)), "symbol")  # ten rows
+
+
+def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ship dates as text in several forms, read again."""
+    day, k = F.col("l_shipdate").cast("date"), F.col("l_orderkey") % 4
+    text = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "yyyy/MM/dd")).when(k == 2, F.date_format(day, "yyyy-MM-dd 09:30:00")).otherwise(F.date_format(day, "dd.MM.yyyy"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(text.alias("text")).distinct()
+    return rows.select("text", quality.parsed_date(F.col("text")).cast("string").alias("day"))
+
+
+#: Characters of the names that are abbreviated, and their initials; the first has none.
+DIGIT_NAMES, INITIALS = "零一二三四五六七八九", {"一": "y", "二": "e", "三": "s", "四": "s", "五": "w", "六": "l", "七": "q", "八": "b", "九": "j"}
+
+
+def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier names with their digits in characters, abbreviated by a character table and without one."""
+    name = F.translate("s_name", "0123456789", DIGIT_NAMES)
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", name.alias("name"))
+    return rows.withColumns({"initials": dims.abbreviation(F.col("name"), INITIALS), "ascii_only": dims.abbreviation(F.col("name"), {})})
+
+
+def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars written to a table and read again."""
+    sc = spark.sparkContext
+    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-bars-")
+    root = f"{shared}/bars-{uuid.uuid4().hex}"
+    tables.write_bars(daily(spark, sf_dir), root)
+    return tables.read_bars(spark, root, tf="d")
+
+
 def of(operator: Callable[..., DataFrame], source: Query = walk, *args, round_to: tuple = ()) -> Query:
     return lambda spark, sf_dir: rounded(operator(source(spark, sf_dir), *args), *round_to)
 
@@ -251,7 +294,7 @@ QUERIES: dict[str, Query] = {
     "dq_issues": of(quality.issues, damaged),
     "dq_series_scores": of(quality.series_scores, damaged),
     "dq_symbol_scores": of(quality.symbol_scores, damaged),
-    "cross_source": lambda s, d: quality.cross_source(daily(s, d), second_source(daily(s, d))).drop("first_mismatches"),
+    "cross_source": lambda s, d: quality.cross_source(daily(s, d), second_source(daily(s, d))).withColumn("first_mismatches", F.array_join(F.transform("first_mismatches", lambda x: x.cast("string")), "/")),
     "macd": of(indicators.macd, walk, round_to=("dif", "dea", "macd_hist")),
     "volume_scores": of(indicators.volume_scores, walk, round_to=("vp_score",)),
     "merged_bars": of(structure.merged_bars, walk, round_to=("amount",)),
@@ -284,6 +327,13 @@ QUERIES: dict[str, Query] = {
     "analysis_listing": of_chain(lambda c: fusion.listing(c.structures, c.points)),
     "chart": of_chain(chart, "dif", "dea", "macd_hist"),
     "chart_marks": of_chain(chart_marks),
+    "volume_bundle": of_chain(lambda c: wyckoff.bundle(c.bars, c.events, c.ranges, c.phases, c.lines), "value"),
+    "creeks": of_chain(lambda c: wyckoff.creeks(c.bars, c.events)),
+    "asked_timeframes": asked_timeframes,
+    "index_series": index_series,
+    "parsed_dates": parsed_dates,
+    "abbreviations": abbreviations,
+    "stored_bars": stored_bars,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
