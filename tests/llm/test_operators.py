@@ -323,18 +323,50 @@ def test_quality_of_odd_texts(spark):
 
 
 def test_quality_counts_all_documents(spark, monkeypatch):
-    """Edges and the cut are those of all documents however small the sample; a repeated doc_id is one row of it."""
+    """Edges, mean slopes and the threshold are those of all documents however small the sample; a repeated doc_id is one row of it."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    monkeypatch.setattr(quality, "SAMPLE_ROWS", 150)
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 300)
     found = quality.described(docs.union(docs.where("doc_id % 5 = 1")))
     edges, weights = quality.train(found, labels)
-    rows = np.array([r.row for r in found.where("not held_out").collect()])
+    known = found.where("not held_out").select("row", "grams").toArrow().combine_chunks()
+    rows = np.array(known.column("row").to_pylist())
     exact = np.quantile(rows, np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0, method="inverted_cdf").T
     assert (edges <= exact).all() and (edges >= exact * (1 - 1 / 1000)).all()
-    trusted = [r.quality for r in labels.where(quality.fold() != 0).where("quality is not null").collect()]
-    sums = weights[quality.binned(rows, edges)].sum(axis=1) + weights[-1]
-    part = quality.REJECTED_PART * (1 - np.mean(trusted))
-    low = np.log(quality.THRESHOLD / (1 - quality.THRESHOLD))
-    assert (sums < low - 0.002).mean() <= part <= (sums < low + 0.002).mean()
-    assert len(quality.sampled(found, docs.where("doc_id < 50").select("doc_id"))) == docs.where("doc_id < 50").count()
+    every = quality.design(known.to_batches()[0], edges)
+    assert np.allclose(quality.mean_over(found.where("not held_out"), edges, weights), every.T @ quality.sigmoid(every @ weights) / len(every))
+    trusted = labels.where("quality = 1").count() / labels.count()
+    assert abs((every @ weights >= np.log(quality.THRESHOLD / (1 - quality.THRESHOLD))).mean() - trusted) < 0.08
+    assert quality.sampled(found, docs.where("doc_id < 50").select("doc_id")).num_rows == docs.where("doc_id < 50").count()
+
+
+def test_quality_risk_and_slope_against_plain_loops():
+    rnd = np.random.default_rng(5)
+    positive, unlabelled, weights = rnd.normal(size=(40, 4)), rnd.normal(size=(70, 4)), rnd.normal(size=4)
+    positive[:, -1] = unlabelled[:, -1] = 1
+    loss = lambda z: np.log(1 + np.exp(-z))
+
+    def plain(w, prior, part):
+        as_positive = sum(loss(x @ w) for x in positive) / 40
+        as_negative = sum(loss(-(x @ w)) for x in unlabelled) / 70 - prior * sum(loss(-(x @ w)) for x in positive) / 40
+        return prior * as_positive + part * as_negative + quality.SHRINK / 2 * sum(w[:-1] ** 2)
+
+    for prior, part in ((0.3, 1.0), (0.8, 0.4)):
+        assert np.isclose(quality.risk(positive, unlabelled, weights, prior, part), plain(weights, prior, part))
+        mean = unlabelled.T @ quality.sigmoid(unlabelled @ weights) / 70
+        moved = [(plain(weights + 1e-6 * e, prior, part) - plain(weights - 1e-6 * e, prior, part)) / 2e-6 for e in np.eye(4)]
+        assert np.allclose(quality.slope(positive, mean, weights, prior, part), moved, atol=1e-6)
+        best = quality.fit(positive, unlabelled, prior, part)
+        assert all(plain(best, prior, part) <= plain(best + d, prior, part) + 1e-9 for d in rnd.normal(size=(50, 4)) * 0.1)
+    apart = positive + np.array([2.5, 0, 0, 0])
+    large = np.concatenate([apart[::2] + 0.1, unlabelled[:8]])  # more alike than chance lets a sample be: the risk of negatives is clamped
+    clamped, part = quality.fit_clamped(apart, large, 0.8)
+    assert part < 1 and 0 <= quality.negative_risk(apart, large, clamped, 0.8) < 0.05
+
+
+def test_quality_prior_is_found():
+    rnd = np.random.default_rng(6)
+    for prior in (0.2, 0.5, 0.85):
+        positive = rnd.normal(3, 1, 4000)
+        mixed = np.sort(np.where(rnd.random(60_000) < prior, rnd.normal(3, 1, 60_000), rnd.normal(-1, 1, 60_000)))
+        assert abs(quality.prior_of(positive, mixed, np.ones(len(mixed), int)) - prior) < 0.03

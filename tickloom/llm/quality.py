@@ -1,18 +1,26 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are documents labelled 1, the unlabelled set is documents at large, the class prior is the
-share of label 1 among the labelled ones. The model is a sum of one weight per feature bin; it minimises
-prior * E_P[loss(f)] + max(0, E_U[loss(-f)] - prior * E_P[loss(-f)]) for the logistic loss, so its output
-through the logistic function is the probability of label 1. Where the estimated risk of negatives turns
-negative its weights stop growing, which leaves scores too high; the intercept is therefore set so that the
-share of unlabelled documents below the threshold is nearly the share of negatives that the prior leaves.
-The fit is on a bounded sample; bin edges and the threshold's place come from counts over all documents
-outside the held-out fold. Features look at the text only.
+Trusted positives are documents labelled 1; the unlabelled set is every document outside the held-out fold. Labels 0
+are never read. The model is a sum of weights: one per bin of each statistic of the text, one per bucket of
+its hashed words and of its hashed three-byte grams. It minimises
+prior * E_P[loss(f)] + max(0, E_U[loss(-f)] - prior * E_P[loss(-f)]) for the logistic loss. The minimum is that of
+prior * E_P[loss(f)] + part * (E_U[loss(-f)] - prior * E_P[loss(-f)]) for the part in [0, 1] at which the estimated
+risk of negatives is not below zero, and this is convex in the weights.
+
+The prior is estimated from positives and unlabelled documents alone: a first model separates the two, and the prior is the
+least ratio of their shares above a score, with the confidence of that ratio taken into account (best bin
+estimation). The non-negative risk leaves scores too high wherever it is clamped, so the intercept is set at last, again from
+positives, all documents and the prior: where a document is as likely positive as the threshold says, its score is the
+threshold. Scores further away are ranks on a probability's scale, not calibrated odds.
+
+Labelled rows are bounded by ``SAMPLE_ROWS``. Means over the unlabelled set, bin edges, the prior and the threshold's place
+are taken over all documents; a bounded sample of these only gives the first weights and the curvature of the steps.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, slices
+from tickloom.llm.common import Scratch, slices
 
 FOLDS, THRESHOLD = 5, 0.3
-#: The model is fitted on at most so many positives and so many unlabelled documents, the first by digest.
+#: At most so many positives are read, the first by digest, and so many documents for first weights and curvature.
 SAMPLE_ROWS = 6000
-#: Part of the negatives' expected share at which the threshold is put; below 1 it rather keeps a document.
-REJECTED_PART = 0.95
-BINS, STEPS, RATE, SHRINK = 12, 400, 0.1, 1e-4
+BINS, BUCKETS, SHRINK = 12, 128, 0.01
+#: Steps over all documents at most, the change at which they end, and halvings in the search of the clamped part.
+PASSES, SMALL, HALVINGS = 8, 2e-3, 7
+#: Weight of the hashed buckets beside the bins, whose values are 0 and 1.
+BUCKET_SCALE = 3.0
 #: Bits of a feature's mantissa that its histogram drops (1,024 cells an octave are left), and cells of the
 #: histogram of sums of weights, in which one is the unit and 30 the end. Both are of bounded size.
 DROPPED_BITS, SUM_CELLS, SUM_END = 42, 1024, 30
@@ -68,6 +78,22 @@ def features(text: str | None) -> np.ndarray:
     ])
 
 
+def buckets(text: str | None) -> bytes:
+    """Square roots of the shares of hashed words and of hashed three-byte grams, a byte each."""
+    out = np.zeros(2 * BUCKETS)
+    seen: dict[str, int] = {}
+    for w in (text or "").lower().split():
+        seen[w] = seen.get(w, 0) + 1
+    if seen:
+        place = np.fromiter((zlib.crc32(w.encode()) for w in seen), np.int64, len(seen)) % BUCKETS
+        out[:BUCKETS] = np.bincount(place, np.fromiter(seen.values(), float, len(seen)), BUCKETS) / sum(seen.values())
+    raw = np.frombuffer((text or "").lower().encode(), np.uint8).astype(np.uint32)
+    if len(raw) > 2:
+        grams = (raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA77) + raw[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(25)
+        out[BUCKETS:] = np.bincount(grams, minlength=BUCKETS) / len(grams)
+    return np.round(np.sqrt(out) * 255).astype(np.uint8).tobytes()
+
+
 def quantiles(cells: np.ndarray, counts: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """The cells in which these parts of the counted rows are reached."""
     order = np.argsort(cells)
@@ -76,35 +102,35 @@ def quantiles(cells: np.ndarray, counts: np.ndarray, parts: np.ndarray) -> np.nd
 
 
 def tallied(found: DataFrame, cells_of) -> tuple[np.ndarray, ...]:
-    """Number of rows by column and cell, over all of ``found``; ``cells_of`` makes a matrix of cells from one of features."""
+    """Number of rows by column and cell, over all of ``found``; ``cells_of`` makes a matrix of cells from a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = cells_of(matrix(batch.column("row")))
+            cells = cells_of(batch)
             for k in range(cells.shape[1]):
                 cell, n = np.unique(cells[:, k], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), pa.array(cell), pa.array(n)], names=["k", "cell", "n"])
 
-    counts = found.select("row").mapInArrow(run, "k int, cell long, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = found.select("row", "grams").mapInArrow(run, "k int, cell long, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
     return tuple(counts.column(c).to_numpy() for c in ("k", "cell", "n"))
 
 
 def edges_of(found: DataFrame) -> np.ndarray:
     """Bin edges of every feature: quantiles over all of ``found``, to a thousandth."""
-    k, cell, n = tallied(found, lambda rows: (rows + 0.0).view(np.int64) >> DROPPED_BITS)  # features are not negative
+    k, cell, n = tallied(found, lambda batch: (matrix(batch.column("row")) + 0.0).view(np.int64) >> DROPPED_BITS)  # features are not negative
     parts = np.linspace(0, 1, BINS + 1)[1:-1]
     return np.stack([(quantiles(cell[k == j], n[k == j], parts) << DROPPED_BITS).view(np.float64) for j in range(len(FEATURES))])
 
 
-def sum_cut(found: DataFrame, edges: np.ndarray, weights: np.ndarray, part: float) -> float:
-    """The sum of weights below which this part of all of ``found`` stays, to a thousandth."""
+def sums_tally(found: DataFrame, edges: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weights over all of ``found``, to a thousandth, in ascending order, and the number of rows with each."""
 
-    def cells(rows: np.ndarray) -> np.ndarray:
-        sums = weights[binned(rows, edges)].sum(axis=1, keepdims=True) + weights[-1]
-        return np.floor(np.clip(sums, -SUM_END, SUM_END) * SUM_CELLS).astype(np.int64)
+    def cells(batch: pa.RecordBatch) -> np.ndarray:
+        return np.floor(np.clip(design(batch, edges) @ weights, -SUM_END, SUM_END) * SUM_CELLS).astype(np.int64)[:, None]
 
     _, cell, n = tallied(found, cells)
-    return float(quantiles(cell, n, np.array([part]))[0] / SUM_CELLS)
+    order = np.argsort(cell)
+    return cell[order] / SUM_CELLS, n[order]
 
 
 def binned(rows: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -112,55 +138,144 @@ def binned(rows: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(e, rows[:, j], side="right") + j * BINS for j, e in enumerate(edges)], axis=1)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
-    """Weights (one per bin, the last is the intercept) that minimise the non-negative risk; deterministic."""
-    size = len(FEATURES) * BINS + 1
-    weights, mean, square = np.zeros(size), np.zeros(size), np.zeros(size)
-    weights[-1] = np.log(prior / (1 - prior))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-    def gradient(bins: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        out = np.bincount(bins.ravel(), np.repeat(slope, bins.shape[1]), size)
-        out[-1] = slope.sum()
-        return out / len(bins)
-
-    for step in range(1, STEPS + 1):
-        at_p = weights[positive].sum(axis=1) + weights[-1]
-        at_u = weights[unlabelled].sum(axis=1) + weights[-1]
-        negative_risk = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_p).mean()
-        as_negative = gradient(unlabelled, sigmoid(at_u)) - prior * gradient(positive, sigmoid(at_p))
-        slope = prior * gradient(positive, -sigmoid(-at_p)) + as_negative if negative_risk >= 0 else -as_negative
-        slope = slope + SHRINK * np.append(weights[:-1], 0)
-        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
-        weights = weights - RATE * (1 - step / (STEPS + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+def design(batch: pa.RecordBatch | pa.Table, edges: np.ndarray) -> np.ndarray:
+    """The model's inputs, one row a document: bins, buckets and a one."""
+    out = np.ones((batch.num_rows, len(FEATURES) * BINS + 2 * BUCKETS + 1))
+    out[:, : len(FEATURES) * BINS] = 0
+    np.put_along_axis(out, binned(matrix(batch.column("row")), edges), 1.0, 1)
+    raw = np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint8).reshape(batch.num_rows, 2 * BUCKETS)
+    out[:, len(FEATURES) * BINS : -1] = raw * (BUCKET_SCALE / 255)
+    return out
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def negative_risk(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, prior: float) -> float:
+    return float(np.logaddexp(0, unlabelled @ weights).mean() - prior * np.logaddexp(0, positive @ weights).mean())
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, prior: float, part: float) -> float:
+    """prior * E_P[loss(f)] + part * (E_U[loss(-f)] - prior * E_P[loss(-f)]) and the shrinkage."""
+    return prior * float(np.logaddexp(0, -(positive @ weights)).mean()) + part * negative_risk(positive, unlabelled, weights, prior) + SHRINK / 2 * float((weights[:-1] ** 2).sum())
+
+
+def slope(positive: np.ndarray, mean_unlabelled: np.ndarray, weights: np.ndarray, prior: float, part: float) -> np.ndarray:
+    """The gradient of :func:`risk`, from the mean over the unlabelled set of sigmoid(f) * inputs."""
+    at_p = sigmoid(positive @ weights)
+    of_positives = positive.T @ ((1 - part) * at_p - 1) / len(positive)  # loss'(f) = sigmoid(f) - 1, less part * loss'(-f)
+    return part * mean_unlabelled + prior * of_positives + SHRINK * np.append(weights[:-1], 0)
+
+
+def curvature(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, prior: float, part: float) -> np.ndarray:
+    of = lambda rows: (rows * (sigmoid(rows @ weights) * sigmoid(-(rows @ weights)))[:, None]).T @ rows / len(rows)
+    return part * of(unlabelled) + prior * (1 - part) * of(positive) + np.diag(np.append(np.full(len(weights) - 1, SHRINK), 0) + 1e-6)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, part: float, weights: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the intercept) that minimise :func:`risk`, by Newton steps with halving; deterministic."""
+    weights = np.zeros(positive.shape[1]) if weights is None else weights
+    now = risk(positive, unlabelled, weights, prior, part)
+    for _ in range(20):
+        mean = unlabelled.T @ sigmoid(unlabelled @ weights) / len(unlabelled)
+        step = np.linalg.solve(curvature(positive, unlabelled, weights, prior, part), slope(positive, mean, weights, prior, part))
+        length = 1.0
+        while length > 1e-4 and (new := risk(positive, unlabelled, weights - length * step, prior, part)) > now:
+            length /= 2
+        if length <= 1e-4:
+            break
+        weights, now = weights - length * step, new
+        if np.abs(step).max() < 1e-4:
+            break
     return weights
 
 
+def fit_clamped(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights that minimise the non-negative risk and the part at which they do: 1 where the risk of negatives is not clamped."""
+    weights = fit(positive, unlabelled, prior, 1.0)
+    if negative_risk(positive, unlabelled, weights, prior) >= 0:
+        return weights, 1.0
+    low, high, found = 0.0, 1.0, weights
+    for _ in range(HALVINGS):
+        part = (low + high) / 2
+        weights = fit(positive, unlabelled, prior, part, weights)
+        if negative_risk(positive, unlabelled, weights, prior) >= 0:
+            low, found = part, weights
+        else:
+            high = part
+    return (found, low) if low else (weights, part)
+
+
+def prior_of(positive: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> float:
+    """The share of positives among unlabelled documents, from scores of positives that the model has not seen and a tally of all documents' scores."""
+    total = counts.sum()
+    above = np.cumsum(counts[::-1])[::-1] / total  # share of documents at or above each score
+    positives_above = 1 - np.searchsorted(np.sort(positive), sums) / len(positive)
+    some = positives_above > 0
+    doubt = np.sqrt(np.log(40) / (2 * total)) + np.sqrt(np.log(40) / (2 * len(positive)))
+    best = np.argmin((above[some] + 1.01 * doubt) / positives_above[some])
+    return float(np.clip(above[some][best] / positives_above[some][best], 0.01, 0.99))
+
+
+def decision(positive: np.ndarray, sums: np.ndarray, counts: np.ndarray, prior: float) -> float:
+    """The sum of weights above which a document is likelier positive than ``THRESHOLD``.
+
+    There the estimated cost is least, if a positive below costs 1 - THRESHOLD and a negative above THRESHOLD:
+    both shares follow from those of positives and of all documents above a sum, and the prior.
+    """
+    above = np.cumsum(counts[::-1])[::-1] / counts.sum()
+    positives_above = 1 - np.searchsorted(np.sort(positive), sums) / len(positive)
+    return float(sums[np.argmax(prior * positives_above - THRESHOLD * above)])
+
+
+def mean_over(found: DataFrame, edges: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Mean of sigmoid(f) * inputs over all of ``found``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(weights) + 1)
+        for batch in batches:
+            rows = design(batch, edges)
+            total[:-1] += rows.T @ sigmoid(rows @ weights)
+            total[-1] += len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "total"])
+
+    sums = found.select("row", "grams").mapInArrow(run, "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).toArrow()
+    total = np.zeros(len(weights) + 1)
+    total[sums.column("k").to_numpy()] = sums.column("total").to_numpy()
+    return total[:-1] / total[-1]
+
+
 def fold():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES))
 
 
+def inputs(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+    return pa.array([features(t) for t in texts], pa.list_(pa.float64())), pa.array([buckets(t) for t in texts], pa.binary())
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and the features ``row`` of every document, in the checkpoint folder."""
+    """doc_id, held_out and the model's inputs ``row`` and ``grams`` of every document, as a table in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = pa.array([features(t).tolist() for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), rows], names=["doc_id", "held_out", "row"])
+            texts = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *inputs(texts)], names=["doc_id", "held_out", "row", "grams"])
 
     rows = docs.select("doc_id", (fold() == 0).alias("held_out"), "text")
-    return cut(rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, row array<double>"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, row array<double>, grams binary"
+    return Scratch(docs.sparkSession).keep(rows.mapInArrow(run, schema))
 
 
-def sampled(found: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents with these ids, at most SAMPLE_ROWS, as a matrix on the driver; one row an id."""
-    chosen = found.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row").alias("row"))
-    rows = sorted(chosen.toArrow().column("row").to_pylist())  # the fit doesn't depend on the order in which tasks end
-    return np.array(rows).reshape(len(rows), len(FEATURES))
+def sampled(found: DataFrame, ids: DataFrame) -> pa.Table:
+    """Inputs of the documents with these ids, at most SAMPLE_ROWS, on the driver; one row an id."""
+    chosen = found.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("row", "grams")).alias("x"))
+    return chosen.select("x.*").toArrow().sort_by("grams")  # the fit doesn't depend on the order in which tasks end
 
 
 def train(found: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
@@ -169,29 +284,35 @@ def train(found: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]
     Only labels outside fold 0 are read. Ids whose labels disagree are left out.
     """
     trusted = labels.where("doc_id is not null and quality is not null").where(fold() != 0)
-    trusted = trusted.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("high")).where("quality = high")
-    n, prior = trusted.agg(F.count("*"), F.avg("quality")).first()
-    if not n or prior == 0:
-        return None
-    by_digest = F.xxhash64("doc_id")
-    chosen = trusted.where("quality = 1").select("doc_id").orderBy(by_digest, "doc_id").limit(SAMPLE_ROWS)
+    trusted = trusted.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")  # no label says 0
+    chosen = trusted.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     known = found.where("doc_id is not null and not held_out")
     at_large = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(SAMPLE_ROWS)
-    positive, unlabelled = sampled(found, chosen), sampled(found, at_large)
-    if not len(positive) or not len(unlabelled):
+    positives, some = sampled(found, chosen), sampled(found, at_large)
+    if not positives.num_rows or not some.num_rows:
         return None
-    edges, prior = edges_of(known), min(max(prior, 0.01), 0.99)
-    weights = fit(binned(positive, edges), binned(unlabelled, edges), prior)
-    weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - sum_cut(known, edges, weights, REJECTED_PART * (1 - prior))
+    edges = edges_of(known)
+    positive, unlabelled = design(positives, edges), design(some, edges)
+    even = np.arange(len(positive)) % 2 == 0
+    first = fit(positive[even], unlabelled, 0.5, 1.0)
+    prior = prior_of(positive[~even] @ first if (~even).any() else positive @ first, *sums_tally(known, edges, first))
+    weights, part = fit_clamped(positive, unlabelled, prior)
+    for _ in range(PASSES):
+        mean = mean_over(known, edges, weights)
+        step = np.linalg.solve(curvature(positive, unlabelled, weights, prior, part), slope(positive, mean, weights, prior, part))
+        weights = weights - step
+        if np.abs(step).max() < SMALL:
+            break
+    weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - decision(positive @ weights, *sums_tally(known, edges, weights), prior)
     return edges, weights
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; one row per input row.
 
-    ``score`` estimates the probability of label 1 and ``predicted`` is 1 from ``THRESHOLD`` on. Null and
-    empty texts are scored by their (zero) features. Repeated rows get equal scores; an empty table gives an
-    empty result. Without any trusted positive every score is 0.5.
+    ``score`` is higher where label 1 is likelier and ``predicted`` is 1 from ``THRESHOLD`` on. Null and empty texts are scored by their (zero) inputs; a very
+    long text has as many inputs as a short one. Repeated rows get equal scores; an empty table gives an
+    empty result; further columns are not read. Without any trusted positive every score is 0.5.
     """
     rows = described(docs)
     model = train(rows, labels)
@@ -201,8 +322,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             found = np.full(batch.num_rows, 0.5)
             if model and batch.num_rows:
                 edges, weights = model
-                bins = binned(matrix(batch.column("row")), edges)
-                found = 1 / (1 + np.exp(-np.clip(weights[bins].sum(axis=1) + weights[-1], -30, 30)))
+                found = sigmoid(design(batch, edges) @ weights)
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
@@ -211,7 +331,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
+    """The documents that the classifier does not reject, with all their columns, repeated rows included.
+
+    Null and empty texts are judged by their (zero) inputs; without any trusted positive nothing is rejected.
+    """
     model = train(described(docs.where(fold() != 0)), labels)
     if model is None:
         return docs
@@ -220,8 +343,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges, weights = model
         for batch in slices(batches):
-            rows = np.array([features(t) for t in batch.column(names.index("text")).to_pylist()]).reshape(-1, len(FEATURES))
-            good = 1 / (1 + np.exp(-np.clip(weights[binned(rows, edges)].sum(axis=1) + weights[-1], -30, 30))) >= THRESHOLD
-            yield batch.filter(pa.array(good))
+            rows = pa.RecordBatch.from_arrays(list(inputs(batch.column(names.index("text")).to_pylist())), names=["row", "grams"])
+            yield batch.filter(pa.array(sigmoid(design(rows, edges) @ weights) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
