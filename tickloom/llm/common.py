@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a folder of our own only where none is set (tests)."""
+    """Use the folder the cluster names; a folder of our own only where none is set and everything runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
@@ -38,6 +40,7 @@ class Scratch:
         ensure_checkpoint_dir(spark)
         self.spark, self.folder = spark, f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.held: list[DataFrame] = []  # an id stands for one table as long as that lives
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` written as a table and read back."""
@@ -45,14 +48,19 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = path
-        self.held = [*getattr(self, "held", []), table]  # an id stands for one table as long as that lives
+        self.held.append(table)
         return table
 
     def free(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(table)])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, self.paths[id(table)])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own in whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def once(rows: DataFrame, keys: list[str], repeated: bool) -> DataFrame:
