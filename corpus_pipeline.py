@@ -1,6 +1,8 @@
 """The corpus pipeline: quality, exact copies, near copies, mixture, tokens.
 
-Each stage works on all that its predecessor kept, written as Parquet in the shared folder and read again.
+Each stage works on all that its predecessor kept, written as Parquet in the shared folder and read again; what a
+stage has read is deleted when its own rows stand. Every stage gives an empty table for an empty one, reads texts whole
+however long they are, takes a null text for the empty one, and carries all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import bpe, quality
-from tickloom.llm.common import ensure_checkpoint_dir, table
+from tickloom.llm.common import delete, ensure_checkpoint_dir, table
 from tickloom.llm.exact_dedup import keep_first
 from tickloom.llm.mixing import mixed_documents
 from tickloom.llm.ngram_join import keep_one
@@ -19,27 +21,27 @@ from tickloom.llm.queries import tokenizer_path
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; repeated rows share their fate, without labels all stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal documents the one that exact dedup keeps."""
+    """Of equal documents the one that exact dedup keeps: exactly one row a group, of ties any one of the repeated rows."""
     return keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component of near-duplicates, by doc_id (null last) and text; a text without words links with nothing."""
     return keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by target weights in training order; a document that the mix takes twice stands twice."""
+    """The mix by target weights in training order; a document that the mix takes twice stands twice, one without words never."""
     return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts, a row for each row; a null text has no tokens."""
     return bpe.encode(docs, tokenizer_path())
 
 
@@ -63,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs
