@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from tickloom.llm.common import cut
 
 QUERY_STEP, K, SCALE = 50, 5, 256
+#: Floats hold integers below this exactly; components beyond +-LARGEST / SCALE count as that, scores beyond a long as its ends.
+EXACT, LARGEST = 2.0**53, 2**62
 #: Vectors of a shard and of a leaf, and queries that one task holds.
 SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS = 8192, 64, 2048
 
@@ -22,7 +24,7 @@ class BallTree:
     """Balls over rows of an integer matrix, halved along the direction between two far points."""
 
     def __init__(self, rows: np.ndarray) -> None:
-        self.rows = rows.astype(np.float64)
+        self.rows, self.exact = rows.astype(np.float64), rows
         self.leaves: list[np.ndarray | None] = []
         self.children: list[tuple[int, int] | None] = []
         centres, radii = [], []
@@ -56,6 +58,12 @@ class BallTree:
         bounds = queries @ self.centres.T + lengths[:, None] * self.radii
         return bounds + np.abs(bounds) * 1e-9 + 1e-6  # never below the exact bound
 
+    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products as integers: in floats where these hold every sum exactly, else in whole numbers of any size, ended at those of a long."""
+        if np.abs(self.rows[at]).sum(axis=1).max() * np.abs(query).max() < EXACT:
+            return (self.rows[at] @ query.astype(np.float64)).astype(np.int64)
+        return np.clip(self.exact[at].astype(object) @ query.astype(object), -(2**63), 2**63 - 1)
+
     def best(self, query: np.ndarray, bounds: np.ndarray, ids: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
         """(score, -id) of the k best rows with a score of at least ``least``, in a heap."""
         heap: list[tuple[int, int]] = []
@@ -69,7 +77,7 @@ class BallTree:
                 for child in self.children[node]:
                     heapq.heappush(nodes, (-bounds[child], child))
                 continue
-            scores = self.rows[at] @ query
+            scores = self.scores(at, query)
             low = max(least, heap[0][0] if len(heap) == k else -math.inf)
             for j in np.flatnonzero(scores >= low):
                 if ids[at[j]] == own:
@@ -85,7 +93,7 @@ class BallTree:
 def integer_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, ints: floor(256 x) of each component; rows that take no part are left out."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
+    ints = F.transform("embedding", lambda x: F.floor(F.greatest(F.least(x.cast("double") * SCALE, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite).select("vec_id", ints.alias("ints")).distinct()
 
 
@@ -94,8 +102,9 @@ def search(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> Data
 
     Queries are the rows whose vec_id is divisible by ``query_step``. Ties go to the smaller vec_id. Rows with
     a null vec_id, a null vector or a null or non-finite component take no part; vectors of another length
-    than the query's are no candidates; a repeated row counts once. Integer scores are exact below 2**53. A
-    query with fewer than k candidates returns them all; an empty table gives an empty result.
+    than the query's are no candidates; a repeated row counts once. Scores are exact; those beyond a long count
+    as its end. A query with fewer than k candidates returns them all; an empty table gives an empty result;
+    further columns are not read.
     """
     ints = cut(integer_vectors(vectors))
     n = ints.count()
@@ -110,10 +119,10 @@ def search(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> Data
         found = []
         if len(held) and len(queries):
             ids, tree = held["vec_id"].to_numpy(), BallTree(np.array(held["ints"].tolist(), np.int64))
-            wanted = np.array(queries["ints"].tolist(), np.float64)
-            bounds = tree.upper_bounds(wanted)
+            wanted = np.array(queries["ints"].tolist(), np.int64)
+            bounds = tree.upper_bounds(wanted.astype(np.float64))
             for j, (query_id, least) in enumerate(zip(queries["vec_id"], queries["least"])):
-                least = -math.inf if pd.isna(least) else float(least)
+                least = -math.inf if pd.isna(least) else int(least)
                 found += [(query_id, -i, s) for s, i in tree.best(wanted[j], bounds[j], ids, query_id, k, least)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
