@@ -287,15 +287,38 @@ def counted_windows(runs_of_large: DataFrame) -> DataFrame:
     return hits.select("doc_id", "text_key", "start", (F.col("start") + DEPTH).alias("end"))
 
 
+def fewer_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same bytes in fewer spans: those of one batch that overlap or touch become one, as in a text that repeats itself throughout."""
+    for batch in batches:
+        doc_id, null = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        key, start, end = (batch.column(c).to_numpy() for c in ("text_key", "start", "end"))
+        order = np.lexsort((start, key, doc_id, null))
+        same = np.ones(len(order), bool)
+        for column in (doc_id, null, key):
+            same[1:] &= column[order][1:] == column[order][:-1]
+        same[:1] = False
+        # ends so far within a document: documents are set apart by an offset beyond any place
+        place = (np.cumsum(~same) - 1) * (1 << 32)
+        reach = np.maximum.accumulate(end[order] + place)
+        begins = np.ones(len(order), bool)
+        begins[1:] = (start[order] + place)[1:] > reach[:-1]
+        last = np.flatnonzero(np.append(begins[1:], True)) if len(order) else order
+        first = pa.array(order[begins])
+        ends = pa.array((reach - place)[last].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(first), batch.column("text_key").take(first), batch.column("start").take(first), ends], names=["doc_id", "text_key", "start", "end"])
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans; one row per input row.
 
     A byte goes if a 200-byte string covers it that also starts anywhere else in the corpus, the same document
     included; overlaps count. Texts are UTF-8 bytes, null counts as empty, and no string crosses documents.
     ``spans`` are the maximal removed runs (start, end). A repeated row is a second place, so both lose what
-    they share; an empty table gives an empty result. Strings are compared by 64-bit digests of 40 bytes each.
+    they share; an empty table gives an empty result; further columns are not read. A very long text is read in
+    overlapping blocks of 4 MB. Strings are compared by 64-bit digests of 40 bytes each.
     """
-    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    merged = repeated_spans(docs).mapInArrow(fewer_spans, "doc_id long, text_key long, start int, end int")
+    spans = merged.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     spans = spans.agg(F.collect_list(F.struct("start", "end")).alias("found"))
     rows = keyed(docs)
     joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["_id"]) & (rows["text_key"] == spans["_key"]), "left").select("doc_id", "text", "found")
