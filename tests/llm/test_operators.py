@@ -180,6 +180,22 @@ def test_topk(spark):
     assert len(got) == 14
 
 
+def test_topk_of_large_numbers(spark):
+    """Scores beyond what floats hold, and beyond a long."""
+    vectors = [(0, [2.0**40, 2.0**40 + 5 / 256]), (1, [1.0 + 1 / 256, 3 / 256]), (2, [1.0, 3 / 256]), (3, [2.0**40, 1 / 256]), (4, [1e300, 0.0]), (5, [2.0**44, 1.0])]
+    frame = spark.createDataFrame([(*v, "x") for v in vectors], "vec_id long, embedding array<double>, score string")
+    ints = {k: [max(-(2**62), min(2**62, int(x * 256) if abs(x) < 1e15 else 2**62)) for x in v] for k, v in vectors}
+    want = sorted(((-min(sum(a * b for a, b in zip(ints[0], v)), 2**63 - 1), k) for k, v in ints.items() if k))
+    got = [(r.vec_id, r.score) for r in topk.search(frame).orderBy("rank").collect()]
+    assert got == [(k, -s) for s, k in want]
+
+
+def test_suffix_dedup_of_a_periodic_text(spark):
+    rows = [(1, "ab" * 1_000_000), (None, "x" * 500), (3, "y" * 199), (4, "z" * 200)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(table(spark, rows)).collect()}
+    assert got == {1: (2_000_000, 2_000_000, 1), None: (500, 500, 1), 3: (199, 0, 0), 4: (200, 0, 0)}
+
+
 def test_ngram_join(spark, corpus):
     sets = []
     for _, t, _ in corpus:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,12 @@ class Scratch:
             delete(self.spark, self.paths[id(table)])
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files behind tables that are written: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of our own in whatever file system it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

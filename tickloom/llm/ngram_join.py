@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import Scratch, cut, once, slices, text_or_empty
+from tickloom.llm.common import Scratch, cut, forget_shuffles, once, slices, text_or_empty
 
 GRAM_WORDS, PERCENT = 5, 75
 #: At most so many frequent grams are broadcast (1 MB), those seen in at least so many documents.
@@ -347,6 +347,7 @@ def classes(docs: DataFrame, with_digest: bool = False) -> DataFrame:
     members = scratch.keep(given.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("gid", "n", "bits", "words")]))
     lists = scratch.keep(listed(found))
     pairs = scratch.keep(hub_pairs(lists))
+    forget_shuffles(docs.sparkSession)
 
     # one hub a group first, and the members of a group with the first of them
     first = members.groupBy("gid").agg(F.min("sid").alias("rep"))
@@ -360,6 +361,7 @@ def classes(docs: DataFrame, with_digest: bool = False) -> DataFrame:
     others = of(pairs.join(best, ["gid", "hub"], "left_anti")).join(label("a"), "a").join(label("b"), "b").where("root_a <> root_b").select("a", "b")
     links = verified(others, members, found, scratch)
     labels = rooted(labels, links, scratch)
+    forget_shuffles(docs.sparkSession)
     # last what the hubs have not settled
     links = verified(unsettled(lists, members, labels, scratch), members, found, scratch)
     labels = rooted(labels, links, scratch)
