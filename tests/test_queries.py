@@ -1,4 +1,4 @@
-"""Every registered query that has SQL gives the SQL's rows on the smallest tables; the others run."""
+"""Every registered query that has SQL gives the SQL's rows on the smallest tables."""
 
 import sys
 from pathlib import Path
@@ -26,10 +26,5 @@ def test_query_equals_sql(spark, sf, tables, name):
     assert got.equals(want)
 
 
-@pytest.mark.parametrize("name", ["screener", "walk_divergences", "drill_down", "line_breaks", "analysis_report", "chart"])
-def test_query_without_sql_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
-
-
-def test_every_sql_has_a_query():
-    assert set(ORACLE) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(ORACLE) == set(QUERIES)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions import kernels
-from tickloom.functions.windows import KEY, by_index, whole
+from tickloom.functions.windows import KEY, by_index, dealt, whole
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, warmup: str = "zero") -> DataFrame:
@@ -28,7 +28,7 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, warmu
         return out.astype(object).where(out.notna(), None)
 
     schema = "symbol string, tf string, idx int, dif double, dea double, macd_hist double"
-    return bars.select(*KEY, "idx", "close").groupBy(*KEY).applyInPandas(fold, schema)
+    return dealt(bars.select(*KEY, "idx", "close")).groupBy(*KEY).applyInPandas(fold, schema)
 
 
 def volume_scores(bars: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.functions import dims, kernels
+from tickloom.functions import dims
 from tickloom.functions.windows import KEY
 from tickloom.operators.structure import zone_list
 
@@ -115,27 +114,18 @@ def walk_divergences(walks: DataFrame, powered: DataFrame, macd: DataFrame) -> D
 def first_points(legs: DataFrame, zones: DataFrame, found: DataFrame) -> DataFrame:
     """First points: a trend divergence and each group of two and more earlier zones of its direction."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        z = rows[rows["kind"] == 0].sort_values("no", kind="stable")
-        top, bottom, start = z["zg"].to_numpy(), z["zd"].to_numpy(), z["start_idx"].to_numpy()
-        groups = kernels.point_groups(top, bottom)  # those of the zones up to a divergence are the same, cut off there
-        spans = [(g, groups.index(g), len(groups) - 1 - groups[::-1].index(g)) for g in sorted(set(groups))]
-        out = []
-        for d in rows[rows["kind"] == 1].itertuples():
-            seen = int((start <= d.idx).sum())
-            for _, first, last in spans:
-                last = min(last, seen - 1)
-                if last > first:
-                    way = "up" if bottom[last] > top[first] else "down" if top[last] < bottom[first] else None
-                    if way == d.direction:
-                        out.append((d.symbol, d.tf, d.level, d.idx, d.direction))
-        return pd.DataFrame(out, columns=["symbol", "tf", "level", "idx", "direction"])
-
     keys = [*KEY, "level"]
-    both = zones.select(*keys, F.lit(0).alias("kind"), "no", "start_idx", "zg", "zd", F.lit(0).alias("idx"), F.lit("").alias("direction")).unionByName(
-        found.where("sub_type = 'trend'").select(*keys, F.lit(1).alias("kind"), "idx", "direction"), allowMissingColumns=True
-    )
-    hits = both.groupBy(*keys).applyInPandas(fold, "symbol string, tf string, level string, idx int, direction string")
+    w = Window.partitionBy(*keys).orderBy("no")
+    way = F.when(F.col("zd") > F.lag("zg").over(w), 1).when(F.col("zg") < F.lag("zd").over(w), -1).otherwise(0)
+    # a zone stays in its group if it lies apart in the direction of the zone before; an overlap ends the direction
+    z = zones.select(*keys, "no", "start_idx", "zg", "zd", way.alias("way")).withColumn("before", F.lag("way").over(w))
+    onward = (F.col("way") != 0) & ((F.col("before") == F.col("way")) | (F.row_number().over(w) == 2))
+    z = z.withColumn("_new", (~F.coalesce(onward, F.lit(False))).cast("int")).withColumn("group", F.sum("_new").over(w))
+    trends = found.where("sub_type = 'trend'").select(*keys, "idx", "direction").distinct()
+    seen = trends.join(z.select(*keys, "group", "no", "start_idx", "zg", "zd"), keys).where("start_idx <= idx")
+    spans = seen.groupBy(*keys, "idx", "direction", "group").agg(F.count("*").alias("n"), F.min(F.struct("no", "zg", "zd")).alias("a"), F.max(F.struct("no", "zg", "zd")).alias("b"))
+    moved = F.when(F.col("b.zd") > F.col("a.zg"), "up").when(F.col("b.zg") < F.col("a.zd"), "down")
+    hits = spans.where((F.col("n") >= 2) & (moved == F.col("direction"))).select(*keys, "idx", "direction").distinct()
     end = legs.groupBy(*keys, F.col("end_idx").alias("idx")).agg(F.min_by("end_price", "no").alias("price"))
     return hits.join(end, [*keys, "idx"], "left").select(
         *keys, "idx", F.when(F.col("direction") == "down", "1buy").otherwise("1sell").alias("bs_type"), F.coalesce("price", F.lit(0.0)).alias("price")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions import kernels
-from tickloom.functions.windows import KEY, by_index
+from tickloom.functions.windows import KEY, dealt
 
 # Fixed value: shorter series have no structure.
 MIN_BARS = 5
@@ -31,7 +31,7 @@ def merged_bars(bars: DataFrame) -> DataFrame:
         })
 
     schema = "symbol string, tf string, pos int, idx int, ts timestamp_ntz, high double, low double, members int, vol double, amount double"
-    return bars.select(*KEY, "idx", "ts", "high", "low", "vol", "amount").groupBy(*KEY).applyInPandas(fold, schema)
+    return dealt(bars.select(*KEY, "idx", "ts", "high", "low", "vol", "amount")).groupBy(*KEY).applyInPandas(fold, schema)
 
 
 def fractals(merged: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def structures(bars: DataFrame) -> DataFrame:
         frame.insert(0, "symbol", rows["symbol"].iloc[0])
         return frame
 
-    return long_enough(bars).select(*KEY, "idx", "high", "low", "vol", "amount").groupBy(*KEY).applyInPandas(fold, STRUCTURE)
+    return long_enough(dealt(bars.select(*KEY, "idx", "high", "low", "vol", "amount"))).groupBy(*KEY).applyInPandas(fold, STRUCTURE)
 
 
 def with_times(rows: DataFrame, bars: DataFrame, *columns: str) -> DataFrame:

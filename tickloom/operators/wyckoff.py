@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions import kernels
-from tickloom.functions.windows import KEY, by_index, whole
+from tickloom.functions.windows import KEY, by_index, dealt, whole
 
 # Detectors in the order in which a bar's events are listed.
 EVENT_ORDER = ("PS", "SC", "AR", "ST", "Spring", "SOS", "LPS", "PSY", "BC", "UTAD", "SOW", "LPSY", "JOC")
@@ -129,7 +129,8 @@ def ranges_from_events(bars: DataFrame, found: DataFrame) -> DataFrame:
     """
     climax = found.where("event_type in ('SC', 'BC')").select(*KEY, F.col("idx").alias("start_idx"), F.col("event_type").alias("of"), F.col("price").alias("p"))
     rally = found.where("event_type = 'AR'").select(*KEY, F.col("idx").alias("ar"), F.col("price").alias("ar_price"))
-    pairs = climax.join(rally, KEY).where("ar > start_idx and ar <= start_idx + 10").groupBy(*KEY, "start_idx", "of", "p").agg(F.min(F.struct("ar", "ar_price")).alias("r"))
+    # a climax is spread over the ten bars after it and joined on them
+    pairs = climax.withColumn("ar", F.explode(F.sequence(F.col("start_idx") + 1, F.col("start_idx") + 10))).join(rally, [*KEY, "ar"]).groupBy(*KEY, "start_idx", "of", "p").agg(F.min(F.struct("ar", "ar_price")).alias("r"))
     sc = F.col("of") == "SC"
     found_ranges = pairs.select(*KEY, "start_idx", F.col("r.ar").alias("ar"), F.when(sc, F.col("r.ar_price")).otherwise(F.col("p")).alias("upper"), F.when(sc, F.col("p")).otherwise(F.col("r.ar_price")).alias("lower")).where("upper > lower")
     signs = found.where("event_type in ('SOS', 'SOW', 'UTAD')").select(*KEY, F.col("idx").alias("sign"))
@@ -157,7 +158,7 @@ def ranges_from_swings(bars: DataFrame) -> DataFrame:
         frame.insert(0, "symbol", rows["symbol"].iloc[0])
         return frame
 
-    groups = swings(bars).drop("ts").groupBy(*KEY).applyInPandas(fold, "symbol string, tf string, kind string, price double, first int, last int")
+    groups = dealt(swings(bars).drop("ts")).groupBy(*KEY).applyInPandas(fold, "symbol string, tf string, kind string, price double, first int, last int")
     high = groups.where("kind = 'high'").select(*KEY, F.col("price").alias("upper"), F.col("first").alias("f1"), F.col("last").alias("l1"))
     low = groups.where("kind = 'low'").select(*KEY, F.col("price").alias("lower"), F.col("first").alias("f2"), F.col("last").alias("l2"))
     both = high.join(low, KEY).where((F.col("upper") > F.col("lower")) & (F.try_divide(F.col("upper") - F.col("lower"), F.col("lower")) < 0.2))

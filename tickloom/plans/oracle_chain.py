@@ -1,6 +1,6 @@
 """SQL for structure, signals and what is built on them: the folds as recursive queries, one step a row.
 
-Each text is a list of common table expressions over a table ``bars``; ``chain`` puts them together.
+Each text is a list of common table expressions over a table ``bars``; ``oracle`` puts them together.
 """
 
 from __future__ import annotations

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from tickloom.operators import bars as B
 from tickloom.operators import fusion, indicators, quality, signals, structure, wyckoff
 from tickloom.plans.oracle import ORACLE
 from tickloom.sources import fixtures, merge, payloads, tables
+from tickloom.sources.shared import Tables, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The day on which freshness and retention are judged: data ends a few months before it.
@@ -25,23 +24,17 @@ walk, daily = fixtures.bars_walk, fixtures.bars_daily
 
 
 class Chain:
-    """The whole analysis of a bar table, step by step: a step is built when it is first asked for.
+    """The whole analysis of a bar table, step by step: a step is taken when it is first asked for.
 
-    What several steps read is kept until ``release``.
+    What several steps read is written to the shared folder, so that each is planned from tables of known size,
+    small ones are joined without a shuffle, and a lost executor costs one step. ``release`` deletes it all.
     """
 
     def __init__(self, bars: DataFrame) -> None:
-        self.kept: list[DataFrame] = []
+        self.tables = Tables(bars.sparkSession)
+        self.keep, self.release = self.tables.keep, self.tables.release
         self.bars = self.keep(bars)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
-
-    def release(self) -> None:
-        for df in self.kept:
-            df.unpersist()
-
     structures = cached_property(lambda self: self.keep(structure.structures(self.bars)))
     macd = cached_property(lambda self: self.keep(indicators.macd(self.bars)))
     legs = cached_property(lambda self: structure.legs(self.structures))
@@ -236,9 +229,7 @@ def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars written to a table and read again."""
-    sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-bars-")
-    root = f"{shared}/bars-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
     tables.write_bars(daily(spark, sf_dir), root)
     return tables.read_bars(spark, root, tf="d")
 
