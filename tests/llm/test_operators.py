@@ -167,17 +167,25 @@ def test_warc_names_a_damaged_record():
 
 
 def test_topk(spark):
+    """Against all rows by brute force; rows that repeat, and rows under one vec_id with unlike vectors, count each."""
     rnd = np.random.default_rng(3)
     vectors = [(int(k), [float(x) for x in v]) for k, v in enumerate(rnd.normal(size=(700, 6)).round(1))]
-    vectors += vectors[:2] + [(5000, None), (5050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5100, [float("nan")] * 6), (None, [0.0] * 6)]
-    got = defaultdict(list)
-    for r in topk.search(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.score, r.vec_id))
-    ints = {k: np.floor(np.array(v) * 256).astype(int) for k, v in vectors[:700]}
-    for q in range(0, 700, 50):
-        best = sorted((-int(ints[q] @ v), k) for k, v in ints.items() if k != q)[:5]
-        assert got[q] == [(-s, k) for s, k in best]
-    assert len(got) == 14
+    vectors += vectors[:2] + vectors[50:51] * 7 + [(100, vectors[300][1]), (100, vectors[7][1]), (3, [9.0] * 6), (3, [9.0] * 6)]
+    odd = [(5000, None), (5050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5100, [float("nan")] * 6), (None, [0.0] * 6)]
+    ints = np.floor(np.array([v for _, v in vectors]) * 256).astype(int)
+    want = []
+    for at, (q, _) in enumerate(vectors):
+        if q % 50 == 0:
+            best = sorted((-int(s), vectors[j][0]) for j, s in enumerate(ints @ ints[at]) if j != at)[:5]
+            want += [(q, rank, k, -s) for rank, (s, k) in enumerate(best, 1)]
+    rows = topk.search(spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, rows)) == sorted(want)
+    assert len(want) == 5 * (14 + 1 + 7 + 2)
+
+
+def test_rows_are_repeated_in_blocks(spark):
+    rows = topk.repeated(spark.createDataFrame([(1, 3), (2, 1), (3, (1 << 16) + 1)], "k long, n long"), "n").groupBy("k").count().collect()
+    assert sorted(map(tuple, rows)) == [(1, 3), (2, 1), (3, (1 << 16) + 1)]
 
 
 def test_topk_of_large_numbers(spark):

@@ -126,13 +126,13 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM f""",
     "op8_ball_tree_topk": r"""
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS ints FROM embeddings
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS ints FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.ints) = 0 THEN 0 ELSE list_inner_product(q.ints, c.ints) END::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.ints) = len(c.ints)
+  SELECT q.place, q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.ints) = 0 THEN 0 ELSE list_inner_product(q.ints, c.ints) END::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.place <> c.place AND len(q.ints) = len(c.ints)
 )
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+SELECT query_id, (row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5""",
     "op9_exact_dedup": r"""
 WITH n AS (
