@@ -60,16 +60,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By lines alone, as its SQL has it."""
+def _kept_lines(rows: DataFrame) -> DataFrame:
     kept = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
-    return line_dedup(table(spark, sf_dir, "documents"), min_words=None).select("doc_id", "n_lines", "n_removed", kept)
+    return rows.select("doc_id", "n_lines", "n_removed", kept)
 
 
-def op10_line_winnowing_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By lines and by words: one or two long lines go too."""
-    kept = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
-    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", kept)
+def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs by lines and by words: one or two long lines go too."""
+    return _kept_lines(line_dedup(table(spark, sf_dir, "documents")))
+
+
+def line_winnowing_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs by lines alone, however long these are."""
+    return _kept_lines(line_dedup(table(spark, sf_dir, "documents"), min_words=None))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -83,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ball_tree_topk": op8_ball_tree_topk,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_winnowing": op10_line_winnowing,
-    "op10_line_winnowing_sized": op10_line_winnowing_sized,
+    "line_winnowing_by_lines": line_winnowing_by_lines,
 }
 
 ORACLE: dict[str, str] = {
@@ -142,7 +145,7 @@ WITH n AS (
   FROM n WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id ASC NULLS LAST, whole)
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM g""",
-    "op10_line_winnowing": r"""
+    "line_winnowing_by_lines": r"""
 WITH d AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), w AS (
@@ -157,7 +160,7 @@ WITH d AS (
 SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_removed,
   sha256(array_to_string(list_transform(stay, lambda i: lines[i + 1]), chr(10))) AS kept_sha256
 FROM k""",
-    "op10_line_winnowing_sized": r"""
+    "op10_line_winnowing": r"""
 WITH d AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), p AS (
