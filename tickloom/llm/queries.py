@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, quality, topk, warc
-from tickloom.llm.common import cut, table
+from tickloom.llm.common import WORD_CLASS, cut, table, text_or_empty
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
 from tickloom.llm.ngram_join import ngram_join
+from tickloom.llm.periodic import periodic_runs
 from tickloom.llm.secrets import scan
 from tickloom.llm.suffix_dedup import suffix_dedup
 
@@ -75,6 +76,38 @@ def line_winnowing_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept_lines(line_dedup(table(spark, sf_dir, "documents"), min_words=None))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """Texts of which about one in ten, by the check sum of doc_id, repeats its words from some place on."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(code / 10).cast("long")
+
+    def rewritten(words):
+        n = F.size(words)
+        a = F.pmod(g, n.cast("long")).cast("int")
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    # the words are bound once, as the only element of an array, and not cut anew for each place
+    bound = F.array(F.regexp_extract_all(text_or_empty(), F.lit(f"({WORD_CLASS})")))
+    changed = F.transform(bound, lambda words: F.when(F.size(words) > 0, rewritten(words)).otherwise(""))[0]
+    return docs.select("doc_id", F.when(code % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_made_periodic(table(spark, sf_dir, "documents")))
+    # the longest run, of equal ones the first, then the one with the smallest period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size(lines) > 0, "\n").otherwise(""))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.back")).alias("start"), F.col("longest.length").alias("length"),
+        (-F.col("longest.less")).alias("period"), F.floor(1000 * F.col("longest.length") / -F.col("longest.less")).cast("long").alias("exponent_milli"),
+        digest(listed).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"), "n_words", "n_dropped",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_curriculum_mix": op2_curriculum_mix,
@@ -86,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ball_tree_topk": op8_ball_tree_topk,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_winnowing": op10_line_winnowing,
+    "op11_periodic_diagonals": op11_periodic_diagonals,
     "line_winnowing_by_lines": line_winnowing_by_lines,
 }
 
