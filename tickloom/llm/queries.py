@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import bpe, quality, topk, warc
 from tickloom.llm.common import WORD_CLASS, cut, table, text_or_empty
 from tickloom.llm.exact_dedup import exact_dedup
+from tickloom.llm.filter_audit import interactions, masks
 from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
 from tickloom.llm.ngram_join import ngram_join
@@ -108,6 +109,14 @@ def op11_periodic_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_trie_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that repeat a label's doc_id have the label if any of them has."""
+    labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
+    labels = labels.agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    rows = masks(table(spark, sf_dir, "documents"))
+    return interactions(rows.join(labels, rows["doc_id"] == labels["_id"], "left"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_curriculum_mix": op2_curriculum_mix,
@@ -120,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_winnowing": op10_line_winnowing,
     "op11_periodic_diagonals": op11_periodic_diagonals,
+    "op13_trie_filter_audit": op13_trie_filter_audit,
     "line_winnowing_by_lines": line_winnowing_by_lines,
 }
 
@@ -212,4 +222,33 @@ WITH d AS (
 SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_removed,
   sha256(array_to_string(list_transform(stay, lambda i: lines[i + 1]), chr(10))) AS kept_sha256
 FROM k""",
+    "op13_trie_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), m AS (
+  SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+         100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM d
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+  SELECT part, map {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails FROM m LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, fails, n_fails, good, toxic, count(*) AS n FROM f GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, step, o[step] AS own, o[1 : step - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), j AS (
+  SELECT part, o, step, n, n_fails, good, toxic, fails[own] AS failed, len(list_filter(earlier, lambda x: fails[x])) > 0 AS gone FROM c, steps
+)
+SELECT part, array_to_string(o, '') AS filter_order, step::INTEGER AS step,
+  coalesce(sum(n) FILTER (WHERE NOT gone AND NOT failed), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND failed), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE gone AND failed), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE failed AND n_fails = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (WHERE NOT gone AND failed AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE NOT gone AND failed AND toxic), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(n_fails, 1)) FILTER (WHERE failed), 0)::BIGINT AS shapley
+FROM j GROUP BY part, o, step""",
 }
