@@ -15,6 +15,7 @@ from tickloom.llm.line_dedup import line_dedup
 from tickloom.llm.mixing import mix
 from tickloom.llm.ngram_join import ngram_join
 from tickloom.llm.periodic import periodic_runs
+from tickloom.llm.quality_rules import quality_rules
 from tickloom.llm.secrets import scan
 from tickloom.llm.suffix_dedup import suffix_dedup
 
@@ -109,6 +110,11 @@ def op11_periodic_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumn("failed_rules", F.array_join("failed_rules", ",")).drop("stratum")
+
+
 def op13_trie_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that repeat a label's doc_id have the label if any of them has."""
     labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
@@ -129,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_winnowing": op10_line_winnowing,
     "op11_periodic_diagonals": op11_periodic_diagonals,
+    "op12_risk_controlled_rules": op12_risk_controlled_rules,
     "op13_trie_filter_audit": op13_trie_filter_audit,
     "line_winnowing_by_lines": line_winnowing_by_lines,
 }
@@ -251,4 +258,55 @@ SELECT part, array_to_string(o, '') AS filter_order, step::INTEGER AS step,
   coalesce(sum(n) FILTER (WHERE NOT gone AND failed AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE NOT gone AND failed AND toxic), 0)::BIGINT AS toxic_lost,
   coalesce(sum(n * 120 // greatest(n_fails, 1)) FILTER (WHERE failed), 0)::BIGINT AS shapley
 FROM j GROUP BY part, o, step""",
+    "op12_risk_controlled_rules": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, row_number() OVER () AS place FROM documents
+), windows AS (
+  SELECT place, i, count(*) OVER (PARTITION BY place, run) AS times FROM (
+    SELECT place, i, words[i : i + 2] AS run FROM (SELECT place, words, unnest(range(1, len(words) - 1)) AS i FROM d))
+), repeats AS (
+  SELECT place, count(DISTINCT i + k) AS n FROM windows, (VALUES (0), (1), (2)) AS s(k) WHERE times > 1 GROUP BY place
+), m AS (
+  SELECT doc_id, stratum, md5(text) AS key, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+         len(lines) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_capitals FROM d LEFT JOIN repeats USING (place)
+), v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words > 0 THEN [-(word_chars / n_words), word_chars / n_words,
+         n_symbols / n_words, n_dup_lines / n_lines, n_repeat_words / n_words, n_capitals / word_chars] END AS vals FROM m
+), marks AS (
+  SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id
+), texts AS (
+  SELECT DISTINCT stratum, key, good, vals, key[-1] IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS proposes FROM v JOIN marks USING (doc_id) WHERE NOT base_failed
+), grids AS (
+  SELECT * FROM (VALUES
+    (1, 'short_words', [-1.5, -2.0, -2.5, -2.75, -3.0, -3.25, -3.5, -3.75, -4.0, -4.25, -4.5]), (2, 'long_words', [20.0, 15.0, 12.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0, 6.5, 6.0]),
+    (3, 'symbols', [4.0, 2.0, 1.0, 0.5, 0.3, 0.2, 0.1, 0.05]), (4, 'repeated_lines', [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]),
+    (5, 'repeated_words', [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05]), (6, 'capitals', [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05])) AS g(rule, name, cuts)
+), tried AS (
+  SELECT stratum, rule, c, cuts[c]::DOUBLE AS cutoff, count(*) FILTER (WHERE good) AS n_good,
+         count(*) FILTER (WHERE good AND vals[rule] > cuts[c]) AS good, count(*) FILTER (WHERE NOT good AND vals[rule] > cuts[c]) AS bad
+  FROM texts, (SELECT rule, cuts, unnest(range(1, len(cuts) + 1)) AS c FROM grids) WHERE proposes GROUP BY stratum, rule, c, cuts
+), levels AS (
+  SELECT stratum, rule, level, arg_max(cutoff, row(bad, -c)) FILTER (WHERE bad > 0 AND good <= n_good * (t / 6)) AS cutoff
+  FROM tried, (VALUES (0, 0.0::DOUBLE), (1, 0.002::DOUBLE), (2, 0.005::DOUBLE), (3, 0.01::DOUBLE), (4, 0.02::DOUBLE), (5, 0.04::DOUBLE)) AS tolerances(level, t) GROUP BY stratum, rule, level
+), sets AS (
+  SELECT stratum, level, list(cutoff ORDER BY rule) AS cutoffs FROM levels GROUP BY stratum, level
+), gone AS (
+  SELECT stratum, level, cutoffs, good, proposes, len(list_filter(range(1, 7), lambda r: coalesce(vals[r] > cutoffs[r], false))) > 0 AS gone FROM texts JOIN sets USING (stratum)
+), tested AS (
+  SELECT stratum, level, cutoffs, count(*) FILTER (WHERE good AND NOT proposes) AS n, count(*) FILTER (WHERE good AND NOT proposes AND gone) AS k,
+         count(*) FILTER (WHERE NOT good AND gone) AS bad FROM gone GROUP BY stratum, level, cutoffs
+), chances AS (
+  SELECT *, CASE WHEN k >= n * 0.05 THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)))) END AS chance FROM tested
+), admitted AS (
+  SELECT *, max(chance) OVER (PARTITION BY stratum ORDER BY level) <= 0.05 / (SELECT count(DISTINCT stratum) FROM chances) AS passed FROM chances
+), best AS (
+  SELECT stratum, arg_max(cutoffs, row(bad, -level)) AS cutoffs FROM admitted WHERE passed GROUP BY stratum
+), judged AS (
+  SELECT v.*, CASE WHEN base_failed THEN [] ELSE list_filter(range(1, 7), lambda r: coalesce(vals[r] > cutoffs[r], false)) END AS failed FROM v LEFT JOIN best USING (stratum)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
+  array_to_string(list_transform(failed, lambda r: ['short_words', 'long_words', 'symbols', 'repeated_lines', 'repeated_words', 'capitals'][r]), ',') AS failed_rules, n_lines, n_capitals
+FROM judged""",
 }
