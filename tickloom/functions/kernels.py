@@ -22,6 +22,14 @@ def ema(values: np.ndarray, period: int, warmup: float = 0.0) -> np.ndarray:
     return out
 
 
+def ema_on(values: np.ndarray, last: float, period: int) -> np.ndarray:
+    """An exponential mean that has started carried on from its ``last`` value."""
+    out, rate = np.empty(len(values)), 2.0 / (period + 1)
+    for i, value in enumerate(values.tolist()):
+        out[i] = last = last + (value - last) * rate
+    return out
+
+
 def macd(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """dif, dea and histogram; None for fewer than ``slow`` closes. The early zeros of the means are kept."""
     if len(close) < slow:
@@ -42,22 +50,29 @@ class Merged:
     amount: float
 
 
+def merged_onto(before: Merged, last: Merged, bar: Merged) -> Merged | None:
+    """``last`` with ``bar`` merged into it along the direction from ``before``; None if neither lies inside the other or there is no direction."""
+    if before.high == last.high:
+        return None
+    rising = before.high < last.high
+    inside = last.high >= bar.high and last.low <= bar.low or last.high <= bar.high and last.low >= bar.low
+    if not inside:
+        return None
+    keeps = last.high > bar.high if rising else last.low < bar.low
+    pick = max if rising else min
+    return Merged(last.first, last.extreme if keeps else bar.extreme, pick(last.high, bar.high), pick(last.low, bar.low), last.members + 1, last.vol + bar.vol, last.amount + bar.amount)
+
+
 def merge_inclusions(high, low, vol, amount) -> list[Merged]:
     """Bars after inclusion removal: a bar inside its neighbour is merged into it along the direction before."""
     out: list[Merged] = []
     for i in range(len(high)):
         bar = Merged(i, i, high[i], low[i], 1, vol[i], amount[i])
-        if len(out) < 2 or out[-2].high == out[-1].high:
-            out.append(bar)
-            continue
-        last, rising = out[-1], out[-2].high < out[-1].high
-        inside = last.high >= bar.high and last.low <= bar.low or last.high <= bar.high and last.low >= bar.low
-        if not inside:
+        grown = merged_onto(out[-2], out[-1], bar) if len(out) >= 2 else None
+        if grown:
+            out[-1] = grown
+        else:
             out.append(bar)
-            continue
-        keeps = last.high > bar.high if rising else last.low < bar.low
-        pick = max if rising else min
-        out[-1] = Merged(last.first, last.extreme if keeps else bar.extreme, pick(last.high, bar.high), pick(last.low, bar.low), last.members + 1, last.vol + bar.vol, last.amount + bar.amount)
     return out
 
 

@@ -51,6 +51,23 @@ def fused(points: DataFrame, events: DataFrame) -> DataFrame:
     return per.select(*point, F.transform("e", lambda x: x["event_type"]).alias("events"), F.coalesce("s", F.lit(2)).alias("strength"), F.coalesce("d", way).alias("direction"), F.col("rule").alias("rule"), F.coalesce("r", F.lit(NO_RULE)).alias("reading"))
 
 
+def ruled(near: DataFrame) -> DataFrame:
+    """The fused signal of points whose events within five bars are an array ``near`` of (event_idx, seq, event_type), in order.
+
+    Row by row, so it holds for streams as well; the same as :func:`fused`.
+    """
+    table = F.array(*[
+        F.struct(F.lit(k).alias("rule"), F.array(*[F.lit(t) for t in types]).alias("types"), F.lit(event).alias("event_type"), F.lit(strength).alias("strength"), F.lit(way).alias("direction"), F.lit(text).alias("reading"))
+        for k, (types, event, strength, way, text) in enumerate(RULES)
+    ])
+    names = F.transform("near", lambda x: x["event_type"])
+    met = F.filter(table, lambda r: F.array_contains(r["types"], F.col("bs_type")) & F.array_contains(names, r["event_type"]))
+    rows = near.withColumn("best", F.try_element_at(met, F.lit(1)))  # the rules stand in order of precedence
+    events = F.filter(names, lambda x: F.col("best").isNull() | (x == F.col("best.event_type")))
+    way = F.when(F.col("bs_type").contains("buy"), "bullish").otherwise("bearish")
+    return rows.select(*KEY, "level", "idx", "bs_type", "price", events.alias("events"), F.coalesce("best.strength", F.lit(2)).alias("strength"), F.coalesce("best.direction", way).alias("direction"), F.col("best.rule").alias("rule"), F.coalesce("best.reading", F.lit(NO_RULE)).alias("reading"))
+
+
 def structure_feed(points: DataFrame, divergences: DataFrame, bars: DataFrame) -> DataFrame:
     """Points and divergences in one feed; a divergence's price is its bar's high (up) or low (down)."""
     prices = bars.select(*KEY, "idx", "high", "low")

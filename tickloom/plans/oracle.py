@@ -259,3 +259,21 @@ ORACLE |= {
     "stored_bars": daily("SELECT symbol, tf, ts, true AS has_time, open, high, low, close, vol, 0.0::DOUBLE AS amount FROM daily"),
     "screener": bars("SELECT * FROM screened", *POINTS, *PHASED, C.FUSION),
 }
+
+LATE = """
+slices AS (SELECT *, CASE WHEN ts < TIMESTAMP '1996-06-01' THEN 3 WHEN ts < TIMESTAMP '1997-06-01' THEN 1 ELSE 2 END AS k, ts::DATE AS day FROM nw),
+l0 AS (SELECT symbol, tf, max(ts)::DATE AS last FROM o GROUP BY symbol, tf),
+p1 AS (SELECT slices.* FROM slices LEFT JOIN l0 USING (symbol, tf) WHERE k = 1 AND coalesce(day >= last - 1, true)),
+l1 AS (SELECT symbol, tf, max(last) AS last FROM (SELECT symbol, tf, last FROM l0 UNION ALL SELECT symbol, tf, day FROM p1) GROUP BY symbol, tf),
+p2 AS (SELECT slices.* FROM slices LEFT JOIN l1 USING (symbol, tf) WHERE k = 2 AND coalesce(day >= last - 1, true)),
+l2 AS (SELECT symbol, tf, max(last) AS last FROM (SELECT symbol, tf, last FROM l1 UNION ALL SELECT symbol, tf, day FROM p2) GROUP BY symbol, tf),
+p3 AS (SELECT slices.* FROM slices LEFT JOIN l2 USING (symbol, tf) WHERE k = 3 AND coalesce(day >= last - 1, true))"""
+#: A stream gives what the batch gives.
+ORACLE |= {
+    "stream_live_bars": f"WITH {events_sql(30).strip()} SELECT symbol, tf, ts, open, high, low, close, vol FROM events_bars",
+    "stream_upsert": ORACLE["merge_newest"],
+    "stream_late_rows": daily(f"SELECT {DAY} FROM p1 UNION ALL SELECT {DAY} FROM p2 UNION ALL SELECT {DAY} FROM p3", MERGE, LATE),
+    "stream_merged_bars": ORACLE["merged_bars"],
+    "stream_indicators": f"SELECT m.*, v.obv FROM ({ORACLE['macd']}) m JOIN ({ORACLE['volume_scores']}) v USING (symbol, tf, idx)",
+    "stream_alerts": ORACLE["fusion_signals"],
+}

@@ -13,9 +13,11 @@ from tickloom.functions import dims
 from tickloom.functions.windows import KEY, with_index
 from tickloom.operators import bars as B
 from tickloom.operators import fusion, indicators, quality, signals, structure, wyckoff
+from tickloom.plans import streams
 from tickloom.plans.oracle import ORACLE
 from tickloom.sources import fixtures, merge, payloads, tables
 from tickloom.sources.shared import Tables, shared_folder
+from tickloom.streaming.state import fusion_alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The day on which freshness and retention are judged: data ends a few months before it.
@@ -234,6 +236,26 @@ def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_bars(spark, root, tf="d")
 
 
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points, events and bars that arrive in three slices; a bar decades later, of a series of its own, lets those that fall silent tell what they hold."""
+    c = Chain(walk(spark, sf_dir))
+    none = lambda kind: F.lit(None).cast(kind)
+    shape = lambda df, kind, level, what, price, seq: structure.with_times(df.select(*KEY, "idx", F.lit(kind).alias("kind"), level.alias("level"), what.alias("type"), price.alias("price"), seq.alias("seq")), c.bars, "idx")
+    rows = shape(c.points, "point", F.col("level"), F.col("bs_type"), F.col("price"), none("int"))
+    rows = rows.unionByName(shape(c.events, "event", none("string"), F.col("event_type"), none("double"), F.col("seq").cast("int")))
+    rows = rows.unionByName(shape(c.bars, "bar", none("string"), none("string"), none("double"), none("int")))
+    later = c.bars.groupBy().agg((F.max("ts") + F.expr("interval 30 years")).alias("ts")).where("ts is not null")
+    last = later.select(F.lit("").alias("symbol"), F.lit("d").alias("tf"), F.lit(1 << 29).alias("idx"), F.lit("bar").alias("kind"), none("string").alias("level"), none("string").alias("type"), none("double").alias("price"), none("int").alias("seq"), "ts")
+    rows = c.keep(rows.unionByName(last))
+
+    def told(stream: DataFrame) -> DataFrame:
+        point, event = stream.where("kind = 'point'").withColumnRenamed("type", "bs_type"), stream.where("kind = 'event'").withColumnRenamed("type", "event_type")
+        return fusion_alerts(point, event, stream.where("kind = 'bar'"), delay="10000 days")  # slices are by position: times of series differ
+
+    a = streams.Arrivals(spark)
+    return joined_events(fusion.fusion_feed(a.run(rows, streams.by_position(90, 201), told)))
+
+
 def of(operator: Callable[..., DataFrame], source: Query = walk, *args, round_to: tuple = ()) -> Query:
     return lambda spark, sf_dir: rounded(operator(source(spark, sf_dir), *args), *round_to)
 
@@ -325,6 +347,8 @@ QUERIES: dict[str, Query] = {
     "parsed_dates": parsed_dates,
     "abbreviations": abbreviations,
     "stored_bars": stored_bars,
+    "stream_alerts": stream_alerts,
+    **streams.QUERIES,
 }
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -1,21 +1,16 @@
-"""Streaming forms: live bars from ticks, upserts into the bar table, late data, running indicators, alerts."""
+"""Live bars from ticks, and rows that arrive more than once. See ``state`` for what a series must remember and ``store`` for the table."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tickloom.functions.windows import KEY
-from tickloom.operators.fusion import fused
-from tickloom.sources.merge import merged
 
 
 def live_bars(ticks: DataFrame, minutes: int, delay: str = "1 day") -> DataFrame:
-    """Bars of ticks (symbol, ts, seq, price, vol) in tumbling windows; ``seq`` orders ticks of one time."""
+    """Bars of ticks (symbol, ts, seq, price, vol) in tumbling windows; ``seq`` orders ticks of one time.
+
+    In update mode a bar is told each time it changes, and its state goes when the watermark passes its end by ``delay``: ticks later than that are dropped.
+    """
     order = F.struct("ts", "seq")
     windowed = ticks.withWatermark("ts", delay) if ticks.isStreaming else ticks
     bars = windowed.groupBy("symbol", F.window("ts", f"{minutes} minutes").alias("w")).agg(
@@ -27,61 +22,3 @@ def live_bars(ticks: DataFrame, minutes: int, delay: str = "1 day") -> DataFrame
 def without_late_repeats(rows: DataFrame, delay: str = "1 day") -> DataFrame:
     """Rows within the watermark, each (symbol, tf, ts) once."""
     return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "tf", "ts"])
-
-
-def upsert(read: Callable[[], DataFrame], write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges a batch into the stored bars of the series it touches, newest first."""
-
-    def run(batch: DataFrame, _: int) -> None:
-        touched = batch.select(*KEY).distinct()
-        stored = read().join(touched, KEY, "left_semi")
-        write(merged(stored, batch))
-
-    return run
-
-
-def running_indicators(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """dif, dea, macd_hist and obv of arriving bars, with the last means and volume as state; the same as in batch.
-
-    Bars of a series must arrive in order. The means start as in batch: zero, then the simple mean, then the
-    recursion.
-    """
-
-    def mean(state: list[float], value: float, period: int) -> float:
-        n, total, last = state
-        n += 1
-        total += value if n <= period else 0.0
-        last = 0.0 if n < period else total / period if n == period else last + (value - last) * 2.0 / (period + 1)
-        state[:] = [n, total, last]
-        return last
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else [0.0] * 11
-        means = [held[0:3], held[3:6], held[6:9]]
-        before, obv = held[9], held[10]
-        for rows in batches:
-            out = []
-            for r in rows.sort_values("idx", kind="stable").itertuples():
-                started = means[0][0] > 0
-                a, b = mean(means[0], r.close, fast), mean(means[1], r.close, slow)
-                dea = mean(means[2], a - b, signal)
-                obv += (r.vol if r.close > before else -r.vol if r.close < before else 0.0) if started else 0.0
-                before = r.close
-                out.append((*key, r.idx, a - b, dea, 2.0 * (a - b - dea), obv))
-            yield pd.DataFrame(out, columns=["symbol", "tf", "idx", "dif", "dea", "macd_hist", "obv"])
-        state.update((*means[0], *means[1], *means[2], before, obv))
-
-    return bars.select(*KEY, "idx", "close", "vol").groupBy(*KEY).applyInPandasWithState(
-        run, "symbol string, tf string, idx int, dif double, dea double, macd_hist double, obv double",
-        ", ".join(f"s{k} double" for k in range(11)), "append", GroupStateTimeout.NoTimeout,
-    )
-
-
-def fusion_alerts(points: Callable[[], DataFrame], write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that joins new events to the points near them in the series they touch."""
-
-    def run(batch: DataFrame, _: int) -> None:
-        near = points().join(batch.select(*KEY).distinct(), KEY, "left_semi")
-        write(fused(near, batch))
-
-    return run
