@@ -198,6 +198,28 @@ def test_topk_of_large_numbers(spark):
     assert got == [(k, -s) for s, k in want]
 
 
+def test_bounds_hold_where_products_cancel():
+    """Large components, queries nearly orthogonal to every row, tied rows: the tree's answers are those of whole numbers."""
+    rnd = np.random.default_rng(6)
+    for low, high in [(8, 12), (24, 28), (28, 30), (45, 50), (58, 61)] * 8:
+        query = rnd.integers(2**low, 2**high, 8)
+        rows = rnd.integers(2**low, 2**high, (300, 8)) * rnd.choice([-1, 1], (300, 8))
+        rows[:, -1] = [-sum(int(a) * int(b) for a, b in zip(r[:-1], query[:-1])) // int(query[-1]) % 2**61 for r in rows]
+        rows = np.concatenate([rows, rows[:100], rows[:100]])
+        exact = [max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(r, query)))) for r in rows]
+        tree = topk.BallTree(rows)
+        found = tree.best(query, tree.upper_bounds(query[None].astype(float))[0], np.arange(len(rows)), np.ones(len(rows), int), -1, 5, -np.inf)
+        assert sorted((-s, -i) for s, i in found) == sorted((-s, i) for i, s in enumerate(exact))[:5]
+
+
+def test_topk_of_mixed_and_empty_vectors(spark):
+    """Only vectors of the query's length are candidates; those without components score 0."""
+    vectors = [(0, []), (50, []), (7, []), (100, [1.0]), (8, [-2.0]), (9, [0.5]), (150, [1.0, 1.0])]
+    rows = topk.search(spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<float>, rank int")).collect()
+    want = [(0, 1, 7, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 7, 0), (100, 1, 9, 256 * 128), (100, 2, 8, -256 * 512)]
+    assert sorted(map(tuple, rows)) == want
+
+
 def test_suffix_dedup_of_a_periodic_text(spark):
     rows = [(1, "ab" * 1_000_000), (None, "x" * 500), (3, "y" * 199), (4, "z" * 200)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(table(spark, rows)).collect()}
