@@ -11,6 +11,8 @@ from tickloom.functions.windows import KEY, by_index
 
 # Fixed value: bars of a series that a chart shows.
 TAIL_BARS = 5000
+#: Characters of the parts by which symbols are looked up.
+GRAM = 3
 
 
 def candle_features(bars: DataFrame) -> DataFrame:
@@ -76,15 +78,34 @@ def classified(symbols: DataFrame) -> DataFrame:
     )
 
 
+def grams(text: Column, *sizes: int) -> Column:
+    """The different parts of ``text`` of the given lengths."""
+    parts = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*[parts(n) if n else F.array(F.lit("")) for n in sizes])))
+
+
 def searched(names: DataFrame, keywords: DataFrame) -> DataFrame:
     """Symbols (symbol, name, abbreviation) that match each keyword, ranked: code prefix, abbreviation prefix, symbol.
 
-    The keyword table is what users ask; each keyword is compared with the symbol dimension.
+    A keyword matches if the symbol, the name or, in lower case, the abbreviation contains it; the empty one matches all, null none.
+    Every part of ``GRAM`` characters of the three texts is listed with its symbol, and every shorter one: a short keyword is looked up
+    itself, a longer one by the rarest of its parts, and what is found is compared as a whole. Rows that repeat count once.
     """
+    listed = names.select(F.struct("symbol", "name", "abbreviation").alias("row")).distinct()
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"row.{c}").alias("text")) for k, c in enumerate(("symbol", "name", "abbreviation"))])
+    texts = listed.select("row", F.inline(fields)).where("text is not null")
+    postings = texts.select("row", "field", "text", F.explode(grams(F.col("text"), *range(GRAM + 1))).alias("gram"))
+    words = keywords.select("keyword").where("keyword is not null").distinct()
+    asked = words.select("keyword", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("field"))
+    asked = asked.withColumn("word", F.when(F.col("field") == 2, F.lower("keyword")).otherwise(F.col("keyword")))
+    parts = asked.withColumn("gram", F.explode(F.when(F.length("word") < GRAM, F.array("word")).otherwise(grams(F.col("word"), GRAM))))
+    often = postings.groupBy("field", "gram").agg(F.count("*").alias("n"))
+    # a part that no text has makes an end of the keyword: of none there are fewest
+    rarest = parts.join(often, ["field", "gram"], "left").groupBy("keyword", "field", "word").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    found = rarest.join(postings, ["field", "gram"]).where(F.col("text").contains(F.col("word"))).select("keyword", "row.*").distinct()
     word = F.lower("keyword")
-    hit = F.col("symbol").contains(F.col("keyword")) | F.col("name").contains(F.col("keyword")) | F.col("abbreviation").contains(word)
     rank = Window.partitionBy("keyword").orderBy(F.col("symbol").startswith(F.col("keyword")).desc(), F.col("abbreviation").startswith(word).desc(), "symbol")
-    return names.join(keywords, hit).select("keyword", "symbol", F.row_number().over(rank).alias("rank"))
+    return found.select("keyword", "symbol", F.row_number().over(rank).alias("rank"))
 
 
 def board_stats(bars: DataFrame) -> DataFrame:

@@ -8,10 +8,13 @@ from pyspark.sql.window import Window
 
 from tickloom.functions import dims
 from tickloom.functions.windows import KEY
+from tickloom.operators import joins
 from tickloom.operators.structure import zone_list
 
 # Share of the range of dif that counts as near zero, legs below which nothing diverges.
 NEAR_ZERO, MIN_LEGS = 0.15, 4
+#: Bars of a bucket in which legs are looked up.
+BUCKET = 64
 SCOPE = [*KEY, "level", "scope"]
 
 
@@ -68,10 +71,11 @@ def diverging(groups: DataFrame, legs: DataFrame, macd: DataFrame) -> DataFrame:
         ),
     )
     trends = groups.where(F.size("zs_list") >= 2).withColumn("way", direction(first, second)).where(steady)
-    pairs = trends.join(counted.select(*SCOPE, leg.alias("leg")), SCOPE).where("leg.direction = way")
+    reach = last["end_idx"] + F.greatest(F.lit(0), last["end_idx"] - last["start_idx"])
     l = F.col("leg")  # noqa: E741
+    held = counted.select(*SCOPE, leg.alias("leg"))
+    pairs = joins.within(held, trends, SCOPE, l["start_idx"], before["start_idx"], F.greatest(last["start_idx"], reach), BUCKET).where("leg.direction = way")
     as_b = (l["start_idx"] >= before["start_idx"]) & (l["start_idx"] < last["start_idx"]) & (l["area"] > 0)
-    reach = last["end_idx"] + F.greatest(F.lit(0), last["end_idx"] - last["start_idx"])
     as_c = (l["start_idx"] >= last["start_idx"]) & (l["start_idx"] <= reach) & F.when(F.col("way") == "up", l["high"] > last["zg"]).otherwise(l["low"] < last["zd"])
     found = pairs.groupBy(*SCOPE, "grp", "way").agg(
         F.coalesce(F.min(F.when(as_b & (l["end_idx"] >= last["start_idx"]), l)), F.min(F.when(as_b, l))).alias("b"), F.max(F.when(as_c, l)).alias("c"), F.first(last).alias("z"),
@@ -85,9 +89,9 @@ def diverging(groups: DataFrame, legs: DataFrame, macd: DataFrame) -> DataFrame:
     trend = found.where("by_area or by_dif").select(*SCOPE, "grp", F.lit(-1).alias("zone"), c["end_idx"].alias("idx"), F.col("way").alias("direction"), F.lit("trend").alias("sub_type"), "by_area", "by_dif", F.lit(None).cast("boolean").alias("broken"))
 
     rest = groups.join(trend.select(*SCOPE, "grp"), [*SCOPE, "grp"], "left_anti").select(*SCOPE, "grp", F.explode("zs_list").alias("z"))
-    sides = rest.join(counted.select(*SCOPE, leg.alias("leg")), SCOPE).groupBy(*SCOPE, "grp", "z").agg(
-        F.max(F.when(l["end_idx"] <= F.col("z.start_idx"), l)).alias("b"), F.min(F.when(l["start_idx"] >= F.col("z.end_idx"), l)).alias("c")
-    )
+    # the last leg that ends by the zone's start, and the first that starts from its end on
+    sides = joins.as_of(rest, held, SCOPE, F.col("z.start_idx"), l["end_idx"], l, "b", order=l["no"])
+    sides = joins.as_of(sides, held, SCOPE, F.col("z.end_idx"), l["start_idx"], l, "c", order=l["no"], forward=True)
     sides = sides.where((b["direction"] == c["direction"]) & (b["area"] > 0) & (b["peak"] > 0))
     sides = on_zone(sides).withColumn("by_area", c["area"] < b["area"]).withColumn("by_dif", F.coalesce("near", F.lit(False)) & weaker(c, b, b["direction"]))
     broken = F.when(c["direction"] == "up", c["high"] > b["high"]).otherwise(c["low"] < b["low"])
@@ -104,8 +108,9 @@ def divergences(powered: DataFrame, zones: DataFrame, macd: DataFrame) -> DataFr
 def walk_divergences(walks: DataFrame, powered: DataFrame, macd: DataFrame) -> DataFrame:
     """Divergences inside trend walks, by the segments inside; one row per position."""
     held = walks.select(*KEY, F.lit("walk").alias("level"), F.col("walk").cast("int").alias("scope"), "start_idx", "end_idx", "zs_list")
-    inside = held.select(*KEY, "level", "scope", F.col("start_idx").alias("a"), F.col("end_idx").alias("b")).join(powered.where("level = 'xd'").drop("level"), KEY)
-    inside = inside.where("start_idx >= a and end_idx <= b").drop("a", "b")
+    spans = held.select(*KEY, "level", "scope", F.col("start_idx").alias("a"), F.col("end_idx").alias("b"))
+    inside = joins.within(powered.where("level = 'xd'").drop("level"), spans, KEY, F.col("start_idx"), F.col("a"), F.col("b"), 16 * BUCKET)
+    inside = inside.where("end_idx <= b").drop("a", "b")
     found = diverging(held.withColumn("grp", F.lit(0)).drop("start_idx", "end_idx"), inside, macd)
     first = Window.partitionBy(*KEY, "idx").orderBy("scope", "zone")
     return found.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "grp")
@@ -122,10 +127,17 @@ def first_points(legs: DataFrame, zones: DataFrame, found: DataFrame) -> DataFra
     onward = (F.col("way") != 0) & ((F.col("before") == F.col("way")) | (F.row_number().over(w) == 2))
     z = z.withColumn("_new", (~F.coalesce(onward, F.lit(False))).cast("int")).withColumn("group", F.sum("_new").over(w))
     trends = found.where("sub_type = 'trend'").select(*keys, "idx", "direction").distinct()
-    seen = trends.join(z.select(*keys, "group", "no", "start_idx", "zg", "zd"), keys).where("start_idx <= idx")
-    spans = seen.groupBy(*keys, "idx", "direction", "group").agg(F.count("*").alias("n"), F.min(F.struct("no", "zg", "zd")).alias("a"), F.max(F.struct("no", "zg", "zd")).alias("b"))
-    moved = F.when(F.col("b.zd") > F.col("a.zg"), "up").when(F.col("b.zg") < F.col("a.zd"), "down")
-    hits = spans.where((F.col("n") >= 2) & (moved == F.col("direction"))).select(*keys, "idx", "direction").distinct()
+    # the direction a group has shown by each of its zones, and what groups that were complete before have shown
+    begun = Window.partitionBy(*keys, "group").orderBy("no")
+    first = F.first(F.struct("zg", "zd")).over(begun)
+    z = z.withColumn("a", first).withColumn("place", F.row_number().over(begun))
+    moved = F.when(F.col("place") >= 2, F.when(F.col("zd") > F.col("a.zg"), "up").when(F.col("zg") < F.col("a.zd"), "down"))
+    z = z.withColumn("moved", moved).withColumn("closing", F.coalesce(F.lead("group").over(w) != F.col("group"), F.lit(False)))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    shown = lambda d: F.coalesce(F.bool_or(F.col("closing") & F.coalesce(F.col("moved") == d, F.lit(False))).over(earlier), F.lit(False)) | F.coalesce(F.col("moved") == d, F.lit(False))
+    z = z.withColumn("shown", F.struct(shown("up").alias("up"), shown("down").alias("down")))
+    seen = joins.as_of(trends, z, keys, F.col("idx"), F.col("start_idx"), F.col("shown"), "shown", order=F.col("no"))
+    hits = seen.where(F.when(F.col("direction") == "up", F.col("shown.up")).otherwise(F.col("shown.down"))).drop("shown")
     end = legs.groupBy(*keys, F.col("end_idx").alias("idx")).agg(F.min_by("end_price", "no").alias("price"))
     return hits.join(end, [*keys, "idx"], "left").select(
         *keys, "idx", F.when(F.col("direction") == "down", "1buy").otherwise("1sell").alias("bs_type"), F.coalesce("price", F.lit(0.0)).alias("price")
@@ -135,12 +147,13 @@ def first_points(legs: DataFrame, zones: DataFrame, found: DataFrame) -> DataFra
 def second_points(legs: DataFrame, first: DataFrame) -> DataFrame:
     """After a first point, the first leg away and then the first leg back; it breaks where it passes the first price."""
     keys = [*KEY, "level"]
-    first = first.select(*keys, F.col("idx").alias("at"), F.col("bs_type").alias("of"), F.col("price").alias("limit"), F.monotonically_increasing_id().alias("_k"))
-    away_way = F.when(F.col("of") == "1buy", "up").otherwise("down")
-    after = first.join(legs, keys).where("start_idx >= at").withColumn("away", F.col("direction") == away_way)
-    one = after.groupBy(*keys, "at", "of", "limit", "_k").agg(F.min(F.when(F.col("away"), F.col("no"))).alias("out_no"), F.collect_list(F.when(~F.col("away"), F.struct("no", "end_idx", "end_price"))).alias("backs"))
-    back = F.try_element_at(F.array_sort(F.filter("backs", lambda x: x["no"] > F.col("out_no"))), F.lit(1))
-    rows = one.withColumn("back", back).where("back is not null")
+    first = first.select(*keys, F.col("idx").alias("at"), F.col("bs_type").alias("of"), F.col("price").alias("limit"), F.when(F.col("bs_type") == "1buy", "up").otherwise("down").alias("away"))
+    ahead = Window.partitionBy(*keys).orderBy("no").rowsBetween(1, Window.unboundedFollowing)
+    leg_back = lambda d: F.first(F.when(F.col("direction") == d, F.struct("end_idx", "end_price")), ignorenulls=True).over(ahead)
+    out = legs.withColumn("back", F.when(F.col("direction") == "up", leg_back("down")).otherwise(leg_back("up"))).withColumn("away", F.col("direction"))
+    # a leg away without a leg back yet is found as well, as the first leg away it is
+    one = joins.as_of(first, out, [*keys, "away"], F.col("at"), F.col("start_idx"), F.struct("back"), "leg", order=F.col("no"), forward=True)
+    rows = one.withColumn("back", F.col("leg.back")).where("back is not null")
     buy = F.col("of") == "1buy"
     holds = F.when(buy, F.col("back.end_price") >= F.col("limit")).otherwise(F.col("back.end_price") <= F.col("limit"))
     kind = F.concat(F.when(buy, "2buy").otherwise("2sell"), F.when(holds, "").otherwise("_break"))
@@ -156,14 +169,14 @@ def third_points(legs: DataFrame, zones: DataFrame) -> DataFrame:
     l = l.withColumn("back_h", F.lead("h").over(w)).withColumn("back_l", F.lead("lo").over(w)).withColumn("back_way", F.lead("direction").over(w))  # noqa: E741
     ends = legs.select(*keys, (F.col("no") - 1).alias("no"), F.col("end_idx").alias("idx"))
     l = l.join(ends, [*keys, "no"])  # noqa: E741
-    z = zones.select(*keys, F.col("no").alias("zone"), "end_idx", "zg", "zd", F.lead("start_idx").over(w).alias("next_start"))
-    newer = zones.select(*keys, F.col("start_idx").alias("other"))
-    pairs = z.join(l, keys).where("out_start >= end_idx")
+    z = zones.select(*keys, F.col("no").alias("zone"), "end_idx", "zg", "zd")
+    # a zone counts until a newer one has begun, or to the last leg
+    z = joins.as_of(z, zones, keys, F.col("end_idx"), F.col("start_idx"), F.col("start_idx"), "newer", forward=True, strict=True)
+    z = z.join(l.groupBy(*keys).agg(F.max("out_start").alias("last_out")), keys)
+    pairs = joins.within(l, z, keys, F.col("out_start"), F.col("end_idx"), F.coalesce(F.col("newer") - 1, F.col("last_out")), BUCKET)
     buy = (F.col("direction") == "up") & (F.col("back_way") == "down") & (F.col("h") > F.col("zg")) & (F.col("back_l") >= F.col("zg"))
     sell = (F.col("direction") == "down") & (F.col("back_way") == "up") & (F.col("lo") < F.col("zd")) & (F.col("back_h") <= F.col("zd"))
     hits = pairs.withColumn("bs_type", F.when(buy, "3buy").when(sell, "3sell")).where("bs_type is not null")
-    on = [hits[k] == newer[k] for k in keys] + [newer["other"] > hits["end_idx"], newer["other"] <= hits["out_start"]]
-    hits = hits.join(newer, on, "left_anti")
     return hits.select(*keys, "idx", "bs_type", F.when(F.col("bs_type") == "3buy", F.col("back_l")).otherwise(F.col("back_h")).alias("price"))
 
 
@@ -187,16 +200,27 @@ def points(legs: DataFrame, zones: DataFrame, found: DataFrame) -> DataFrame:
     return every.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
-def nested_signals(points: DataFrame) -> DataFrame:
-    """Points of a timeframe confirmed by points of the next lower one on the same side; the strongest per place and type."""
+def nested_signals(points: DataFrame, tolerance: str | None = None) -> DataFrame:
+    """Points of a timeframe confirmed by points of the next lower one on the same side; the strongest per place and type.
+
+    With ``tolerance`` (an interval such as "3 days") ``points`` has a column ``ts``, and a point is confirmed only by points
+    at most so far away in time.
+    """
     side = F.when(F.col("bs_type").contains("buy"), "buy").otherwise("sell")
-    p = points.withColumn("side", side)
+    p = points.withColumn("side", side).withColumn("kind", F.when(F.col("bs_type").startswith("1"), 1).otherwise(2))
+    at = [] if tolerance is None else [F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")]
     lower = F.try_element_at(dims.mapping({t: l for t, l in dims.LOWER.items() if l}), F.col("tf"))
-    high = p.select("symbol", "tf", lower.alias("low_tf"), "side", "idx", "price", F.col("bs_type").alias("high_type"))
-    low = p.select("symbol", F.col("tf").alias("low_tf"), "side", F.col("idx").alias("low_idx"), F.col("bs_type").alias("low_type"))
-    rank = lambda c: F.when(F.col(c).startswith("1"), 1).otherwise(2)
-    strength = F.when((rank("high_type") == 1) & (rank("low_type") == 1), 3).when(rank("high_type") != rank("low_type"), 2).otherwise(1)
-    pairs = high.join(low, ["symbol", "low_tf", "side"]).withColumn("strength", strength)
-    best = Window.partitionBy("symbol", "tf", "idx", "high_type").orderBy(F.col("strength").desc(), "low_idx", "low_type")
+    high = p.select("symbol", "tf", lower.alias("low_tf"), "side", "idx", "price", F.col("bs_type").alias("high_type"), F.col("kind").alias("high_kind"), *at)
+    keys = ["symbol", "low_tf", "side"]
+    low = p.select("symbol", F.col("tf").alias("low_tf"), "side", F.struct("kind", F.col("idx").alias("low_idx"), F.col("bs_type").alias("low_type")).alias("low"), *[c.alias("low_at") for c in at])
+    # a point of kind 1 confirms more strongly than one of kind 2, whatever it confirms: the best of a place is the least
+    if tolerance is None:
+        best = high.join(low.groupBy(*keys).agg(F.min("low").alias("low")), keys)
+    else:
+        seconds = points.sparkSession.sql(f"SELECT cast(interval {tolerance} AS interval day to second) AS t").first()["t"].total_seconds()
+        pairs = joins.near(high, low, keys, F.col("at"), F.col("low_at"), int(seconds))
+        best = pairs.groupBy(*keys, "tf", "idx", "high_type", "high_kind").agg(F.min_by("price", "low").alias("price"), F.min("low").alias("low"))
+    high_kind, low_kind = F.col("high_kind"), F.col("low.kind")
+    strength = F.when((high_kind == 1) & (low_kind == 1), "strong").when(high_kind != low_kind, "medium").otherwise("weak")
     way = F.when(F.col("side") == "buy", "down").otherwise("up")
-    return pairs.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("symbol", "tf", "low_tf", "idx", "price", "high_type", "low_type", "low_idx", way.alias("direction"), F.element_at(F.array(F.lit("weak"), F.lit("medium"), F.lit("strong")), F.col("strength")).alias("strength"))
+    return best.select("symbol", "tf", "low_tf", "idx", "price", "high_type", "low.low_type", "low.low_idx", way.alias("direction"), strength.alias("strength"))

@@ -13,11 +13,14 @@ from pyspark.sql.window import Window
 
 from tickloom.functions import kernels
 from tickloom.functions.windows import KEY, by_index, dealt, whole
+from tickloom.operators import joins
 
 # Detectors in the order in which a bar's events are listed.
 EVENT_ORDER = ("PS", "SC", "AR", "ST", "Spring", "SOS", "LPS", "PSY", "BC", "UTAD", "SOW", "LPSY", "JOC")
 LOOKBACK, FIRST_BAR, LAST_BARS = 10, 5, 3
 MIN_BARS, MIN_EVENT_BARS, MIN_EFFORT_BARS, SWING = 20, 10, 5, 5
+#: Bars whose extremes are looked at before the bars themselves.
+BLOCK = 64
 BULLISH = ("PS", "SC", "AR", "ST", "Spring", "SOS", "LPS", "JOC")
 
 
@@ -134,16 +137,34 @@ def ranges_from_events(bars: DataFrame, found: DataFrame) -> DataFrame:
     sc = F.col("of") == "SC"
     found_ranges = pairs.select(*KEY, "start_idx", F.col("r.ar").alias("ar"), F.when(sc, F.col("r.ar_price")).otherwise(F.col("p")).alias("upper"), F.when(sc, F.col("p")).otherwise(F.col("r.ar_price")).alias("lower")).where("upper > lower")
     signs = found.where("event_type in ('SOS', 'SOW', 'UTAD')").select(*KEY, F.col("idx").alias("sign"))
-    ended = found_ranges.join(signs, KEY, "left").groupBy(*KEY, "start_idx", "ar", "upper", "lower").agg(F.min(F.when(F.col("sign") > F.col("ar"), F.col("sign"))).alias("by_sign"))
-    w = by_index()
-    closes = bars.select(*KEY, "idx", "close", F.lead("close", 1).over(w).alias("c1"), F.lead("close", 2).over(w).alias("c2"), F.max("idx").over(whole()).alias("last"))
-    outside = lambda c: (F.col(c) > 1.02 * F.col("upper")) | (F.col(c) < 0.98 * F.col("lower"))
-    left = ended.join(closes, KEY).where("idx >= ar").groupBy(*KEY, "start_idx", "upper", "lower", "by_sign").agg(
-        F.min(F.when(outside("close") & outside("c1") & outside("c2"), F.col("idx"))).alias("by_close"), F.first("last").alias("last")
-    )
+    ended = joins.as_of(found_ranges, signs, KEY, F.col("ar"), F.col("sign"), F.col("sign"), "by_sign", forward=True, strict=True)
+    left = ended.join(first_left(ended, bars), [*KEY, "start_idx", "upper", "lower"], "left").join(bars.groupBy(*KEY).agg(F.max("idx").alias("last")), KEY)
     return left.select(*KEY, "start_idx", F.coalesce("by_sign", "by_close", "last").alias("end_idx"), "upper", "lower")
 
 
+def blocks(bars: DataFrame, *more: Column) -> DataFrame:
+    """Lowest and highest close of every ``BLOCK`` bars of a series, so that what cannot happen in a block need not be looked for bar by bar."""
+    rows = bars.groupBy(*KEY, F.floor(F.col("idx") / BLOCK).alias("block"))
+    return rows.agg(F.min("close").alias("least"), F.max("close").alias("most"), F.min("idx").alias("from"), F.max("idx").alias("to"), *more)
+
+
+def first_left(ranges: DataFrame, bars: DataFrame) -> DataFrame:
+    """start_idx, upper, lower, by_close: the first of three closes in a row outside a range, from its rally (ar) on.
+
+    Only blocks in which some close is outside are opened, up to the first that lies beyond one side as a whole.
+    """
+    top, bottom = 1.02 * F.col("upper"), 0.98 * F.col("lower")
+    pairs = ranges.select(*KEY, "start_idx", "ar", "upper", "lower").join(blocks(bars), KEY).where((F.col("to") >= F.col("ar")) & ((F.col("most") > top) | (F.col("least") < bottom)))
+    whole_block = (F.col("from") >= F.col("ar")) & (F.col("to") - F.col("from") >= 2) & ((F.col("least") > top) | (F.col("most") < bottom))
+    sure = Window.partitionBy(*KEY, "start_idx", "ar", "upper", "lower").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = pairs.withColumn("_sure", F.coalesce(F.bool_or(whole_block).over(sure), F.lit(False))).where("not _sure")
+    w = by_index()
+    closes = bars.select(*KEY, "idx", "close", F.lead("close", 1).over(w).alias("c1"), F.lead("close", 2).over(w).alias("c2"), F.floor(F.col("idx") / BLOCK).alias("block"))
+    outside = lambda c: (F.col(c) > top) | (F.col(c) < bottom)
+    hits = opened.join(closes, [*KEY, "block"]).where("idx >= ar").where(outside("close") & outside("c1") & outside("c2"))
+    return hits.groupBy(*KEY, "start_idx", "upper", "lower").agg(F.min("idx").alias("by_close"))
+
+
 def ranges_from_swings(bars: DataFrame) -> DataFrame:
     """Ranges of each group of near highs with each group of near lows, less than 20 % wide."""
 
@@ -243,7 +264,18 @@ def line_at(idx: Column) -> Column:
 def line_breaks(bars: DataFrame, found: DataFrame) -> DataFrame:
     """Bars that close 3 % beyond a supply line (breakout) or below a demand line (breakdown) on volume."""
     rows = bars.select(*KEY, "idx", "close", "vol", F.avg("vol").over(whole()).alias("mv"))
-    pairs = found.where("line_type in ('supply', 'demand')").join(rows, KEY).where("idx > end_idx").withColumn("level", line_at(F.col("idx")))
+    # a block can hold a break only if its extreme close lies beyond the line's level at either end of it, on volume;
+    # where a line has fallen to zero shares of it say nothing, and the block is looked at
+    supply, mv = F.col("line_type") == "supply", F.col("mv")
+    lines_ = found.where("line_type in ('supply', 'demand')")
+    held = blocks(rows, F.max("vol").alias("most_vol"), F.first("mv").alias("mv"))
+    pairs = lines_.join(held, KEY).where((F.col("to") > F.col("end_idx")) & (F.col("most_vol") > 1.3 * mv))
+    ends = [line_at(F.greatest(F.col("from"), F.col("end_idx") + 1)), line_at(F.col("to"))]
+    low, high = F.least(*ends), F.greatest(*ends)
+    slack = 1e-9
+    may = (low <= 0) | F.when(supply, F.col("most") > (1.03 - slack) * low).otherwise(F.col("least") < (0.97 + slack) * high)
+    opened = pairs.where(may).select(*KEY, "block", *[c for c in found.columns if c not in KEY])
+    pairs = opened.join(rows.withColumn("block", F.floor(F.col("idx") / BLOCK)), [*KEY, "block"]).where("idx > end_idx").withColumn("level", line_at(F.col("idx")))
     gap = F.try_divide(F.col("close") - F.col("level"), F.col("level"))
     heavy = F.col("vol") > 1.3 * F.col("mv")
     kind = F.when((F.col("line_type") == "supply") & (gap > 0.03) & heavy, "breakout").when((F.col("line_type") == "demand") & (gap < -0.03) & heavy, "breakdown")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import dims
 from tickloom.functions.windows import KEY, with_index
 from tickloom.operators import bars as B
-from tickloom.operators import fusion, indicators, quality, signals, structure, wyckoff
+from tickloom.operators import fusion, indicators, joins, quality, signals, structure, wyckoff
 from tickloom.plans import streams
 from tickloom.plans.oracle import ORACLE
 from tickloom.sources import fixtures, merge, payloads, tables
@@ -156,7 +156,8 @@ def slices_of_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     high, low = fixtures.bars_events(spark, sf_dir, 60), fixtures.bars_events(spark, sf_dir, 30)
     legs = structure.with_times(structure.legs(structure.structures(high)).where("level = 'bi'"), high, "start_idx", "end_idx")
     spans = legs.select("symbol", F.col("no").alias("leg"), "start_ts", "end_ts")
-    inside = low.join(spans, "symbol").where("ts >= start_ts and ts <= end_ts")
+    at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    inside = joins.within(low, spans, ["symbol"], at("ts"), at("start_ts"), at("end_ts"), 86_400)
     rows = inside.withColumn("tf", F.concat("tf", F.lit("/"), F.col("leg").cast("string"))).drop("leg", "start_ts", "end_ts", "idx")
     return structure.long_enough(with_index(rows, "ts"))
 
