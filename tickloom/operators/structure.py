@@ -107,6 +107,18 @@ def zones(found: DataFrame) -> DataFrame:
     return found.where("kind = 'zone'").select(*KEY, "level", "no", "grp", "start_idx", "end_idx", "zg", "zd", "gg", "dd")
 
 
+def segment_extremes(found: DataFrame) -> DataFrame:
+    """no, direction, end_idx, end_price, extreme_idx of every segment: where its end price stands.
+
+    The last stroke of a segment may run against it. Then the end price is that stroke's start price, while the segment
+    ends, as its structure says, where the stroke does; ``extreme_idx`` is the place of the price.
+    """
+    last = legs(found).where("level = 'bi'").select(*KEY, "end_idx", F.col("start_idx").alias("_start"), F.col("direction").alias("_way"))
+    rows = legs(found).where("level = 'xd'").join(last, [*KEY, "end_idx"])
+    extreme = F.when(F.col("_way") == F.col("direction"), F.col("end_idx")).otherwise(F.col("_start"))
+    return rows.select(*KEY, "no", "direction", "end_idx", "end_price", extreme.alias("extreme_idx"))
+
+
 def zone_list() -> Column:
     """The zones of a group in order, for an aggregation."""
     return F.array_sort(F.collect_list(F.struct("no", "start_idx", "end_idx", "zg", "zd")))

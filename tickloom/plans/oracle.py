@@ -268,6 +268,25 @@ l1 AS (SELECT symbol, tf, max(last) AS last FROM (SELECT symbol, tf, last FROM l
 p2 AS (SELECT slices.* FROM slices LEFT JOIN l1 USING (symbol, tf) WHERE k = 2 AND coalesce(day >= last - 1, true)),
 l2 AS (SELECT symbol, tf, max(last) AS last FROM (SELECT symbol, tf, last FROM l1 UNION ALL SELECT symbol, tf, day FROM p2) GROUP BY symbol, tf),
 p3 AS (SELECT slices.* FROM slices LEFT JOIN l2 USING (symbol, tf) WHERE k = 3 AND coalesce(day >= last - 1, true))"""
+DAMAGED_DAY = "SELECT symbol, tf, ts, " + ", ".join(f"CASE WHEN {c} = 2000 OR day(ts) = 13 THEN 0 ELSE {c} END AS {c}" for c in ("open", "high", "low", "close", "vol"))
+KEPT_SERIES = "right(symbol, 1) NOT IN ('3', '4')"
+#: A point of the finer bars may be ten days away at most.
+NESTED_WITHIN = C.NESTED.replace("FROM points)", "FROM points JOIN (SELECT symbol, tf, idx, ts FROM bars) USING (symbol, tf, idx))").replace(
+    "AND l.tf = 'f60'", "AND l.tf = 'f60' AND abs(epoch(h.ts) - epoch(l.ts)) <= 864000"
+)
+ORACLE |= {
+    "missing_bars": daily("SELECT symbol, tf, count(*) AS n FROM daily GROUP BY symbol, tf"),
+    "payload_damaged": daily(
+        " UNION ALL ".join(
+            f"SELECT *, '{layout}' AS layout FROM ({DAMAGED_DAY} FROM daily WHERE {KEPT_SERIES}" + ("" if layout == "objects" else " AND day(ts) <> 13") + ")" + (" WHERE open <> 0 OR close <> 0" if layout == "table" else "")
+            for layout in ("objects", "keyed_rows", "lines", "table")
+        )
+    ),
+    "bars_between_minutes": f"WITH {events_sql(30).strip()} SELECT * FROM events_bars WHERE ts >= TIMESTAMP '2024-01-03 10:00:00' AND ts < TIMESTAMP '2024-01-07' AND (hour(ts) > 0 OR minute(ts) > 0)",
+    "segment_extremes": bars("""SELECT x.symbol, x.tf, x.no, x.direction, x.end_idx, x.end_price, CASE WHEN b.direction = x.direction THEN x.end_idx ELSE b.start_idx END AS extreme_idx
+      FROM structures x JOIN structures b ON x.symbol = b.symbol AND x.tf = b.tf AND x.end_idx = b.end_idx AND x.kind = 'leg' AND b.kind = 'leg' AND x.level = 'xd' AND b.level = 'bi'""", *STRUCTURE),
+    "nested_within": f"WITH {', '.join([BOTH, *POINTS, NESTED_WITHIN])} SELECT * FROM nested",
+}
 #: A stream gives what the batch gives.
 ORACLE |= {
     "stream_live_bars": f"WITH {events_sql(30).strip()} SELECT symbol, tf, ts, open, high, low, close, vol FROM events_bars",

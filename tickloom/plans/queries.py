@@ -115,6 +115,31 @@ def payload_query(layout: str) -> Query:
     return query
 
 
+def damaged_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read of payloads of all layouts with bad numbers, short rows, missing keys, and no content."""
+    out = None
+    for layout, reader in payloads.READERS.items():
+        landed_texts = fixtures.damaged_payloads(payloads.serialised(daily(spark, sf_dir), layout), layout)
+        rows = reader(landed_texts).drop("has_time").withColumn("layout", F.lit(layout))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def minute_bars_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-hour bars of some days, of which those at midnight came with a date alone."""
+    timed = half_hours(spark, sf_dir).withColumn("has_time", (F.hour("ts") > 0) | (F.minute("ts") > 0))
+    return B.bars_between(timed, "2024-01-03 10:00:00", "2024-01-06").drop("has_time")
+
+
+def missing_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of each stored timeframe and of one that isn't stored, and of a table that isn't there: rows by series."""
+    root = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
+    nothing = tables.read_bars(spark, f"{root}-none")
+    tables.write_bars(daily(spark, sf_dir), root)
+    found = tables.read_bars(spark, root, tf="d").unionByName(tables.read_bars(spark, root, tf="w")).unionByName(nothing).unionByName(tables.read_bars(spark, root, symbol="none"))
+    return found.groupBy("symbol", "tf").agg(F.count("*").alias("n"))
+
+
 def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stored bars up to a day, and a batch that overlaps them with other closes."""
     bars = daily(spark, sf_dir).withColumn("has_time", F.lit(False))
@@ -178,6 +203,13 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.nested_signals(Chain(both).points)
 
 
+def nested_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of daily bars confirmed by points of the finer bars at most ten days away."""
+    both = walk(spark, sf_dir).unionByName(fixtures.bars_fine(spark, sf_dir).withColumn("tf", F.lit("f60")))
+    c = Chain(both)
+    return signals.nested_signals(structure.with_times(c.points, c.bars, "idx"), "10 days")
+
+
 def chart(c: Chain) -> DataFrame:
     """Bars with indicators and phase: the series of a chart; what is drawn over them is :func:`chart_marks`."""
     return c.bars.join(c.macd, [*KEY, "idx"]).join(c.phases, [*KEY, "idx"], "left")
@@ -348,6 +380,11 @@ QUERIES: dict[str, Query] = {
     "parsed_dates": parsed_dates,
     "abbreviations": abbreviations,
     "stored_bars": stored_bars,
+    "missing_bars": missing_bars,
+    "payload_damaged": damaged_payloads,
+    "bars_between_minutes": minute_bars_between,
+    "segment_extremes": of_chain(lambda c: structure.segment_extremes(c.structures)),
+    "nested_within": nested_within,
     "stream_alerts": stream_alerts,
     **streams.QUERIES,
 }

@@ -93,6 +93,25 @@ def damaged(bars: DataFrame) -> DataFrame:
     return rows.withColumn("copy", copies).withColumn("seq", F.col("idx") * 2 + F.col("copy")).drop("copy", "idx")
 
 
+#: What goes wrong in a landed payload: (pattern, replacement) of its text by layout. The price 2000 is no number,
+#: and of each 13th of a month only the date is left, with one number at most.
+PAYLOAD_DAMAGE = {
+    "objects": ((r'"2000\.0"', '"--"'), (r'\{"day":"(\d{4}-\d{2}-13)"[^}]*\}', '{"day":"$1"}')),
+    "keyed_rows": ((r'"2000\.0"', '"--"'), (r'\["(\d{4}-\d{2}-13)"[^\]]*\]', '["$1","1"]')),
+    "lines": ((r'(?<=,)2000\.0(?=[,"])', "--"), (r'"(\d{4}-\d{2}-13),[^"]*"', '"$1,1"')),
+    "table": ((r'"2000\.0"', '"--"'), (r'\["(\d{6}13)"[^\]]*\]', '["$1"]')),
+}
+
+
+def damaged_payloads(landed: DataFrame, layout: str) -> DataFrame:
+    """Landed payloads with bad numbers and short rows; of every tenth series the text is ``null``, of another tenth it is empty."""
+    text = F.col("payload")
+    for pattern, replacement in PAYLOAD_DAMAGE[layout]:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    last = F.substring("symbol", -1, 1)
+    return landed.withColumn("payload", F.when(last == "3", "null").when(last == "4", "").otherwise(text))
+
+
 def trades_sql(suppliers: int = 1) -> str:
     return """
 trades AS (

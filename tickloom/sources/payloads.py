@@ -43,11 +43,11 @@ def from_lines(payloads: DataFrame) -> DataFrame:
 
 
 def from_table(payloads: DataFrame) -> DataFrame:
-    """data.fields names the columns of data.items; dates are yyyyMMdd; rows with open and close 0 are skipped."""
+    """data.fields names the columns of data.items; dates are yyyyMMdd; a field that isn't there is 0, rows with open and close 0 are skipped."""
     parsed = payloads.select("symbol", "tf", F.from_json("payload", "data struct<fields: array<string>, items: array<array<string>>>")["data"].alias("data"))
     # the fields go into the generator with each item, else the text would be parsed anew for every row
     rows = parsed.select("symbol", "tf", F.inline(F.transform("data.items", lambda x: F.struct(F.col("data.fields").alias("f"), x.alias("r")))))
-    at = lambda name: F.try_element_at("r", F.array_position("f", name).cast("int"))
+    at = lambda name: F.get("r", F.array_position("f", name).cast("int") - 1)
     day = F.regexp_replace(at("trade_date"), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     found = bars_of(rows, day, open=at("open"), high=at("high"), low=at("low"), close=at("close"), vol=at("vol"))
     return found.where("open <> 0 or close <> 0")

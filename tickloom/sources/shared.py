@@ -16,6 +16,48 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="spark-shared-")
 
 
+class Folder:
+    """A folder in whatever file system it lies."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path_of = spark._jvm.org.apache.hadoop.fs.Path
+        self.root = path
+        self.fs = self.path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, *parts: str):
+        """The path of something below the folder, or of the folder itself."""
+        return self.path_of("/".join([self.root, *parts]))
+
+    def has(self, *parts: str) -> bool:
+        return self.fs.exists(self.at(*parts))
+
+    def delete(self, *parts: str) -> None:
+        self.fs.delete(self.at(*parts), True)
+
+    def move(self, source: str, target: str) -> None:
+        """A folder to another place, whose old content goes."""
+        self.delete(target)
+        self.fs.mkdirs(self.at(target).getParent())
+        if not self.fs.rename(self.at(source), self.at(target)):
+            raise OSError(f"{self.root}/{source} cannot be moved to {target}")
+
+    def write(self, name: str, text: str) -> None:
+        """A small file that is there as a whole or not at all."""
+        out = self.fs.create(self.at(f"{name}.part"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.fs.delete(self.at(name), False)
+        if not self.fs.rename(self.at(f"{name}.part"), self.at(name)):
+            raise OSError(f"{self.root}/{name} cannot be written")
+
+    def read(self, name: str) -> str:
+        file = self.fs.open(self.at(name))
+        try:
+            return bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
+
+
 class Tables:
     """Steps of a job, written as they are taken: what reads them plans from a table of known size, not from all that led there."""
 
@@ -30,5 +72,4 @@ class Tables:
 
     def release(self) -> None:
         """Deletes the tables; nothing that reads them may be run after that."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        Folder(self.spark, self.folder).delete()

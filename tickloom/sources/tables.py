@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.sources.shared import Folder
+
+BARS = "symbol string, tf string, ts timestamp_ntz, has_time boolean, open double, high double, low double, close double, vol double, amount double"
 # Names a file may use for a column, the first that it has wins.
 ALIASES = {
     "ts": ("dt", "datetime", "date", "time", "timestamp"),
@@ -47,7 +50,9 @@ def resolved(rows: DataFrame) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, root: str, symbol: str | None = None, tf: str | None = None) -> DataFrame:
-    """Bars below ``root``, partitioned by ``tf``; the filters reach the scan. A series that isn't there gives no rows."""
+    """Bars below ``root``, partitioned by ``tf``; the filters reach the scan. A series that isn't there gives no rows, nor does a root."""
+    if not Folder(spark, root).has():
+        return spark.createDataFrame([], BARS)
     rows = spark.read.parquet(root)
     rows = rows.where(F.col("tf") == tf) if tf else rows
     return resolved(rows.where(F.col("symbol") == symbol) if symbol else rows)
