@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from tickloom.functions import kernels as K
+from tickloom.operators import indicators
+from tickloom.sources import fixtures
 
 
 def merged(pairs):
@@ -97,3 +99,27 @@ def test_structure_invariants_on_random_walks(seed):
     found = K.segments([w for *_, w in strokes], top, bottom)
     assert all(x.finished for x in found[:-1])
     assert all(z.bottom <= z.top for z in K.zones(top, bottom) + K.sliding_zones(top, bottom))
+
+
+@pytest.mark.parametrize("block", [26, 64, 100])
+@pytest.mark.parametrize("periods", [(12, 26, 9), (5, 9, 9), (9, 26, 9), (3, 4, 20)])
+def test_means_by_blocks_are_those_of_the_whole(block, periods):
+    rnd = np.random.default_rng(1)
+    for n in (1, 25, 26, 27, 99, 500):
+        close = 100 + rnd.normal(size=n).cumsum()
+        parts = [close[k : k + block] for k in range(0, n, block)]
+        ends = [tuple(x[-1] for x in K.macd_block(p, periods, (0.0, 0.0, 0.0) if k else None)) for k, p in enumerate(parts)]
+        starts = [None, *K.macd_starts([len(p) for p in parts], ends, periods)]
+        found = [np.concatenate(x) for x in zip(*(K.macd_block(p, periods, s) for p, s in zip(parts, starts)))]
+        whole = K.macd_block(close, periods, None)
+        assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(found, whole))
+
+
+def test_macd_by_blocks_deals_a_series_over_tasks(spark, sf):
+    bars = fixtures.bars_walk(spark, sf).where("symbol in ('600005', '000001') or (symbol = '300002' and idx < 20)")
+    got = indicators.macd_by_blocks(bars, block=32)
+    values = lambda df: {(r.symbol, r.idx): (r.dif, r.dea, r.macd_hist) for r in df.collect()}
+    a, b = values(got), values(indicators.macd(bars))
+    assert set(a) == set(b) and all(x == y or all(abs(p - q) < 1e-9 for p, q in zip(x, y)) for x, y in ((a[k], b[k]) for k in a))
+    with pytest.raises(ValueError):
+        indicators.macd_by_blocks(bars, block=20)

@@ -39,6 +39,37 @@ def macd(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) ->
     return dif, dea, 2.0 * (dif - dea)
 
 
+def macd_block(close: np.ndarray, periods: tuple[int, int, int], start: tuple[float, float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two means and the mean of their difference over a stretch of a series; ``start`` is what they were before it, None at the series' start."""
+    fast, slow, signal = periods
+    if start is None:
+        a, b = ema(close, fast), ema(close, slow)
+        return a, b, ema(a - b, signal)
+    a, b = ema_on(close, start[0], fast), ema_on(close, start[1], slow)
+    return a, b, ema_on(a - b, start[2], signal)
+
+
+def macd_starts(counts: list[int], from_zero: list[tuple[float, float, float]], periods: tuple[int, int, int]) -> list[tuple[float, float, float]]:
+    """What the means were before each block but the first, from where each block ends if it starts from zeros (the first: as the series does).
+
+    The means are linear recursions, so n bars take a start v to M^n v + c: c is where they end from zeros. M^n is known in
+    closed form: each mean keeps (1 - rate)^n of itself, and the third gathers what the two others keep on the way.
+    """
+    keep = [1 - 2.0 / (p + 1) for p in periods]
+    rate = 1 - keep[2]
+
+    def gathered(k: float, n: int) -> float:
+        """Sum over j = 1..n of k^j keep[2]^(n-j)."""
+        return n * k**n if k == keep[2] else k * (keep[2] ** n - k**n) / (keep[2] - k)
+
+    out, at = [], from_zero[0]
+    for n, c in zip(counts[1:], from_zero[1:]):
+        out.append(at)
+        a, b, d = at
+        at = (keep[0] ** n * a + c[0], keep[1] ** n * b + c[1], keep[2] ** n * d + rate * (gathered(keep[0], n) * a - gathered(keep[1], n) * b) + c[2])
+    return out
+
+
 @dataclass
 class Merged:
     first: int  # position of the first raw bar

@@ -22,6 +22,6 @@ def with_index(bars: DataFrame, *order: str) -> DataFrame:
     return bars.withColumn("idx", (F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)) - 1).cast("int"))
 
 
-def dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, *more: str) -> DataFrame:
     """Series dealt over all shuffle partitions for a fold in Python, whose work goes by rows: partitions of few bytes must not be merged."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY, *more)

@@ -31,6 +31,47 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, warmu
     return dealt(bars.select(*KEY, "idx", "close")).groupBy(*KEY).applyInPandas(fold, schema)
 
 
+def macd_by_blocks(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, block: int = 4096) -> DataFrame:
+    """As :func:`macd`, for series too long for one task: dealt in blocks of bars, with idx counting from 0 without gaps.
+
+    Each block says where the means end if they start from zeros; from that, what they were before every block follows
+    in one step a block; then each block is taken once more from there. The same values but for rounding.
+    """
+    periods = (fast, slow, signal)
+    if block < max(periods):
+        raise ValueError("the means must start within the first block")
+    rows = bars.select(*KEY, F.floor(F.col("idx") / block).cast("int").alias("block"), "idx", F.col("close").cast("double").alias("close"))
+    keys = [*KEY, "block"]
+
+    def ends(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("idx", kind="stable")
+        first = held["block"].iloc[0] == 0
+        found = kernels.macd_block(held["close"].to_numpy(float), periods, None if first else (0.0, 0.0, 0.0))
+        return pd.DataFrame([(*held[keys].iloc[0], len(held), *(float(x[-1]) for x in found))], columns=[*keys, "n", "a", "b", "d"])
+
+    def starts(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("block", kind="stable").reset_index(drop=True)
+        found = kernels.macd_starts(held["n"].tolist(), list(zip(held["a"], held["b"], held["d"])), periods)
+        out = held[keys].copy()
+        out[["a", "b", "d"]] = [(np.nan, np.nan, np.nan), *found]
+        out["total"] = held["n"].sum()
+        return out
+
+    def again(held: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        held, at = held.sort_values("idx", kind="stable"), start.iloc[0]
+        out = held[[*KEY, "idx"]].copy()
+        if at["total"] < slow:
+            return out.assign(dif=None, dea=None, macd_hist=None)
+        a, b, dea = kernels.macd_block(held["close"].to_numpy(float), periods, None if at["block"] == 0 else (at["a"], at["b"], at["d"]))
+        return out.assign(dif=a - b, dea=dea, macd_hist=2.0 * (a - b - dea))
+
+    key = "symbol string, tf string, block int"
+    from_zero = dealt(rows, "block").groupBy(*keys).applyInPandas(ends, f"{key}, n long, a double, b double, d double")
+    before = from_zero.groupBy(*KEY).applyInPandas(starts, f"{key}, a double, b double, d double, total long")
+    pairs = dealt(rows, "block").groupBy(*keys).cogroup(before.groupBy(*keys))
+    return pairs.applyInPandas(again, "symbol string, tf string, idx int, dif double, dea double, macd_hist double")
+
+
 def volume_scores(bars: DataFrame) -> DataFrame:
     """Volume/price score (signed share of the mean volume) and on-balance volume."""
     before = F.lag("close").over(by_index())

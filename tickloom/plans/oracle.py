@@ -287,6 +287,7 @@ ORACLE |= {
       FROM structures x JOIN structures b ON x.symbol = b.symbol AND x.tf = b.tf AND x.end_idx = b.end_idx AND x.kind = 'leg' AND b.kind = 'leg' AND x.level = 'xd' AND b.level = 'bi'""", *STRUCTURE),
     "nested_within": f"WITH {', '.join([BOTH, *POINTS, NESTED_WITHIN])} SELECT * FROM nested",
 }
+ORACLE["macd_by_blocks"] = f"WITH {', '.join([FINE, RECURSION.strip()])} " + ORACLE["macd"][ORACLE["macd"].rindex("SELECT symbol, tf, idx, CASE WHEN n >= 26") :]
 #: A stream gives what the batch gives.
 ORACLE |= {
     "stream_live_bars": f"WITH {events_sql(30).strip()} SELECT symbol, tf, ts, open, high, low, close, vol FROM events_bars",

@@ -342,6 +342,7 @@ QUERIES: dict[str, Query] = {
     "dq_symbol_scores": of(quality.symbol_scores, damaged),
     "cross_source": lambda s, d: quality.cross_source(daily(s, d), second_source(daily(s, d))).withColumn("first_mismatches", F.array_join(F.transform("first_mismatches", lambda x: x.cast("string")), "/")),
     "macd": of(indicators.macd, walk, round_to=("dif", "dea", "macd_hist")),
+    "macd_by_blocks": of(lambda b: indicators.macd_by_blocks(b, block=512), fixtures.bars_long, round_to=("dif", "dea", "macd_hist")),
     "volume_scores": of(indicators.volume_scores, walk, round_to=("vp_score",)),
     "merged_bars": of(structure.merged_bars, walk, round_to=("amount",)),
     "fractals": of(lambda b: structure.fractals(structure.merged_bars(b))),
