@@ -380,7 +380,8 @@ def test_quality_counts_all_documents(spark, monkeypatch):
     exact = np.quantile(rows, np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0, method="inverted_cdf").T
     assert (edges <= exact).all() and (edges >= exact * (1 - 1 / 1000)).all()
     every = quality.design(known.to_batches()[0], edges)
-    assert np.allclose(quality.mean_over(found.where("not held_out"), edges, weights), every.T @ quality.sigmoid(every @ weights) / len(every))
+    mean, loss = quality.means_over(found.where("not held_out"), edges, weights)
+    assert np.allclose(mean, every.T @ quality.sigmoid(every @ weights) / len(every)) and np.isclose(loss, np.logaddexp(0, every @ weights).mean())
     trusted = labels.where("quality = 1").count() / labels.count()
     assert abs((every @ weights >= np.log(quality.THRESHOLD / (1 - quality.THRESHOLD))).mean() - trusted) < 0.08
     assert quality.sampled(found, docs.where("doc_id < 50").select("doc_id")).num_rows == docs.where("doc_id < 50").count()
@@ -410,6 +411,37 @@ def test_quality_risk_and_slope_against_plain_loops():
     assert part < 1 and 0 <= quality.negative_risk(apart, large, clamped, 0.8) < 0.05
 
 
+@pytest.mark.filterwarnings("ignore:the classifier's weights still moved")
+def test_a_misleading_sample_changes_nothing():
+    """Risk and part are those of all documents, whatever small or lopsided sample gives the first weights."""
+    rnd = np.random.default_rng(9)
+    one = lambda rows: np.concatenate([rows, np.ones((len(rows), 1))], axis=1)
+    positive = one(rnd.normal(1.5, 1, (300, 3)))
+    for prior, shift in ((0.8, 0.3), (0.4, 0.0), (0.7, 0.6)):
+        everyone = one(np.where(rnd.random((5000, 1)) < prior, rnd.normal(1.5 + shift, 1, (5000, 3)), rnd.normal(-1.5, 1, (5000, 3))))
+        over = lambda w: (everyone.T @ quality.sigmoid(everyone @ w) / 5000, float(np.logaddexp(0, everyone @ w).mean()))
+        want, part = quality.fit_clamped(positive, everyone, prior)
+        for sample in (everyone[everyone[:, 0] < -1][:200], everyone[everyone[:, 0] > 2][:50], everyone[:40]):
+            seen = quality.Everyone(positive, sample, prior, over)
+            got, found = seen.clamped(*quality.fit_clamped(positive, sample, prior))
+            cost = [quality.risk(positive, everyone, w, prior, 0.0) + max(0.0, quality.negative_risk(positive, everyone, w, prior)) for w in (got, want)]
+            assert abs(found - part) < 0.05 and abs(cost[0] - cost[1]) < 0.005, (prior, part, found, cost)
+            assert found == 1.0 or abs(seen.negative(got, over(got)[1])) <= quality.NEAR_ZERO
+
+
+def test_quality_scores_odd_texts_by_a_model(spark):
+    """Null and empty texts, a very long one and repeated rows, scored by a model that labels gave."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(9001, None), (9002, ""), (9003, " \n"), (None, "x"), (9004, "word " * 400_000), (9005, "a b"), (9005, "a b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(r.doc_id, 1, 0) for r in docs.where("doc_id % 3 = 0").collect()] + [(9001, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.score(docs.select("doc_id", "text").union(odd), labels).collect()
+    assert len(rows) == docs.count() + 7 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= quality.THRESHOLD) for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert by[9001] == by[9002] and len(by[9005]) == 1 and len(set(map(tuple, by.values()))) > 10
+
+
 def test_quality_prior_is_found():
     rnd = np.random.default_rng(6)
     for prior in (0.2, 0.5, 0.85):

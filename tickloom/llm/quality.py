@@ -13,13 +13,16 @@ estimation). The non-negative risk leaves scores too high wherever it is clamped
 positives, all documents and the prior: where a document is as likely positive as the threshold says, its score is the
 threshold. Scores further away are ranks on a probability's scale, not calibrated odds.
 
-Labelled rows are bounded by ``SAMPLE_ROWS``. Means over the unlabelled set, bin edges, the prior and the threshold's place
-are taken over all documents; a bounded sample of these only gives the first weights and the curvature of the steps.
+Labelled rows are bounded by ``SAMPLE_ROWS``. The risk, its gradient, the clamped part, bin edges, the prior and the threshold's
+place are taken over all documents. A bounded sample of these gives first weights, a first part and a first curvature;
+each step is halved until the risk over all documents falls, and the part is searched until the risk of negatives over all of
+them is zero, so that a sample that misleads costs passes and changes nothing.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +37,9 @@ FOLDS, THRESHOLD = 5, 0.3
 #: At most so many positives are read, the first by digest, and so many documents for first weights and curvature.
 SAMPLE_ROWS = 6000
 BINS, BUCKETS, SHRINK = 12, 128, 0.01
-#: Steps over all documents at most, the change at which they end, and halvings in the search of the clamped part.
-PASSES, SMALL, HALVINGS = 8, 2e-3, 7
+#: Steps over all documents for one part at most, the change at which they end, halvings of a step or in the search of the clamped part of a sample,
+#: parts tried over all documents at most, and how near to zero the clamped risk of negatives must come.
+PASSES, SMALL, HALVINGS, PARTS, NEAR_ZERO = 20, 2e-3, 7, 12, 1e-3
 #: Weight of the hashed buckets beside the bins, whose values are 0 and 1.
 BUCKET_SCALE = 3.0
 #: Bits of a feature's mantissa that its histogram drops (1,024 cells an octave are left), and cells of the
@@ -229,21 +233,89 @@ def decision(positive: np.ndarray, sums: np.ndarray, counts: np.ndarray, prior:
     return float(sums[np.argmax(prior * positives_above - THRESHOLD * above)])
 
 
-def mean_over(found: DataFrame, edges: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Mean of sigmoid(f) * inputs over all of ``found``."""
+def means_over(found: DataFrame, edges: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """Means of sigmoid(f) * inputs and of loss(-f) over all of ``found``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(weights) + 1)
+        total = np.zeros(len(weights) + 2)
         for batch in batches:
             rows = design(batch, edges)
-            total[:-1] += rows.T @ sigmoid(rows @ weights)
-            total[-1] += len(rows)
+            f = rows @ weights
+            total[:-2] += rows.T @ sigmoid(f)
+            total[-2:] += np.logaddexp(0, f).sum(), len(rows)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "total"])
 
     sums = found.select("row", "grams").mapInArrow(run, "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).toArrow()
-    total = np.zeros(len(weights) + 1)
+    total = np.zeros(len(weights) + 2)
     total[sums.column("k").to_numpy()] = sums.column("total").to_numpy()
-    return total[:-1] / total[-1]
+    return total[:-2] / total[-1], float(total[-2] / total[-1])
+
+
+class Everyone:
+    """The risk over positives and all unlabelled documents, whose means come from ``over`` (weights to means)."""
+
+    def __init__(self, positive: np.ndarray, sample: np.ndarray, prior: float, over) -> None:
+        self.positive, self.sample, self.prior, self.over = positive, sample, prior, over
+
+    def negative(self, weights: np.ndarray, loss: float) -> float:
+        return loss - self.prior * float(np.logaddexp(0, self.positive @ weights).mean())
+
+    def risk(self, weights: np.ndarray, part: float, loss: float) -> float:
+        own = self.prior * float(np.logaddexp(0, -(self.positive @ weights)).mean())
+        return own + part * self.negative(weights, loss) + SHRINK / 2 * float((weights[:-1] ** 2).sum())
+
+    def settled(self, weights: np.ndarray, part: float) -> tuple[np.ndarray, float]:
+        """Weights that minimise the risk for this part, and the risk of negatives there.
+
+        Quasi-Newton steps: the first curvature is the sample's, and each step corrects it by how the slope over all documents has changed.
+        """
+        mean, loss = self.over(weights)
+        inverse = np.linalg.inv(curvature(self.positive, self.sample, weights, self.prior, part))
+        grad, now = slope(self.positive, mean, weights, self.prior, part), self.risk(weights, part, loss)
+        for _ in range(PASSES):
+            step = inverse @ grad
+            if np.abs(step).max() < SMALL:
+                break
+            for _ in range(HALVINGS):
+                new_mean, new_loss = self.over(weights - step)
+                new = self.risk(weights - step, part, new_loss)
+                if new <= now:
+                    break
+                step = step / 2
+            else:
+                break  # no step this way is small enough to help: as near as numbers get
+            weights, loss, now = weights - step, new_loss, new
+            before, grad = grad, slope(self.positive, new_mean, weights, self.prior, part)
+            change, along = grad - before, -step
+            turn = change @ along
+            if turn > 1e-12:
+                left = np.eye(len(weights)) - np.outer(along, change) / turn
+                inverse = left @ inverse @ left.T + np.outer(along, along) / turn
+        else:
+            warnings.warn(f"the classifier's weights still moved by {np.abs(step).max():.2g} after {PASSES} steps", stacklevel=2)
+        return weights, self.negative(weights, loss)
+
+    def clamped(self, weights: np.ndarray, part: float) -> tuple[np.ndarray, float]:
+        """Weights that minimise the non-negative risk, and their part, from first ones.
+
+        The larger the part, the smaller the risk of negatives at the minimum: the part is 1 if that is not below zero there, else
+        where it is zero, found by false position within what is known of either side.
+        """
+        low, high = (0.0, None), (1.0, None)
+        for _ in range(PARTS):
+            weights, negative = self.settled(weights, part)
+            if abs(negative) <= NEAR_ZERO or (negative >= 0 and part == 1.0):
+                break
+            if negative > 0:
+                low = (part, negative)
+            else:
+                high = (part, negative)
+            if None not in (low[1], high[1]):
+                part = low[0] + (high[0] - low[0]) * min(0.9, max(0.1, low[1] / (low[1] - high[1])))
+            else:  # one side is not known yet: a step towards it, at last to its end
+                near, end = (low, 1.0) if high[1] is None else (high, 0.0)
+                part = end if abs(end - near[0]) < 0.05 else near[0] + (end - near[0]) / 4
+        return weights, part
 
 
 def fold():
@@ -296,13 +368,7 @@ def train(found: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]
     even = np.arange(len(positive)) % 2 == 0
     first = fit(positive[even], unlabelled, 0.5, 1.0)
     prior = prior_of(positive[~even] @ first if (~even).any() else positive @ first, *sums_tally(known, edges, first))
-    weights, part = fit_clamped(positive, unlabelled, prior)
-    for _ in range(PASSES):
-        mean = mean_over(known, edges, weights)
-        step = np.linalg.solve(curvature(positive, unlabelled, weights, prior, part), slope(positive, mean, weights, prior, part))
-        weights = weights - step
-        if np.abs(step).max() < SMALL:
-            break
+    weights, _ = Everyone(positive, unlabelled, prior, lambda w: means_over(known, edges, w)).clamped(*fit_clamped(positive, unlabelled, prior))
     weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - decision(positive @ weights, *sums_tally(known, edges, weights), prior)
     return edges, weights
 
