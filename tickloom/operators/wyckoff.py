@@ -195,9 +195,9 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
     return per.withColumn("ice", (F.col("upper") + F.col("lower")) / 2)
 
 
-def trading_ranges(bars: DataFrame, found: DataFrame) -> DataFrame:
-    """Ranges from events; for series that have none, from swings."""
-    of_events = ranges_from_events(bars, found)
+def trading_ranges(bars: DataFrame, found: DataFrame, of_events: DataFrame | None = None) -> DataFrame:
+    """Ranges from events; for series that have none, from swings. ``of_events`` are the former, if they are known."""
+    of_events = ranges_from_events(bars, found) if of_events is None else of_events
     of_swings = ranges_from_swings(bars.join(of_events.select(*KEY).distinct(), KEY, "left_anti"))
     return merged_ranges(of_events.unionByName(of_swings))
 

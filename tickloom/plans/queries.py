@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ class Chain:
     """The whole analysis of a bar table, step by step: a step is taken when it is first asked for.
 
     What several steps read is written to the shared folder, so that each is planned from tables of known size,
-    small ones are joined without a shuffle, and a lost executor costs one step. ``release`` deletes it all.
+    small ones are joined without a shuffle, and a lost executor costs one step. ``release`` deletes it all, as does the session's end.
     """
 
     def __init__(self, bars: DataFrame) -> None:
@@ -37,6 +38,12 @@ class Chain:
         self.keep, self.release = self.tables.keep, self.tables.release
         self.bars = self.keep(bars)
 
+    def beside(self, *steps: str) -> Chain:
+        """Takes steps that don't need each other at once: each alone leaves cores idle at its small stages."""
+        with ThreadPoolExecutor(len(steps)) as pool:
+            list(pool.map(lambda step: getattr(self, step), steps))
+        return self
+
     structures = cached_property(lambda self: self.keep(structure.structures(self.bars)))
     macd = cached_property(lambda self: self.keep(indicators.macd(self.bars)))
     legs = cached_property(lambda self: structure.legs(self.structures))
@@ -47,7 +54,8 @@ class Chain:
     walks = cached_property(lambda self: structure.walks(self.structures))
     walk_divergences = cached_property(lambda self: signals.walk_divergences(self.walks, self.powered, self.macd))
     events = cached_property(lambda self: self.keep(wyckoff.events(self.bars)))
-    ranges = cached_property(lambda self: self.keep(wyckoff.trading_ranges(self.bars, self.events)))
+    event_ranges = cached_property(lambda self: self.keep(wyckoff.ranges_from_events(self.bars, self.events)))
+    ranges = cached_property(lambda self: self.keep(wyckoff.trading_ranges(self.bars, self.events, self.event_ranges)))
     phases = cached_property(lambda self: wyckoff.phases(self.bars, self.events, self.ranges))
     lines = cached_property(lambda self: wyckoff.supply_demand_lines(self.bars, self.ranges))
     fusion = cached_property(lambda self: fusion.fused(self.points, self.events))
@@ -226,7 +234,7 @@ def joined_events(df: DataFrame) -> DataFrame:
 
 def screener(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every series' latest fused signal with its phase."""
-    c = Chain(walk(spark, sf_dir))
+    c = Chain(walk(spark, sf_dir)).beside("structures", "macd", "event_ranges").beside("points", "ranges")
     return joined_events(fusion.screened(c.fusion, c.phases))
 
 

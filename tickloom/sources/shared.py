@@ -59,17 +59,26 @@ class Folder:
 
 
 class Tables:
-    """Steps of a job, written as they are taken: what reads them plans from a table of known size, not from all that led there."""
+    """Steps of a job, written as they are taken: what reads them plans from a table of known size, not from all that led there.
+
+    The tables go when ``release`` is called, or else when the session ends.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", 0
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.folder}/{self.count}"
+        path = f"{self.folder}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
+        delete_at_end(self.spark, self.folder)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
         """Deletes the tables; nothing that reads them may be run after that."""
         Folder(self.spark, self.folder).delete()
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder that is there deleted when the driver ends, also after a query that failed."""
+    folder = Folder(spark, path)
+    folder.fs.deleteOnExit(folder.at())
