@@ -183,6 +183,19 @@ def test_topk(spark):
     assert len(want) == 5 * (14 + 1 + 7 + 2)
 
 
+def test_mix_of_sources_without_words(spark):
+    rows = [(1, "a b c", "x"), (2, None, "y"), (3, " ", "y"), (4, "d " * 50_000, None), (5, "", "z")]
+    got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in mixing.mix(table(spark, rows)).collect()}
+    assert got[2] == got[3] == got[5] == (0, 0, 0.0, 0) and got[1][:2] == (3, 3) and got[4][:2] == (50_000, 50_000) and got[1][3] == 6
+
+
+def test_warc_of_long_payloads_and_further_columns(spark):
+    pages = [(1, "http://a/", "x" * 3_000_000), (2, None, "x" * 3_000_000), (3, "http://b/", None), (None, "http://c/", "é" * 70), (4, "http://d/", "é" * 70), (5, "http://e/", "short"), (6, "http://f/", "short")]
+    frame = spark.createDataFrame([(*p, "n", 7) for p in pages], "page_id long, url string, html string, payload string, n_records int")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(warc.write(frame)).collect()}
+    assert got == {1: (3_000_000, "response", None), 2: (3_000_000, "revisit", 1), 3: (0, "response", None), None: (140, "revisit", 4), 4: (140, "response", None), 5: (5, "response", None), 6: (5, "response", None)}
+
+
 def test_rows_are_repeated_in_blocks(spark):
     rows = topk.repeated(spark.createDataFrame([(1, 3), (2, 1), (3, (1 << 16) + 1)], "k long, n long"), "n").groupBy("k").count().collect()
     assert sorted(map(tuple, rows)) == [(1, 3), (2, 1), (3, (1 << 16) + 1)]
@@ -263,7 +276,7 @@ def test_keep_one_goes_by_doc_id_and_text(spark):
     assert len(rest) == len(stay) + 1
 
 
-def test_suffix_dedup(spark):
+def test_suffix_dedup(spark, monkeypatch):
     rnd = random.Random(3)
     base = ["".join(rnd.choice("abcdé \n") for _ in range(700)) for _ in range(4)]
     rows = []
@@ -285,9 +298,8 @@ def test_suffix_dedup(spark):
         kept = bytes(c for c, g in zip(r, gone) if not g)
         want.append((d, len(r), len(r) - len(kept), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     for rows_per_group in (200_000, 3):
-        suffix_dedup.GROUP_ROWS = rows_per_group
+        monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", rows_per_group)
         assert sorted(map(tuple, suffix_dedup.suffix_dedup(table(spark, rows)).drop("kept", "spans").collect())) == sorted(want)
-    suffix_dedup.GROUP_ROWS = 200_000
 
 
 def test_bpe_equals_the_library(spark, corpus):

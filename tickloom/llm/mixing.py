@@ -91,7 +91,8 @@ def mix(docs: DataFrame) -> DataFrame:
     included: pass e over a source covers the words [e * source_size, (e + 1) * source_size) of its demand
     and the mix takes those below the target, so only the last document of a source can be taken in part.
     A document that isn't taken has a null ``first_position`` and sorts last. A null source is a source of its
-    own, the last. Repeated rows count as often as they stand there; an empty table gives an empty result.
+    own, the last. Repeated rows count as often as they stand there; an empty table gives an empty result. A source without
+    words has the target 0. Of a very long text only its count of words travels; further columns are not read.
     """
     sized = cut(docs.select("doc_id", "source", size_of().alias("size"), F.xxhash64("text").alias("text_key")))
     per = cut(source_targets(sized)).withColumnRenamed("source", "_source")

@@ -33,7 +33,8 @@ def plan(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_digest, refers_to of every page; refers_to is null for a response.
 
     Of equal payloads of at least ``MIN_REVISIT_BYTES``, the smallest page_id is the response. Rows that
-    repeat that page_id are responses too; a null page_id comes last.
+    repeat that page_id are responses too; a null page_id comes last. A null html counts as empty; a very long payload
+    is one row and stays whole; further columns are not read; an empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", payload(F.col("html")).alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     long_enough = rows.where(F.octet_length("payload") >= MIN_REVISIT_BYTES)
@@ -97,7 +98,11 @@ def head(trained: bytes) -> bytes:
 
 
 def write(pages: DataFrame) -> DataFrame:
-    """Archives of all pages: archive (name), n_records, content (the bytes of a .warc.zst file)."""
+    """Archives of all pages: archive (name), n_records, content (the bytes of a .warc.zst file).
+
+    An archive ends when it is long enough, so it holds at least one record, however long, whole. Further columns are not read;
+    an empty table gives no archive.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n, packer, name = bytearray(), 0, None, hashlib.sha256()
@@ -195,7 +200,8 @@ def parsed(raw: bytes) -> dict:
 def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records of archives (column content): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    A record that fails validation fails the job, naming what is wrong. An empty table gives an empty result.
+    A record that fails validation fails the job, naming what is wrong. An empty table gives an empty result; further
+    columns are not read; payloads are read whole, one record at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
