@@ -72,10 +72,6 @@ def test_trend_groups():
     assert K.trend_groups([12, 15, 8], [10, 13, 6]) == [0, 0, 1]
 
 
-def test_point_groups_close_at_an_overlap():
-    assert K.point_groups([12, 15, 14.5, 20], [10, 13, 13.5, 18]) == [0, 0, 1, 2]
-
-
 def test_macd_lengths_at_the_boundary():
     assert K.macd(np.arange(25.0)) is None
     dif, dea, hist = K.macd(np.arange(26.0))

@@ -31,36 +31,36 @@ def test_leg_power(spark):
     assert (row.area, row.peak) == (8.0, 3.0)
 
 
-@pytest.mark.parametrize("back,expected", [(9, "2buy"), (8, "2buy"), (7, "2buy_break")])
+@pytest.mark.parametrize("back,expected", [(36, "2buy"), (31, "2buy"), (29, "2buy_break")])
 def test_second_point(spark, back, expected):
-    first = spark.createDataFrame([("s", "d", "bi", 10, "1buy", 8.0)], POINTS)
-    found = signals.second_points(legs(spark, [20, 8, 12, back]), first)
+    first = spark.createDataFrame([("s", "d", "bi", 10, "1buy", 31.0)], POINTS)
+    found = signals.second_points(legs(spark, [50, 31, 44, back]), first)
     assert kinds(found) == [(30, expected)]
 
 
-@pytest.mark.parametrize("back,expected", [(15, 1), (14, 1), (13, 0)])
+@pytest.mark.parametrize("back,expected", [(37, 1), (33, 1), (30, 0)])
 def test_third_point(spark, back, expected):
-    found = signals.third_points(legs(spark, [10, 20, back], start=30), zones(spark, (0, 30, 14, 12)))
+    found = signals.third_points(legs(spark, [21, 47, back], start=45), zones(spark, (3, 45, 33, 29)))
     assert len(kinds(found)) == expected
 
 
 def test_newer_zone_takes_over(spark):
-    found = signals.third_points(legs(spark, [10, 20, 15], start=40), zones(spark, (0, 30, 14, 12), (35, 39, 30, 29)))
+    found = signals.third_points(legs(spark, [21, 47, 37], start=52), zones(spark, (3, 45, 33, 29), (48, 51, 66, 61)))
     assert kinds(found) == []
 
 
 def test_first_point_needs_two_zones_of_the_direction(spark):
-    z = zones(spark, (0, 10, 30, 28), (12, 20, 20, 18))
-    found = spark.createDataFrame([("s", "d", "bi", 27, "down", "trend")], FOUND)
-    first = signals.first_points(legs(spark, [25, 15], start=17), z, found)
-    assert [(r.idx, r.bs_type, r.price) for r in first.collect()] == [(27, "1buy", 15.0)]
+    z = zones(spark, (2, 9, 71, 66), (14, 22, 52, 47))
+    found = spark.createDataFrame([("s", "d", "bi", 34, "down", "trend"), ("s", "d", "bi", 34, "up", "trend"), ("s", "d", "bi", 12, "down", "trend")], FOUND)
+    first = signals.first_points(legs(spark, [58, 39], start=24), z, found)
+    assert [(r.idx, r.bs_type, r.price) for r in first.collect()] == [(34, "1buy", 39.0)]  # one zone, or another direction, makes none
 
 
 def test_second_and_third_point_become_one_of_the_second_points_side(spark):
-    z = zones(spark, (0, 10, 30, 28), (12, 20, 20, 18), (22, 27, 14, 12), (27, 30, 14, 12))
-    found = spark.createDataFrame([("s", "d", "bi", 30, "down", "trend")], FOUND)
-    points = signals.points(legs(spark, [25, 11, 22, 16], start=20), z, found)
-    assert {t for _, t in kinds(points) if t.startswith("2")} <= {"2+3buy", "2buy"}
+    z = zones(spark, (2, 9, 71, 66), (14, 22, 52, 47), (25, 33, 36, 31))
+    found = spark.createDataFrame([("s", "d", "bi", 34, "down", "trend")], FOUND)
+    points = signals.points(legs(spark, [58, 29, 49, 40], start=24), z, found)
+    assert kinds(points) == [(34, "1buy"), (54, "2+3buy")]
 
 
 def event(idx, name, seq=0):

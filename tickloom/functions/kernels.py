@@ -309,20 +309,6 @@ def trend_groups(top, bottom) -> list[int]:
     return out
 
 
-def point_groups(top, bottom) -> list[int]:
-    """Group number of every zone for first points: an overlap closes the group and clears the direction."""
-    ways = [0 if k == 0 else 1 if bottom[k] > top[k - 1] else -1 if top[k] < bottom[k - 1] else 0 for k in range(len(top))]
-    way = next((w for w in ways[1:] if w), 0)
-    out = [0] * min(1, len(top))
-    for k in range(1, len(top)):
-        if way and ways[k] == way:
-            out.append(out[-1])
-        else:
-            out.append(out[-1] + 1)
-            way = ways[k]
-    return out
-
-
 def price_groups(prices: list[float], within: float) -> list[list[int]]:
     """Successive prices while each lies within a share of the group's running mean; groups of two and more."""
     groups: list[list[int]] = []

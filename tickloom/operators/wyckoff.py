@@ -19,6 +19,14 @@ from tickloom.operators import joins
 EVENT_ORDER = ("PS", "SC", "AR", "ST", "Spring", "SOS", "LPS", "PSY", "BC", "UTAD", "SOW", "LPSY", "JOC")
 LOOKBACK, FIRST_BAR, LAST_BARS = 10, 5, 3
 MIN_BARS, MIN_EVENT_BARS, MIN_EFFORT_BARS, SWING = 20, 10, 5, 5
+# Volumes and spreads against the series' means, places of the close in the bar, and shares of the bar an event follows.
+PS_VOLUME, CLIMAX_VOLUME, CLIMAX_SPREAD, SOW_VOLUME, JOC_VOLUME, AR_VOLUME, SOS_VOLUME = 1.5, 2, 2, 1.5, 1.3, 0.8, 1.2
+SC_CLOSE, BC_SHADOW, SPRING_CLOSE = 0.2, 0.3, 0.99
+NEAR_LOW, ST_VOLUME, ST_SPREAD, QUIET_VOLUME = 0.03, 0.8, 0.7, 0.7
+# Bars in which the event before may lie, by event.
+AR_AFTER_SC, ST_AFTER_SC, SPRING_AFTER_SC, UTAD_AFTER_BC, LPSY_AFTER_SOW, SOS_AFTER_AR, LPS_AFTER_SOS = 10, 20, 30, 30, 15, 30, 15
+# Gap and volume of a line's break, and how far outside a close leaves a range.
+BREAK_GAP, BREAK_VOLUME, LEFT_ABOVE, LEFT_BELOW = 0.03, 1.3, 1.02, 0.98
 #: Bars whose extremes are looked at before the bars themselves.
 BLOCK = 64
 BULLISH = ("PS", "SC", "AR", "ST", "Spring", "SOS", "LPS", "JOC")
@@ -49,28 +57,28 @@ def event_flags(bars: DataFrame, baseline: str = "whole") -> DataFrame:
     flag = lambda test: F.coalesce(at & test, F.lit(False))
     near = lambda value, base, share: F.coalesce(F.try_divide(F.abs(value - base), base) < share, F.lit(False))
     rows = rows.withColumns({
-        "PS": flag(falls & (F.col("vol") > 1.5 * F.col("mv")) & ((body < F.col("_body")) | (F.col("close") >= F.col("open")))),
-        "SC": flag(falls & (spread > 2 * F.col("ms")) & (F.col("vol") > 2 * F.col("mv")) & (F.col("close") > F.col("low") + 0.2 * spread)),
-        "PSY": flag(rises & (F.col("vol") > 1.5 * F.col("mv")) & ((body < F.col("_body")) | (F.col("close") <= F.col("open")))),
-        "BC": flag(rises & (spread > 2 * F.col("ms")) & (F.col("vol") > 2 * F.col("mv")) & (F.col("high") - F.greatest("open", "close") > 0.3 * spread)),
-        "SOW": flag((F.col("close") < F.col("open")) & (F.col("vol") > 1.5 * F.col("mv")) & (F.col("close") < F.col("_low"))),
-        "JOC": flag(up & (F.col("vol") > 1.3 * F.col("mv")) & (F.col("close") > F.col("_top"))),
+        "PS": flag(falls & (F.col("vol") > PS_VOLUME * F.col("mv")) & ((body < F.col("_body")) | (F.col("close") >= F.col("open")))),
+        "SC": flag(falls & (spread > CLIMAX_SPREAD * F.col("ms")) & (F.col("vol") > CLIMAX_VOLUME * F.col("mv")) & (F.col("close") > F.col("low") + SC_CLOSE * spread)),
+        "PSY": flag(rises & (F.col("vol") > PS_VOLUME * F.col("mv")) & ((body < F.col("_body")) | (F.col("close") <= F.col("open")))),
+        "BC": flag(rises & (spread > CLIMAX_SPREAD * F.col("ms")) & (F.col("vol") > CLIMAX_VOLUME * F.col("mv")) & (F.col("high") - F.greatest("open", "close") > BC_SHADOW * spread)),
+        "SOW": flag((F.col("close") < F.col("open")) & (F.col("vol") > SOW_VOLUME * F.col("mv")) & (F.col("close") < F.col("_low"))),
+        "JOC": flag(up & (F.col("vol") > JOC_VOLUME * F.col("mv")) & (F.col("close") > F.col("_top"))),
     })
-    rows = rows.withColumns({f"_sc{k}": last_of(F.col("SC"), k) for k in (10, 20, 30)} | {"_bc": last_of(F.col("BC"), 30), "_sow": last_of(F.col("SOW"), 15)})
-    sc20, sc30, bc, sow = F.col("_sc20"), F.col("_sc30"), F.col("_bc"), F.col("_sow")
+    rows = rows.withColumns({f"_sc_{e}": last_of(F.col("SC"), k) for e, k in (("ar", AR_AFTER_SC), ("st", ST_AFTER_SC), ("spring", SPRING_AFTER_SC))} | {"_bc": last_of(F.col("BC"), UTAD_AFTER_BC), "_sow": last_of(F.col("SOW"), LPSY_AFTER_SOW)})
+    sc_st, sc_spring, bc, sow = F.col("_sc_st"), F.col("_sc_spring"), F.col("_bc"), F.col("_sow")
     rows = rows.withColumns({
-        "AR": flag(up & F.col("_sc10").isNotNull() & (F.col("vol") > 0.8 * F.col("mv")) & (F.col("high") > F.col("_top5"))),
-        "ST": flag(near(F.col("low"), sc20["low"], 0.03) & (F.col("vol") < 0.8 * sc20["vol"]) & (spread < 0.7 * sc20["spread"])),
-        "Spring": flag((F.col("low") < sc30["low"]) & (F.col("close") > 0.99 * sc30["low"])),
+        "AR": flag(up & F.col("_sc_ar").isNotNull() & (F.col("vol") > AR_VOLUME * F.col("mv")) & (F.col("high") > F.col("_top5"))),
+        "ST": flag(near(F.col("low"), sc_st["low"], NEAR_LOW) & (F.col("vol") < ST_VOLUME * sc_st["vol"]) & (spread < ST_SPREAD * sc_st["spread"])),
+        "Spring": flag((F.col("low") < sc_spring["low"]) & (F.col("close") > SPRING_CLOSE * sc_spring["low"])),
         "UTAD": flag((F.col("high") > bc["high"]) & (F.col("close") < bc["high"])),
-        "LPSY": flag(sow.isNotNull() & up & ((sow["vol"] <= 0) | (F.col("vol") < 0.7 * sow["vol"]))),
+        "LPSY": flag(sow.isNotNull() & up & ((sow["vol"] <= 0) | (F.col("vol") < QUIET_VOLUME * sow["vol"]))),
     })
-    rows = rows.withColumn("_ar", last_of(F.col("AR"), 30))
-    rows = rows.withColumn("SOS", flag(up & (F.col("vol") > 1.2 * F.col("mv")) & (F.col("high") > F.col("_ar")["high"])))
-    rows = rows.withColumn("_sos", last_of(F.col("SOS"), 15))
+    rows = rows.withColumn("_ar", last_of(F.col("AR"), SOS_AFTER_AR))
+    rows = rows.withColumn("SOS", flag(up & (F.col("vol") > SOS_VOLUME * F.col("mv")) & (F.col("high") > F.col("_ar")["high"])))
+    rows = rows.withColumn("_sos", last_of(F.col("SOS"), LPS_AFTER_SOS))
     sos = F.col("_sos")
     # a support is measured from the price of the strength it follows, its high
-    rows = rows.withColumn("LPS", flag(near(F.col("low"), sos["high"], 0.03) & (F.col("vol") < 0.7 * sos["vol"])))
+    rows = rows.withColumn("LPS", flag(near(F.col("low"), sos["high"], NEAR_LOW) & (F.col("vol") < QUIET_VOLUME * sos["vol"])))
     return rows.select(*KEY, "idx", "ts", "high", "low", *EVENT_ORDER)
 
 
@@ -153,7 +161,7 @@ def first_left(ranges: DataFrame, bars: DataFrame) -> DataFrame:
 
     Only blocks in which some close is outside are opened, up to the first that lies beyond one side as a whole.
     """
-    top, bottom = 1.02 * F.col("upper"), 0.98 * F.col("lower")
+    top, bottom = LEFT_ABOVE * F.col("upper"), LEFT_BELOW * F.col("lower")
     pairs = ranges.select(*KEY, "start_idx", "ar", "upper", "lower").join(blocks(bars), KEY).where((F.col("to") >= F.col("ar")) & ((F.col("most") > top) | (F.col("least") < bottom)))
     whole_block = (F.col("from") >= F.col("ar")) & (F.col("to") - F.col("from") >= 2) & ((F.col("least") > top) | (F.col("most") < bottom))
     sure = Window.partitionBy(*KEY, "start_idx", "ar", "upper", "lower").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -269,16 +277,16 @@ def line_breaks(bars: DataFrame, found: DataFrame) -> DataFrame:
     supply, mv = F.col("line_type") == "supply", F.col("mv")
     lines_ = found.where("line_type in ('supply', 'demand')")
     held = blocks(rows, F.max("vol").alias("most_vol"), F.first("mv").alias("mv"))
-    pairs = lines_.join(held, KEY).where((F.col("to") > F.col("end_idx")) & (F.col("most_vol") > 1.3 * mv))
+    pairs = lines_.join(held, KEY).where((F.col("to") > F.col("end_idx")) & (F.col("most_vol") > BREAK_VOLUME * mv))
     ends = [line_at(F.greatest(F.col("from"), F.col("end_idx") + 1)), line_at(F.col("to"))]
     low, high = F.least(*ends), F.greatest(*ends)
     slack = 1e-9
-    may = (low <= 0) | F.when(supply, F.col("most") > (1.03 - slack) * low).otherwise(F.col("least") < (0.97 + slack) * high)
+    may = (low <= 0) | F.when(supply, F.col("most") > (1 + BREAK_GAP - slack) * low).otherwise(F.col("least") < (1 - BREAK_GAP + slack) * high)
     opened = pairs.where(may).select(*KEY, "block", *[c for c in found.columns if c not in KEY])
     pairs = opened.join(rows.withColumn("block", F.floor(F.col("idx") / BLOCK)), [*KEY, "block"]).where("idx > end_idx").withColumn("level", line_at(F.col("idx")))
     gap = F.try_divide(F.col("close") - F.col("level"), F.col("level"))
-    heavy = F.col("vol") > 1.3 * F.col("mv")
-    kind = F.when((F.col("line_type") == "supply") & (gap > 0.03) & heavy, "breakout").when((F.col("line_type") == "demand") & (gap < -0.03) & heavy, "breakdown")
+    heavy = F.col("vol") > BREAK_VOLUME * F.col("mv")
+    kind = F.when((F.col("line_type") == "supply") & (gap > BREAK_GAP) & heavy, "breakout").when((F.col("line_type") == "demand") & (gap < -BREAK_GAP) & heavy, "breakdown")
     return pairs.withColumn("break_type", kind).where("break_type is not null").select(*KEY, "idx", "line_type", "start_idx", "end_idx", F.round("level", 6).alias("level"), "break_type")
 
 

@@ -5,8 +5,6 @@ Each text is a list of common table expressions over a table ``bars``; ``oracle`
 
 from __future__ import annotations
 
-from tickloom.operators.fusion import RULES
-
 
 def pairing(name: str, marks: str) -> str:
     """One pass over alternating marks: ``s`` is the start after step k, ``a`` the start of a pair that ends at k, ``seg`` counts pairs."""
@@ -224,9 +222,28 @@ breaks AS (SELECT * FROM (SELECT b.symbol, b.tf, b.idx, l.line_type, l.start_idx
       WHEN l.line_type = 'demand' AND (b.close - (l.start_price + l.slope * (b.idx - l.start_idx))) / (l.start_price + l.slope * (b.idx - l.start_idx)) < -0.03 AND b.vol > 1.3::DOUBLE * b.mv THEN 'breakdown' END AS break_type
   FROM (SELECT *, avg(vol) OVER (PARTITION BY symbol, tf) AS mv FROM bars) b JOIN lines l ON l.symbol = b.symbol AND l.tf = b.tf AND b.idx > l.end_idx) WHERE break_type IS NOT NULL)"""
 
-_RULE_ROWS = ", ".join(f"({k}, '{t}', '{event}', {strength}, '{way}', '{reading}')" for k, (types, event, strength, way, reading) in enumerate(RULES) for t in types)
-FUSION = f"""
-rule_table(rule, bs_type, event_type, s, d, reading) AS (VALUES {_RULE_ROWS}),
+FUSION = """
+rule_table(rule, bs_type, event_type, s, d, reading) AS (VALUES
+  (0, '1buy', 'Spring', 5, 'bullish', 'a failed break below the range where a trend of falling zones ends'),
+  (1, '1buy', 'SC', 4, 'bullish', 'panic selling where a trend of falling zones ends'),
+  (2, '1buy', 'ST', 4, 'bullish', 'the low holds on little volume where a trend of falling zones ends'),
+  (3, '2buy', 'LPS', 4, 'bullish', 'the first pullback after the turn finds support on little volume'),
+  (3, '2+3buy', 'LPS', 4, 'bullish', 'the first pullback after the turn finds support on little volume'),
+  (4, '2buy', 'SOS', 4, 'bullish', 'strength shows while the first pullback after the turn holds'),
+  (4, '2+3buy', 'SOS', 4, 'bullish', 'strength shows while the first pullback after the turn holds'),
+  (5, '3buy', 'JOC', 4, 'bullish', 'price leaves the zone on volume and stays above it'),
+  (6, '1sell', 'UTAD', 5, 'bearish', 'a failed break above the range where a trend of rising zones ends'),
+  (7, '1sell', 'BC', 4, 'bearish', 'buying dries up at a climax where a trend of rising zones ends'),
+  (8, '2sell', 'SOW', 4, 'bearish', 'weakness shows while the first rally after the turn fails'),
+  (8, '2+3sell', 'SOW', 4, 'bearish', 'weakness shows while the first rally after the turn fails'),
+  (9, '3sell', 'LPSY', 4, 'bearish', 'a weak rally fails to return into the zone'),
+  (10, '3sell', 'SOW', 4, 'bearish', 'price leaves the zone downwards on volume'),
+  (11, '1buy', 'AR', 3, 'bullish', 'the first rally answers the turn'),
+  (11, '2buy', 'AR', 3, 'bullish', 'the first rally answers the turn'),
+  (11, '2+3buy', 'AR', 3, 'bullish', 'the first rally answers the turn'),
+  (12, '1sell', 'PSY', 3, 'bearish', 'supply begins to meet the rise near the turn'),
+  (12, '2sell', 'PSY', 3, 'bearish', 'supply begins to meet the rise near the turn'),
+  (12, '2+3sell', 'PSY', 3, 'bearish', 'supply begins to meet the rise near the turn')),
 fj AS (SELECT p.*, f.idx AS event_idx, f.event_type, f.seq, t.rule, t.s, t.d, t.reading, min(t.rule) OVER (PARTITION BY p.symbol, p.tf, p.level, p.idx, p.bs_type, p.price) AS best
   FROM points p JOIN found f ON f.symbol = p.symbol AND f.tf = p.tf AND f.idx BETWEEN p.idx - 5 AND p.idx + 5 LEFT JOIN rule_table t ON t.bs_type = p.bs_type AND t.event_type = f.event_type),
 fused AS MATERIALIZED (SELECT symbol, tf, level, idx, bs_type, price, string_agg(event_type, '/' ORDER BY event_idx, seq) AS events, coalesce(max(s), 2)::INTEGER AS strength,
