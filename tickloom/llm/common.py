@@ -47,6 +47,9 @@ class Scratch:
         """``df`` written as a table and read back."""
         path = f"{self.folder}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
+        if not self.paths:  # what is not freed goes when the driver ends
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = path
         self.held.append(table)

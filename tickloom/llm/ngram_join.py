@@ -377,6 +377,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     component is the smallest doc_id reachable by links, a null doc_id counting as the largest. With fewer
     than five words the whole sequence is the only gram; null, empty and white-space texts have none, link with
     nothing and are their own component. Repeated rows link with each other; an empty table gives an empty result.
+    Texts are read whole: a very long one is one row, whose set of grams a task holds once. Further columns are not read.
     """
     with_root = classes(docs)
     smallest = with_root.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
