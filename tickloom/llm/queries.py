@@ -309,4 +309,67 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
   array_to_string(list_transform(failed, lambda r: ['short_words', 'long_words', 'symbols', 'repeated_lines', 'repeated_words', 'capitals'][r]), ',') AS failed_rules, n_lines, n_capitals
 FROM judged""",
+    "op3_suffix_radix": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS place, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT place, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT place, h, unnest(range(0, n - 199)) AS i FROM d)
+), twice AS (
+  SELECT place, i FROM (SELECT place, i, count(*) OVER (PARTITION BY k) AS times FROM w) WHERE times > 1
+), runs AS (
+  SELECT place, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY place ORDER BY i) AS run FROM (SELECT *, (i - coalesce(lag(i) OVER (PARTITION BY place ORDER BY i), -1000) > 200)::INTEGER AS new FROM twice)) GROUP BY place, run
+), kept AS (
+  SELECT place, sum(b - a) AS removed, count(*) AS n_spans, list(row(a, b) ORDER BY a) AS spans FROM runs GROUP BY place
+), parts AS (
+  SELECT d.*, coalesce(removed, 0) AS removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN spans IS NULL THEN h ELSE
+    array_to_string(list_transform(range(1, len(spans) + 2), lambda k: substr(h, 2 * (CASE WHEN k = 1 THEN 0 ELSE spans[k - 1][2] END) + 1, 2 * (CASE WHEN k > len(spans) THEN n ELSE spans[k][1] END - CASE WHEN k = 1 THEN 0 ELSE spans[k - 1][2] END))), '') END AS left_over
+  FROM d LEFT JOIN kept USING (place)
+)
+SELECT doc_id, n::BIGINT AS n_bytes, removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(left_over)) AS kept_sha256 FROM parts""",
+    "op6_ngram_group_join": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT place, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS grams FROM d
+), g AS (
+  SELECT place, len(grams) AS n, unnest(grams) AS gram FROM s
+), links AS MATERIALIZED (
+  SELECT a.place AS a, b.place AS b FROM g a JOIN g b ON a.gram = b.gram AND a.place <> b.place GROUP BY a.place, b.place, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT place, place AS other FROM s UNION SELECT reach.place, links.b FROM reach JOIN links ON reach.other = links.a
+), least AS (
+  SELECT reach.place, min(s.doc_id) AS least FROM reach JOIN s ON s.place = reach.other GROUP BY reach.place
+)
+SELECT doc_id, len(grams)::BIGINT AS n_shingles, least AS component_id FROM s JOIN least USING (place)""",
+    "op11_periodic_diagonals": r"""
+WITH h AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, b:
+      list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM documents
+), g AS (
+  SELECT *, len(w) AS n, h // 10 AS g FROM h
+), p AS (
+  SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g
+), d AS (
+  SELECT place, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p
+), x AS (
+  SELECT place, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM d
+), e AS (
+  SELECT a.place, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.place = b.place AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), s AS (
+  SELECT place, q, min(i) AS s, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY place, q ORDER BY i) AS island FROM e) GROUP BY place, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), r AS (
+  SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.place = s.place AND o.q < s.q AND o.s <= s.s AND o.s + o.m >= s.s + s.m)
+), f AS (
+  SELECT place, count(*) AS n_runs, arg_max(row(s, m, q), row(m, -s, -q)) AS best, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY place
+), gone AS (
+  SELECT DISTINCT place, unnest(range(s + q, s + m)) AS i FROM r
+), k AS (
+  SELECT place, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (place, i) GROUP BY place
+), c AS (
+  SELECT place, count(*) AS n_dropped FROM gone GROUP BY place
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[1]::BIGINT AS start, best[2]::BIGINT AS length, best[3]::BIGINT AS period, (1000 * best[2] // best[3])::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words, coalesce(n_dropped, 0)::BIGINT AS n_dropped
+FROM d LEFT JOIN f USING (place) LEFT JOIN k USING (place) LEFT JOIN c USING (place)""",
 }
