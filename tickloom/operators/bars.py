@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tickloom.functions import dims
 from tickloom.functions.windows import KEY, by_index
+from tickloom.operators.joins import spread_out
 
 # Fixed value: bars of a series that a chart shows.
 TAIL_BARS = 5000
@@ -102,7 +103,7 @@ def searched(names: DataFrame, keywords: DataFrame) -> DataFrame:
     often = postings.groupBy("field", "gram").agg(F.count("*").alias("n"))
     # a part that no text has makes an end of the keyword: of none there are fewest
     rarest = parts.join(often, ["field", "gram"], "left").groupBy("keyword", "field", "word").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
-    found = rarest.join(postings, ["field", "gram"]).where(F.col("text").contains(F.col("word"))).select("keyword", "row.*").distinct()
+    found = rarest.join(spread_out(postings), ["field", "gram"]).where(F.col("text").contains(F.col("word"))).select("keyword", "row.*").distinct()
     word = F.lower("keyword")
     rank = Window.partitionBy("keyword").orderBy(F.col("symbol").startswith(F.col("keyword")).desc(), F.col("abbreviation").startswith(word).desc(), "symbol")
     return found.select("keyword", "symbol", F.row_number().over(rank).alias("rank"))

@@ -2,6 +2,9 @@
 
 ``as_of`` merges both sides in order of their places. ``within`` and ``near`` cut places into buckets and join on these, so that a
 series is also dealt over many tasks; the exact test follows.
+
+The planner takes spread rows for as few as they were before, and would send them all to the driver to broadcast them: what is
+spread is joined as ``spread_out`` says, by a shuffle.
 """
 
 from __future__ import annotations
@@ -30,6 +33,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: Column, r
     return found.select("_row.*", F.col("_found").alias(name))
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """Rows that stand for many more than the planner knows of, never to be broadcast: the next join sorts and merges both sides."""
+    return rows.hint("merge")
+
+
 def within(rows: DataFrame, spans: DataFrame, keys: list[str], at: Column, start: Column, end: Column, width: int) -> DataFrame:
     """Each row beside each span (both ends included) that its place ``at`` lies in: the columns of both, keys once.
 
@@ -40,7 +48,7 @@ def within(rows: DataFrame, spans: DataFrame, keys: list[str], at: Column, start
     spread = spans.where(start <= end).withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
     spread = spread.withColumns({"_start": start, "_end": end})
     placed = rows.withColumn("_bucket", bucket(at)).withColumn("_at", at)
-    return placed.join(spread, [*keys, "_bucket"]).where("_at between _start and _end").drop("_bucket", "_at", "_start", "_end")
+    return placed.join(spread_out(spread), [*keys, "_bucket"]).where("_at between _start and _end").drop("_bucket", "_at", "_start", "_end")
 
 
 def near(left: DataFrame, right: DataFrame, keys: list[str], left_at: Column, right_at: Column, reach: int) -> DataFrame:
@@ -49,4 +57,4 @@ def near(left: DataFrame, right: DataFrame, keys: list[str], left_at: Column, ri
     bucket = lambda c: F.floor(c / width)
     spread = left.withColumn("_left", left_at).withColumn("_bucket", F.explode(F.sequence(bucket(left_at) - 1, bucket(left_at) + 1)))
     placed = right.withColumn("_right", right_at).withColumn("_bucket", bucket(right_at))
-    return spread.join(placed, [*keys, "_bucket"]).where(F.abs(F.col("_left") - F.col("_right")) <= reach).drop("_bucket", "_left", "_right")
+    return spread_out(spread).join(placed, [*keys, "_bucket"]).where(F.abs(F.col("_left") - F.col("_right")) <= reach).drop("_bucket", "_left", "_right")
