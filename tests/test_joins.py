@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
-from tickloom.operators import joins, signals, structure, wyckoff
-from tickloom.sources import fixtures, payloads, tables
-from tickloom.sources.shared import shared_folder
+from tickloom.operators import fusion, joins, signals, structure, wyckoff
+from tickloom.sources import fixtures, payloads, shared, tables
+from tickloom.sources.shared import Tables, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -191,3 +191,37 @@ def test_damaged_payloads(spark):
         landed = spark.createDataFrame([("s", "d", t) for t in [*texts, None]], "symbol string, tf string, payload string")
         got = payloads.READERS[layout](landed).select(F.date_format("ts", "yyyy-MM-dd"), "open", "high", "low", "close", "vol")
         assert sorted(map(tuple, got.collect())) == want[layout], layout
+
+
+def planned(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spread_rows_are_not_broadcast(sides, spark):
+    a, b = (Tables(spark).keep(x) for x in sides[2:])  # of tables in files the planner knows the size
+    at = F.col("at")
+    right = b.withColumnRenamed("at", "to")
+    macd = a.select(F.col("s").alias("symbol"), F.lit("d").alias("tf"), F.col("l").alias("idx"), F.lit(1.0).alias("dif"), F.lit(1.0).alias("macd_hist"))
+    zones = macd.select("symbol", "tf", F.lit(0).alias("start_idx"), F.lit(9).alias("end_idx"))
+    legs = zones.select("*", F.lit("bi").alias("level"), F.lit(0).alias("no"), F.lit("up").alias("direction"), F.lit(1.0).alias("start_price"), F.lit(2.0).alias("end_price"))
+    names = a.select(F.col("s").alias("symbol"), F.col("s").alias("name"), F.col("s").alias("abbreviation"))
+    points = macd.select("symbol", "tf", F.lit("bi").alias("level"), "idx", F.lit("1buy").alias("bs_type"), F.lit(1.0).alias("price"))
+    events = macd.select("symbol", "tf", "idx", F.lit("SC").alias("event_type"), F.lit(0).alias("seq"))
+    spread = {
+        "within": joins.within(a, right, ["s"], at, F.col("to"), F.col("to") + 9, 7), "near": joins.near(a, right, ["s"], at, F.col("to"), 7),
+        "near_zero": signals.near_zero(zones, macd), "leg_power": signals.leg_power(legs, macd), "fused": fusion.fused(points, events),
+        "searched": B.searched(names, names.select(F.col("name").alias("keyword"))),
+    }
+    for name, rows in spread.items():
+        plan = planned(rows)
+        below = [part for part in plan.split("BroadcastExchange")[1:] if "Generate explode" in part.split("Exchange hash")[0]]
+        assert "SortMergeJoin" in plan and not below, name
+
+
+def test_large_steps_are_not_broadcast(sides, spark, monkeypatch):
+    _, _, a, b = sides
+    kept = Tables(spark).keep(b).select("s", "r").where("r > 3")
+    assert "BroadcastHashJoin" in planned(a.join(kept, "s"))
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    kept = Tables(spark).keep(b).select("s", "r").where("r > 3")
+    assert "BroadcastHashJoin" not in planned(a.join(kept, "s"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions.windows import KEY
+from tickloom.operators import joins
 from tickloom.operators.wyckoff import BULLISH
 
 # Bars between a point and an event, and the rules in order of precedence.
@@ -38,7 +39,7 @@ def fused(points: DataFrame, events: DataFrame) -> DataFrame:
     """Points with events within five bars: the first rule that any of them meets, else strength 2; none near, no row."""
     # a point is spread over the bars near it and joined on them, so the work is that of points and events, not their product
     spread = points.withColumn("event_idx", F.explode(F.sequence(F.col("idx") - ALIGN_BARS, F.col("idx") + ALIGN_BARS)))
-    near = spread.join(events.select(*KEY, F.col("idx").alias("event_idx"), "event_type", "seq"), [*KEY, "event_idx"])
+    near = joins.spread_out(spread).join(events.select(*KEY, F.col("idx").alias("event_idx"), "event_type", "seq"), [*KEY, "event_idx"])
     matched = near.join(F.broadcast(rules(points.sparkSession)), ["bs_type", "event_type"], "left")  # the rule table has 20 rows
     point = [*KEY, "level", "idx", "bs_type", "price"]
     best = F.min("rule").over(Window.partitionBy(*point))

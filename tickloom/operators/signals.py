@@ -24,7 +24,7 @@ def leg_power(legs: DataFrame, macd: DataFrame) -> DataFrame:
     A leg is spread over its positions and joined on them, so the work is the bars' and not bars times legs.
     """
     spread = legs.withColumn("idx", F.explode(F.sequence("start_idx", "end_idx")))
-    rows = spread.join(macd, [*KEY, "idx"])
+    rows = joins.spread_out(spread).join(macd, [*KEY, "idx"])
     up, hist = F.col("direction") == "up", F.col("macd_hist")
     power = rows.groupBy(*KEY, "level", "no").agg(
         F.sum(F.when(up & (hist > 0), hist).when(~up & (hist < 0), -hist).otherwise(0.0)).alias("area"),
@@ -43,7 +43,7 @@ def near_zero(zones: DataFrame, macd: DataFrame) -> DataFrame:
     """Of zones (start_idx, end_idx): did dif come near zero inside?"""
     scale = macd.groupBy(*KEY).agg((F.max("dif") - F.min("dif")).alias("range"))
     spread = zones.select(*KEY, "start_idx", "end_idx").distinct().withColumn("idx", F.explode(F.sequence("start_idx", "end_idx")))
-    least = spread.join(macd.select(*KEY, "idx", "dif"), [*KEY, "idx"]).groupBy(*KEY, "start_idx", "end_idx").agg(F.min(F.abs("dif")).alias("least"))
+    least = joins.spread_out(spread).join(macd.select(*KEY, "idx", "dif"), [*KEY, "idx"]).groupBy(*KEY, "start_idx", "end_idx").agg(F.min(F.abs("dif")).alias("least"))
     near = (F.col("range") > 0) & (F.col("least") < NEAR_ZERO * F.col("range"))
     return least.join(scale, KEY).select(*KEY, "start_idx", "end_idx", F.coalesce(near, F.lit(False)).alias("near"))
 

@@ -141,7 +141,7 @@ def ranges_from_events(bars: DataFrame, found: DataFrame) -> DataFrame:
     climax = found.where("event_type in ('SC', 'BC')").select(*KEY, F.col("idx").alias("start_idx"), F.col("event_type").alias("of"), F.col("price").alias("p"))
     rally = found.where("event_type = 'AR'").select(*KEY, F.col("idx").alias("ar"), F.col("price").alias("ar_price"))
     # a climax is spread over the ten bars after it and joined on them
-    pairs = climax.withColumn("ar", F.explode(F.sequence(F.col("start_idx") + 1, F.col("start_idx") + 10))).join(rally, [*KEY, "ar"]).groupBy(*KEY, "start_idx", "of", "p").agg(F.min(F.struct("ar", "ar_price")).alias("r"))
+    pairs = joins.spread_out(climax.withColumn("ar", F.explode(F.sequence(F.col("start_idx") + 1, F.col("start_idx") + 10)))).join(rally, [*KEY, "ar"]).groupBy(*KEY, "start_idx", "of", "p").agg(F.min(F.struct("ar", "ar_price")).alias("r"))
     sc = F.col("of") == "SC"
     found_ranges = pairs.select(*KEY, "start_idx", F.col("r.ar").alias("ar"), F.when(sc, F.col("r.ar_price")).otherwise(F.col("p")).alias("upper"), F.when(sc, F.col("p")).otherwise(F.col("r.ar_price")).alias("lower")).where("upper > lower")
     signs = found.where("event_type in ('SOS', 'SOW', 'UTAD')").select(*KEY, F.col("idx").alias("sign"))

@@ -31,6 +31,10 @@ class Folder:
     def has(self, *parts: str) -> bool:
         return self.fs.exists(self.at(*parts))
 
+    def size(self, *parts: str) -> int:
+        """Bytes of all files below."""
+        return self.fs.getContentSummary(self.at(*parts)).getLength()
+
     def delete(self, *parts: str) -> None:
         self.fs.delete(self.at(*parts), True)
 
@@ -58,10 +62,15 @@ class Folder:
             file.close()
 
 
+#: Bytes of a written step beyond which it is never broadcast: as rows in memory it takes some fifty times as many.
+BROADCAST_BYTES = 1 << 20
+
+
 class Tables:
     """Steps of a job, written as they are taken: what reads them plans from a table of known size, not from all that led there.
 
-    The tables go when ``release`` is called, or else when the session ends.
+    The planner goes by the bytes of the files, which are compressed, so a step of over ``BROADCAST_BYTES`` is marked as one to be
+    shuffled: a broadcast would take it through the driver. The tables go when ``release`` is called, or else when the session ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -71,7 +80,8 @@ class Tables:
         path = f"{self.folder}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         delete_at_end(self.spark, self.folder)
-        return self.spark.read.schema(df.schema).parquet(path)
+        rows = self.spark.read.schema(df.schema).parquet(path)
+        return rows.hint("merge") if Folder(self.spark, path).size() > BROADCAST_BYTES else rows
 
     def release(self) -> None:
         """Deletes the tables; nothing that reads them may be run after that."""
