@@ -286,6 +286,20 @@ def test_trie_holds_texts_and_least_ids():
         assert sum(labels) <= trie.held
 
 
+def test_prefixes_of_all_lengths_are_counted_at_once(spark):
+    """As many joins as lengths at which a prefix holds too much, none for the counts: passes over the texts don't add up."""
+    rows = [(b"x" * 5000 + bytes([k]) * 9,) for k in range(40)] + [(b"x" * 70 + bytes([k]) * 9,) for k in range(40)]
+    texts, made = spark.createDataFrame(rows, "text binary"), []
+    kept = filter_audit.Scratch.keep
+    try:
+        filter_audit.Scratch.keep = lambda self, df: (made.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(self, df))[1]
+        got = {(bytes(r.text), len(r.prefix)) for r in filter_audit.by_prefix(texts, 4, class_bytes=5000).collect()}
+    finally:
+        filter_audit.Scratch.keep = kept
+    assert len(made) == 1 and "Join" not in made[0]
+    assert got == {(t, len(t)) for (t,) in rows}  # up to 512 and 32,768 bytes, where they end
+
+
 def test_prefixes_grow_where_texts_are_many(spark, audited):
     rows, _ = audited
     texts = table(spark, rows).select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).where("text IS NOT NULL")

@@ -130,26 +130,28 @@ def once_a_task(rows: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
 def by_prefix(texts: DataFrame, partitions: int, class_bytes: int | None = None) -> DataFrame:
     """``texts`` with ``prefix``: rows of one prefix hold few bytes, or one text; equal texts share their prefix.
 
-    The prefixes of a length whose texts hold more than ``class_bytes`` are counted over all texts, and these texts take
-    the next length. Such prefixes are known by a 64-bit hash; should two share one, a light prefix is made longer, which changes nothing.
+    Prefixes of all lengths are counted at once, over all texts; a text takes the first of its prefixes whose texts hold at most
+    ``class_bytes``. One that holds more has only shorter ones that do, too, so no count waits for another. Prefixes that hold more
+    are known by a 64-bit hash; should two share one, a light prefix is made longer, which changes nothing.
     """
+    total, longest = texts.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
     if class_bytes is None:
-        total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-        class_bytes = min(max(total // (SHARES * partitions), LEAST_CLASS_BYTES), MOST_CLASS_BYTES)
-    scratch = Scratch(texts.sparkSession)
-    depth, longer = PREFIX_BYTES, texts.withColumn("depth", F.lit(PREFIX_BYTES).cast("long"))
-    while True:
-        # rows of this depth that go on beyond it; a text that ends here is told apart already
-        own = F.when((F.col("depth") == depth) & (F.length("text") > depth), F.xxhash64(F.substring("text", 1, depth)))
-        heavy = longer.select(own.alias("hash"), F.length("text").alias("bytes")).where("hash IS NOT NULL").groupBy("hash").agg(F.sum("bytes").alias("bytes"))
-        heavy = scratch.keep(heavy.where(F.col("bytes") > class_bytes).select(F.col("hash").alias("heavy")))
-        n = heavy.count()
-        if not n:
-            return longer.withColumn("prefix", F.expr("substring(text, 1, cast(depth as int))")).drop("depth")
-        side = F.broadcast(heavy) if n <= BROADCAST_ROWS else heavy
-        longer = longer.withColumn("own", own).join(side, F.col("own") == F.col("heavy"), "left")
+        class_bytes = min(max((total or 0) // (SHARES * partitions), LEAST_CLASS_BYTES), MOST_CLASS_BYTES)
+    depths = [PREFIX_BYTES]
+    while depths[-1] * PREFIX_STEP < (longest or 0):
+        depths.append(depths[-1] * PREFIX_STEP)
+    # a text that ends by a prefix is told apart already
+    own = lambda depth: F.when(F.length("text") > depth, F.xxhash64(F.substring("text", 1, depth)))
+    prefixes = F.array_compact(F.array(*[F.when(F.length("text") > d, F.struct(F.lit(d).alias("at"), own(d).alias("heavy"))) for d in depths]))
+    counted = texts.select(F.length("text").alias("bytes"), F.inline(prefixes)).groupBy("at", "heavy").agg(F.sum("bytes").alias("bytes"))
+    heavy = Scratch(texts.sparkSession).keep(counted.where(F.col("bytes") > class_bytes).select("at", "heavy"))
+    longer = texts.withColumn("depth", F.lit(PREFIX_BYTES).cast("long"))
+    for depth, n in sorted(map(tuple, heavy.groupBy("at").count().collect())):  # a row a length
+        side = heavy.where(F.col("at") == depth).select("heavy")
+        side = F.broadcast(side) if n <= BROADCAST_ROWS else side
+        longer = longer.withColumn("own", F.when(F.col("depth") == depth, own(depth))).join(side, F.col("own") == F.col("heavy"), "left")
         longer = longer.withColumn("depth", F.when(F.col("heavy").isNotNull(), F.lit(depth * PREFIX_STEP)).otherwise(F.col("depth"))).drop("own", "heavy")
-        depth *= PREFIX_STEP
+    return longer.withColumn("prefix", F.expr("substring(text, 1, cast(depth as int))")).drop("depth")
 
 
 def repeated_texts(docs: DataFrame, held_bytes: int = HELD_BYTES, class_bytes: int | None = None) -> DataFrame:
