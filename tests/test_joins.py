@@ -225,3 +225,11 @@ def test_large_steps_are_not_broadcast(sides, spark, monkeypatch):
     monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
     kept = Tables(spark).keep(b).select("s", "r").where("r > 3")
     assert "BroadcastHashJoin" not in planned(a.join(kept, "s"))
+
+
+def test_phases_deal_series_once(spark, sf):
+    bars = Tables(spark).keep(fixtures.bars_walk(spark, sf))
+    found = Tables(spark).keep(wyckoff.events(bars))
+    ranges = Tables(spark).keep(wyckoff.trading_ranges(bars, found))
+    plan = planned(wyckoff.phases(bars, found, ranges))
+    assert plan.count("Exchange") == 1 and "Join" not in plan

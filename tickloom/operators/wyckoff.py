@@ -216,17 +216,20 @@ def phases(bars: DataFrame, found: DataFrame, ranges: DataFrame) -> DataFrame:
     Inside a range: accumulation after a fall, else distribution, with a sub-phase by the events since its
     start. After a range: by the close against its bounds. Before any, or without ranges: by the trend.
     """
-    rows = bars.withColumn("_n", F.count("*").over(whole())).where(F.col("_n") >= MIN_BARS)
-    ago = F.first("close").over(back(-20, 0))
-    rows = rows.select(*KEY, "idx", "close", "vol", ago.alias("ago"), F.avg("vol").over(whole()).alias("mv"))
-    starts = ranges.join(rows.select(*KEY, F.col("idx").alias("start_idx"), F.col("close").alias("c0"), F.col("ago").alias("c1")), [*KEY, "start_idx"], "left")
-    starts = starts.withColumn("fell", F.coalesce(F.col("c0") - F.col("c1"), F.lit(0.0)) < 0).select(*KEY, "no", F.col("start_idx").alias("s"), F.col("end_idx").alias("e"), "upper", "lower", "fell")
+    # starts of ranges and events are laid onto their bars in series that are dealt and sorted once: every window below keeps that order
+    begun = ranges.select(*KEY, F.col("start_idx").alias("idx"), F.struct(F.col("start_idx").alias("s"), F.col("end_idx").alias("e"), "upper", "lower").alias("r"))
+    kinds = (("d", ("LPS", "LPSY", "SOS", "SOW")), ("c", ("Spring", "UTAD")), ("b", ("ST",)), ("a", ("AR", "SC", "BC")))
+    flags = found.select(*KEY, "idx", *[F.col("event_type").isin(*names).alias(f"_{k}") for k, names in kinds])
+    held = bars.select(*KEY, "idx", "close", "vol", F.lit(True).alias("bar"))
+    every = held.unionByName(begun, allowMissingColumns=True).unionByName(flags, allowMissingColumns=True).repartition(*KEY)
+    rows = every.groupBy(*KEY, "idx").agg(*[F.max(c).alias(c) for c in ("close", "vol", "bar", "r", *[f"_{k}" for k, _ in kinds])])
+    rows = rows.where("bar").withColumn("_n", F.count("*").over(whole())).where(F.col("_n") >= MIN_BARS)
+    rows = rows.withColumn("ago", F.first("close").over(back(-20, 0))).withColumn("mv", F.avg("vol").over(whole()))
+    fell = F.coalesce(F.col("close") - F.col("ago"), F.lit(0.0)) < 0
+    rows = rows.withColumn("r", F.when(F.col("r").isNotNull(), F.struct("r.*", fell.alias("fell"))))
     # ranges of a series don't overlap, so the range at or before a bar is the last one that has begun
-    begun = starts.select(*KEY, F.col("s").alias("idx"), F.struct("s", "e", "upper", "lower", "fell").alias("r"))
-    spread = rows.join(begun, [*KEY, "idx"], "left").withColumn("range", F.last("r", ignorenulls=True).over(back(Window.unboundedPreceding, 0)))
-    any_range = F.max(F.col("r").isNotNull()).over(whole())
-    flags = found.groupBy(*KEY, "idx").agg(*[F.max(F.col("event_type").isin(*names)).alias(f"_{k}") for k, names in (("d", ("LPS", "LPSY", "SOS", "SOW")), ("c", ("Spring", "UTAD")), ("b", ("ST",)), ("a", ("AR", "SC", "BC")))])
-    spread = spread.withColumn("any", any_range).join(flags, [*KEY, "idx"], "left")
+    spread = rows.withColumn("range", F.last("r", ignorenulls=True).over(back(Window.unboundedPreceding, 0)))
+    spread = spread.withColumn("any", F.max(F.col("r").isNotNull()).over(whole()))
     since = Window.partitionBy(*KEY, F.col("range.s")).orderBy("idx")
     seen = {k: F.coalesce(F.max(f"_{k}").over(since), F.lit(False)) for k in "dcba"}
     r = F.col("range")
