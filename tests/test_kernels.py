@@ -119,3 +119,24 @@ def test_macd_by_blocks_deals_a_series_over_tasks(spark, sf):
     assert set(a) == set(b) and all(x == y or all(abs(p - q) < 1e-9 for p, q in zip(x, y)) for x, y in ((a[k], b[k]) for k in a))
     with pytest.raises(ValueError):
         indicators.macd_by_blocks(bars, block=20)
+
+
+def test_price_groups_read_each_price_once():
+    class Read(list):
+        times = 0
+
+        def __getitem__(self, k):
+            self.times += 1
+            return super().__getitem__(k)
+
+    rnd = random.Random(3)
+    prices = Read(rnd.choice([10.0, 20.0]) * (1 + 0.06 * rnd.random()) if rnd.random() < 0.1 else 10 * (1 + 0.06 * rnd.random()) for _ in range(2000))
+    groups, of_all = K.price_groups(prices, 0.05), []
+    assert prices.times <= len(prices)
+    for k, price in enumerate(prices):  # means summed anew for every price
+        mean = sum(list.__getitem__(prices, j) for j in of_all[-1]) / len(of_all[-1]) if of_all else 0
+        if mean and abs(price - mean) / mean < 0.05:
+            of_all[-1].append(k)
+        else:
+            of_all.append([k])
+    assert groups == [g for g in of_all if len(g) >= 2] and len(groups) > 20

@@ -312,11 +312,15 @@ def trend_groups(top, bottom) -> list[int]:
 def price_groups(prices: list[float], within: float) -> list[list[int]]:
     """Successive prices while each lies within a share of the group's running mean; groups of two and more."""
     groups: list[list[int]] = []
+    total = lost = 0.0  # of the last group, summed as sum() does: with what rounding loses
     for k, price in enumerate(prices):
-        if groups:
-            mean = sum(prices[j] for j in groups[-1]) / len(groups[-1])
-            if mean and abs(price - mean) / mean < within:
-                groups[-1].append(k)
-                continue
-        groups.append([k])
+        mean = (total + lost) / len(groups[-1]) if groups else 0.0
+        if mean and abs(price - mean) / mean < within:
+            groups[-1].append(k)
+            more = total + price
+            lost += (total - more) + price if abs(total) >= abs(price) else (price - more) + total
+            total = more
+        else:
+            groups.append([k])
+            total, lost = price, 0.0
     return [g for g in groups if len(g) >= 2]
