@@ -69,6 +69,25 @@ def test_rows_seen_twice_change_nothing(spark, walk):
     assert key(state.latest(told, *KEY, "idx").select(*KEY, "idx", "obv")) == key(indicators.volume_scores(short).select(*KEY, "idx", "obv"))
 
 
+def test_rows_are_worked_out_once(spark, walk):
+    """However many slices arrive, the rows behind them are read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    told = Arrivals(spark).run(walk.mapInArrow(read, walk.schema), by_position(0, 50, 100), lambda s: s)
+    assert told.count() == walk.count() == seen.value
+
+
+def test_empty_slices_arrive_too(spark, walk):
+    told = Arrivals(spark).run(walk, [F.lit(False), F.col("idx") < 30, F.col("idx") > 1 << 29], state.running_indicators, "update")
+    assert told.where("seen = 30").count() > 0 and told.groupBy(*KEY).agg(F.max("seen").alias("n")).where("n > 30").isEmpty()
+    assert Arrivals(spark).run(walk.limit(0), by_position(10), state.running_merged_bars, "update").isEmpty()
+
+
 def test_late_rows_are_cut_per_series(spark):
     """Each series has a day of its own, from the table or from what has passed, also after a restart."""
     stored = spark.createDataFrame([bar("a", "2024-03-10", 1), bar("b", "2024-01-10", 1)], BAR)

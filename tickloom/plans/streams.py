@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.windows import KEY
 from tickloom.sources import fixtures
-from tickloom.sources.shared import shared_folder
+from tickloom.sources.shared import Folder, shared_folder
 from tickloom.streaming import bars as live
 from tickloom.streaming import state
 from tickloom.streaming.store import BarStore
@@ -27,11 +27,17 @@ class Arrivals:
 
     def run(self, rows: DataFrame, slices: list[Column], told: Callable[[DataFrame], DataFrame], mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
         """All that ``told`` makes of the slices (conditions) of ``rows``: each micro-batch in a folder of its own, which a replay writes again."""
-        source, out = f"{self.folder}/in", f"{self.folder}/out"
+        source, out, dealt, folder = f"{self.folder}/in", f"{self.folder}/out", f"slices-{uuid.uuid4().hex}", Folder(self.spark, self.folder)
         keep = sink or (lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
-        for condition in slices:
-            rows.where(condition).write.mode("append").parquet(source)
-            stream = told(self.spark.readStream.schema(rows.schema).parquet(source))
+        # the rows are worked out once, whatever the number of slices; a slice arrives when its files are moved to where the stream looks
+        of = F.explode(F.array_compact(F.array(*[F.when(condition, k) for k, condition in enumerate(slices)])))
+        rows.withColumn("_slice", of).write.partitionBy("_slice").parquet(f"{self.folder}/{dealt}")
+        for k in range(len(slices)):
+            if folder.has(dealt, f"_slice={k}"):
+                folder.move(f"{dealt}/_slice={k}", f"in/{dealt}-{k}")
+            else:
+                self.spark.createDataFrame([], rows.schema).write.parquet(f"{source}/{dealt}-{k}")
+            stream = told(self.spark.readStream.schema(rows.schema).parquet(f"{source}/*"))
             writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{self.folder}/checkpoint")
             writer.trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
         return None if sink else self.spark.read.schema(stream.schema).parquet(f"{out}/*")
