@@ -88,6 +88,21 @@ def test_empty_slices_arrive_too(spark, walk):
     assert Arrivals(spark).run(walk.limit(0), by_position(10), state.running_merged_bars, "update").isEmpty()
 
 
+@pytest.mark.parametrize("told", [state.running_merged_bars, state.running_indicators])
+def test_series_go_to_their_state_as_few_rows(spark, walk, told, monkeypatch):
+    """What a processor gets of a series in a micro-batch is a row for each Arrow batch that holds some of it."""
+    packs, packed = spark.sparkContext.accumulator(0), state._packed
+
+    def counted(batches):
+        for batch in batches:
+            packs.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(state, "_packed", lambda rows: (lambda df: df.mapInArrow(counted, df.schema))(packed(rows)))
+    assert not Arrivals(spark).run(walk, by_position(100), told, "update").isEmpty()
+    assert 0 < packs.value < walk.count() / 10
+
+
 def test_late_rows_are_cut_per_series(spark):
     """Each series has a day of its own, from the table or from what has passed, also after a restart."""
     stored = spark.createDataFrame([bar("a", "2024-03-10", 1), bar("b", "2024-01-10", 1)], BAR)

@@ -16,9 +16,7 @@ def ema(values: np.ndarray, period: int, warmup: float = 0.0) -> np.ndarray:
     if len(values) < period:
         return out
     out[period - 1] = values[:period].mean()
-    rate = 2.0 / (period + 1)
-    for i in range(period, len(values)):
-        out[i] = out[i - 1] + (values[i] - out[i - 1]) * rate
+    out[period:] = ema_on(values[period:], float(out[period - 1]), period)
     return out
 
 
