@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import kernels
+from tickloom.functions.windows import KEY
 from tickloom.operators import bars as B
 from tickloom.operators import fusion, joins, signals, structure, wyckoff
 from tickloom.sources import fixtures, payloads, shared, tables
@@ -227,6 +229,23 @@ def test_large_steps_are_not_broadcast(sides, spark, monkeypatch):
     assert "BroadcastHashJoin" not in planned(a.join(kept, "s"))
 
 
+def test_swings_are_grouped_once(spark, sf):
+    """Highs and lows of a series come from one fold, after one shuffle; groups of both sides pair up."""
+    bars = fixtures.bars_walk(spark, sf)
+    plan = wyckoff.ranges_from_swings(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("FlatMapGroups") == 1 and "Join" not in plan
+    got = sorted(tuple(r) for r in wyckoff.ranges_from_swings(bars).collect())
+    points, want = sorted(tuple(r) for r in wyckoff.swings(bars).select(*KEY, "kind", "idx", "price").collect()), []
+    for series in {p[:2] for p in points}:
+        sides = []
+        for kind in ("high", "low"):
+            mine = [p[3:] for p in points if p[:3] == (*series, kind)]
+            groups = kernels.price_groups([p for _, p in mine], 0.05)
+            sides.append([(sum(mine[k][1] for k in g) / len(g), mine[g[0]][0], mine[g[-1]][0]) for g in groups])
+        want += [(*series, min(a[1], b[1]), max(a[2], b[2]), a[0], b[0]) for a in sides[0] for b in sides[1] if a[0] > b[0] and (a[0] - b[0]) / b[0] < 0.2]
+    assert got == sorted(want) and want
+
+
 def test_phases_deal_series_once(spark, sf):
     bars = Tables(spark).keep(fixtures.bars_walk(spark, sf))
     found = Tables(spark).keep(wyckoff.events(bars))

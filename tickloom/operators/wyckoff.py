@@ -6,13 +6,15 @@ shuffle. "The last X within N" is the most recent X among the N bars before.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions import kernels
-from tickloom.functions.windows import KEY, by_index, dealt, whole
+from tickloom.functions.windows import KEY, by_index, whole
 from tickloom.operators import joins
 
 # Detectors in the order in which a bar's events are listed.
@@ -175,22 +177,23 @@ def first_left(ranges: DataFrame, bars: DataFrame) -> DataFrame:
 
 def ranges_from_swings(bars: DataFrame) -> DataFrame:
     """Ranges of each group of near highs with each group of near lows, less than 20 % wide."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for kind in ("high", "low"):
-            points = rows[rows["kind"] == kind].sort_values("idx", kind="stable")
-            price, idx = points["price"].tolist(), points["idx"].tolist()
-            out += [(kind, sum(price[k] for k in g) / len(g), min(idx[k] for k in g), max(idx[k] for k in g)) for g in kernels.price_groups(price, 0.05)]
-        frame = pd.DataFrame(out, columns=["kind", "price", "first", "last"])
-        frame.insert(0, "tf", rows["tf"].iloc[0])
-        frame.insert(0, "symbol", rows["symbol"].iloc[0])
-        return frame
-
-    groups = dealt(swings(bars).drop("ts")).groupBy(*KEY).applyInPandas(fold, "symbol string, tf string, kind string, price double, first int, last int")
-    high = groups.where("kind = 'high'").select(*KEY, F.col("price").alias("upper"), F.col("first").alias("f1"), F.col("last").alias("l1"))
-    low = groups.where("kind = 'low'").select(*KEY, F.col("price").alias("lower"), F.col("first").alias("f2"), F.col("last").alias("l2"))
-    both = high.join(low, KEY).where((F.col("upper") > F.col("lower")) & (F.try_divide(F.col("upper") - F.col("lower"), F.col("lower")) < 0.2))
+    kinds = ("high", "low")
+    # the swings lie by series already: each series becomes one row without a further shuffle, and both sides come from one fold
+    listed = swings(bars).groupBy(*KEY).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("idx", "price")))).alias(k) for k in kinds])
+    group = pa.list_(pa.struct([("price", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
+
+    def grouped(idx: list[int], price: list[float]) -> list[tuple]:
+        return [(sum(price[k] for k in g) / len(g), idx[g[0]], idx[g[-1]]) for g in kernels.price_groups(price, 0.05)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pa.array([[dict(zip(("price", "first", "last"), g)) for g in grouped(i, p)] for i, p in zip(batch.column(f"{k}_idx").to_pylist(), batch.column(f"{k}_price").to_pylist())], group) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), *found], names=[*KEY, *kinds])
+
+    columns = [F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in kinds for c in ("idx", "price")]
+    both = listed.select(*KEY, *columns).mapInArrow(fold, "symbol string, tf string, " + ", ".join(f"{k} array<struct<price: double, first: int, last: int>>" for k in kinds))
+    both = both.select(*KEY, "low", F.inline("high").alias("upper", "f1", "l1")).select(*KEY, "upper", "f1", "l1", F.inline("low").alias("lower", "f2", "l2"))
+    both = both.where((F.col("upper") > F.col("lower")) & (F.try_divide(F.col("upper") - F.col("lower"), F.col("lower")) < 0.2))
     return both.select(*KEY, F.least("f1", "f2").alias("start_idx"), F.greatest("l1", "l2").alias("end_idx"), "upper", "lower")
 
 
