@@ -262,6 +262,21 @@ def test_ngram_join(spark, corpus):
     assert sorted(map(tuple, ngram_join.ngram_join(table(spark, corpus)).collect()), key=str) == want
 
 
+def test_ngram_join_tells_a_pair_once(spark, monkeypatch):
+    """Large unlike texts that share a passage: what the hubs leave open is told once a pair, not once a gram or list."""
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(300)]
+    text = lambda k, n: " ".join([f"{k}x{rnd.randrange(10**6)}" for _ in range(n)] + passage)
+    rows = [(k, text(k, 3_000 + 40 * k)) for k in range(9)]
+    rows.append((9, rows[4][1] + " end"))
+    told, verified = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: (told.append([tuple(sorted(map(bytes, r))) for r in pairs.collect()]), verified(pairs, *rest))[1])
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(table(spark, rows)).collect()}
+    assert got == {k: 4 if k == 9 else k for k in range(10)}
+    assert len(set(told[-1])) > 20
+    assert len(told[-1]) == len(set(told[-1]))
+
+
 def test_keep_one_goes_by_doc_id_and_text(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(60))
     near = lambda k: text(k) + " end"

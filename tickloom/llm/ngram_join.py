@@ -7,9 +7,11 @@ with one hub each, then with the others that lie in another component yet; the p
 expanded to members and verified on the whole sets, after a test of parities that rules most unlike pairs out.
 A list whose documents are one component by then needs no more pairs; in the others the documents outside the
 list's largest component are compared with all that the filters leave, so no link between components is missed.
+For these, lists that hold the same groups are one list, that of their first gram, where the position filter
+leaves most; and a pair is passed over where the lists just before hold both, as it is told there.
 
-Grams and groups go by 64-bit hashes, sets by 128 bits; groups that share a hash are only compared once more
-than needed. Which grams count as frequent only decides the order, so any choice is right.
+Grams, groups and what lists hold go by 64-bit hashes, sets by 128 bits; clashes are not looked for. Which grams
+count as frequent only decides the order, so any choice is right.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ GRAM_WORDS, PERCENT = 5, 75
 FREQUENT_GRAMS, FREQUENT_FROM = 1 << 17, 16
 #: Lists over which a frequent gram's groups are dealt.
 SALTS = 64
+#: Lists before it that a group's row of a list names.
+LISTS_BEFORE = 8
 BLOCK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,10 +232,11 @@ def may_link(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
 
 
 def listed(found: DataFrame) -> DataFrame:
-    """gram, gid, n, at, rare, hub of the groups' prefixes, without the places whose gram no group of a near size shares.
+    """gram, gid, n, at, rare, hub, held of the groups' prefixes, without the places whose gram no group of a near size shares.
 
     ``hub`` (at, n, gid) is the gram's purest group, the one with the fewest grams before it. The list of a
-    frequent gram is dealt over ``SALTS`` lists, each with a hub of its own.
+    frequent gram is dealt over ``SALTS`` lists, each with a hub of its own. ``held`` (64 bits) names the groups
+    that a list holds; a frequent gram's list has a name of its own.
     """
     rows = found.where("prefix is not null").select("gid", "n", F.col("rare").alias("_rare"), F.posexplode("prefix").alias("at", "gram"))
     rows = rows.withColumn("rare", F.col("at") < F.col("_rare")).drop("_rare").withColumn("salt", F.when(F.col("rare"), 0).otherwise(F.pmod("gid", F.lit(SALTS))).cast("int"))
@@ -239,7 +244,21 @@ def listed(found: DataFrame) -> DataFrame:
     beside = F.coalesce(100 * F.col("n") >= PERCENT * F.lead("n").over(by_size), F.lit(False)) | F.coalesce(100 * F.lag("n").over(by_size) >= PERCENT * F.col("n"), F.lit(False))
     purest = Window.partitionBy("gram", "salt").orderBy("at", "n", "gid").rowsBetween(Window.unboundedPreceding, 0)
     near = rows.withColumn("_beside", beside).where(F.col("_beside") | ~F.col("rare"))
-    return near.select("gram", "gid", "n", "at", "rare", F.first(F.struct("at", "n", "gid")).over(purest).alias("hub"))
+    whole = purest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # sums of 32 bits a row: the order doesn't matter, and a repeated row does not cancel itself
+    groups = [F.sum(F.shiftright(F.xxhash64("gid", F.lit(k)), 32)).over(whole) for k in range(2)]
+    held = F.when(F.col("rare"), F.xxhash64(*groups)).otherwise(F.xxhash64("gram")).alias("held")
+    return near.select("gram", "gid", "n", "at", "rare", F.first(F.struct("at", "n", "gid")).over(purest).alias("hub"), held)
+
+
+def unlike_lists(lists: DataFrame) -> DataFrame:
+    """gram, gid, at, before: of lists that hold the same groups only the one whose gram is first in the order.
+
+    ``before`` names the last lists of the group, up to ``LISTS_BEFORE`` of them, whose grams come before.
+    """
+    first = lists.groupBy("gid", "held").agg(F.min(F.struct("at", "gram")).alias("first")).select("gid", "first.at", "first.gram")
+    before = Window.partitionBy("gid").orderBy("at").rowsBetween(-LISTS_BEFORE, -1)
+    return first.select("gram", "gid", "at", F.collect_list("gram").over(before).alias("before"))
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
@@ -319,23 +338,25 @@ def rooted(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
 def unsettled(lists: DataFrame, members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of sets of one list that lie in different components and that the filters leave: one of them outside the list's largest component.
 
-    The members of one group share all of their prefix: the group is a list of its own.
+    A pair that shares several lists is told in the first, where the position filter leaves it if any does: it is passed over
+    where both have a list in common among those named as before. The members of one group share all of their prefix: the group is a list of its own.
     """
     placed = scratch.keep(members.drop("bits").join(labels, "sid").withColumn("root", F.xxhash64("root")))
     ends = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    rows = lists.select("gram", "gid", "at").join(ends, "gid").union(ends.where("low <> high").select(F.xxhash64("gid"), "gid", F.lit(0), "low", "high"))
+    own = ends.where("low <> high").select(F.xxhash64("gid").alias("gram"), "gid", F.lit(0).alias("at"), F.array().cast("array<long>").alias("before"), "low", "high")
+    rows = lists.join(ends, "gid").select(*own.columns).union(own)
     rows = scratch.keep(rows)
     undecided = rows.groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("gram")
-    open_lists = scratch.keep(rows.select("gram", "gid", "at").join(undecided, "gram", "left_semi").distinct())
+    open_lists = scratch.keep(rows.drop("low", "high").join(undecided, "gram", "left_semi"))
     scratch.free(rows)
     roots = open_lists.join(placed.select("gid", "root").distinct(), "gid")
     sizes = roots.groupBy("gram", "root").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("gram").agg(F.max(F.struct("k", "root"))["root"].alias("most"))
     sets = scratch.keep(open_lists.join(placed, "gid").join(largest, "gram"))
     scratch.free(open_lists, placed)
-    minor = sets.where("root <> most").select("gram", F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("root").alias("root_x"), F.col("words").alias("words_x"))
+    minor = sets.where("root <> most").select("gram", F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("root").alias("root_x"), F.col("words").alias("words_x"), F.col("before").alias("before_x"))
     rest = sets.join(minor, "gram").where("root <> root_x").where((F.col("root") == F.col("most")) | (F.col("sid") < F.col("x")))
-    rest = rest.where(may_link(F.col("n"), F.col("at"), F.col("n_x"), F.col("at_x")) & few_odd("words", F.col("n"), "words_x", F.col("n_x")))
+    rest = rest.where(may_link(F.col("n"), F.col("at"), F.col("n_x"), F.col("at_x")) & ~F.arrays_overlap("before", "before_x") & few_odd("words", F.col("n"), "words_x", F.col("n_x")))
     return rest.select(F.col("sid").alias("a"), F.col("x").alias("b"))
 
 
@@ -345,8 +366,11 @@ def classes(docs: DataFrame, with_digest: bool = False) -> DataFrame:
     found = scratch.keep(described(docs, with_digest))
     given = found.where("packed is not null")
     members = scratch.keep(given.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("gid", "n", "bits", "words")]))
-    lists = scratch.keep(listed(found))
-    pairs = scratch.keep(hub_pairs(lists))
+    every = scratch.keep(listed(found))
+    pairs = scratch.keep(hub_pairs(every))
+    forget_shuffles(docs.sparkSession)
+    lists = scratch.keep(unlike_lists(every))
+    scratch.free(every)
     forget_shuffles(docs.sparkSession)
 
     # one hub a group first, and the members of a group with the first of them
