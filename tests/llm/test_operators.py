@@ -277,6 +277,37 @@ def test_ngram_join_tells_a_pair_once(spark, monkeypatch):
     assert len(told[-1]) == len(set(told[-1]))
 
 
+def test_ngram_join_moves_only_texts_to_verify(spark, monkeypatch):
+    """However many sets are to be verified, so that their ids can't be broadcast, other texts stay where they are."""
+    rnd = random.Random(9)
+    rows = [(k, " ".join(f"{rnd.randrange(10**9)}" for _ in range(2_000))) for k in range(60)]
+    rows += [(60 + k, rows[k][1] + " end") for k in range(3)]
+    moved, keep = [], ngram_join.Scratch.keep
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    def measured(scratch, df):
+        before = shuffled() if df.columns == ["sid", "packed"] else None
+        out = keep(scratch, df)
+        if before is not None:
+            moved.append((out.count(), shuffled() - before))
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "keep", measured)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(table(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {k: k % 60 for k in range(63)}
+    assert sum(n for n, _ in moved) >= 6
+    assert max(size for _, size in moved) < 10 * 2_000 * 10
+
+
 def test_keep_one_goes_by_doc_id_and_text(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(60))
     near = lambda k: text(k) + " end"

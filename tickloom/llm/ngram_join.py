@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import Scratch, cut, forget_shuffles, once, slices, text_or_empty
+from tickloom.llm.common import Scratch, bit_filter, cut, forget_shuffles, in_filter, once, slices, text_or_empty
 
 GRAM_WORDS, PERCENT = 5, 75
 #: At most so many frequent grams are broadcast (1 MB), those seen in at least so many documents.
@@ -35,6 +35,8 @@ FREQUENT_GRAMS, FREQUENT_FROM = 1 << 17, 16
 SALTS = 64
 #: Lists before it that a group's row of a list names.
 LISTS_BEFORE = 8
+#: Bits of the filter of sets whose texts are wanted, as a power of two (4 MB); a fuller filter only lets more texts move than needed.
+FILTER_BITS = 25
 BLOCK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -271,6 +273,24 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
     return rows.groupBy("gid", F.col("hub.gid").alias("hub")).agg(F.count("*").alias("times"))
 
 
+def texts_of(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """sid, packed of the sets ``wanted`` (sid), each once.
+
+    Tasks pass a filter of the wanted sets before anything moves: the join after it would otherwise move every text
+    as soon as the wanted ids are too many to be broadcast.
+    """
+    may = found.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("sid").alias("key")), FILTER_BITS))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            yield batch.select(["sid", "packed"]).filter(pa.array(in_filter(may.value, keys, FILTER_BITS)))
+
+    given = found.where("packed is not null").select(F.xxhash64("sid").alias("key"), "sid", "packed")
+    texts = given.mapInArrow(passed, "sid binary, packed binary")
+    return texts.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("packed").alias("packed"))
+
+
 def verified(pairs: DataFrame, members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are over the threshold, as a table."""
 
@@ -300,8 +320,7 @@ def verified(pairs: DataFrame, members: DataFrame, found: DataFrame, scratch: Sc
     left_open = near_sizes(F.col("n_a"), F.col("n_b")) & few_odd_of_any("bits_a", F.col("n_a"), "bits_b", F.col("n_b"))
     near = scratch.keep(open_pairs.where(left_open).select("a", "b"))
     # only the texts of sets in these pairs move
-    wanted = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    texts = scratch.keep(found.where("packed is not null").select("sid", "packed").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("packed").alias("packed")))
+    texts = scratch.keep(texts_of(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), found))
     of = lambda k: texts.select(F.col("sid").alias(k), F.col("packed").alias(f"packed_{k}"))
     joined = near.join(of("b"), "b").join(of("a"), "a").select("a", "b", "packed_a", "packed_b")
     links = scratch.keep(joined.mapInArrow(check, "a binary, b binary"))
